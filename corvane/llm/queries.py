@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe
+from corvane.llm import bpe, line_dedup, media, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,18 @@ def tokenizer() -> tuple[str, str]:
 @_register
 def op10_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), *tokenizer())
+
+
+@_register
+def op6_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("host", "text_hash")
+
+
+@_register
+def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(_table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corvane.llm import textkit
 
@@ -45,3 +46,14 @@ def text_blocks(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.Record
                 yield fn(batch.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
 
     return run
+
+
+def shuffle_or_broadcast(small: DataFrame, limit: int = 64 << 20) -> DataFrame:
+    """Marks a stored table for broadcast if its measured size is below `limit` bytes; else the join shuffles both sides."""
+    rows, size = small.agg({"*": "count"}).collect()[0][0], sum({"bigint": 8, "int": 4, "double": 8, "boolean": 1}.get(kind, 0) for _, kind in small.dtypes)
+    for name, kind in small.dtypes:
+        if kind in ("string", "binary") and rows * 64 < limit:
+            size += (small.agg(F.sum(F.octet_length(name))).collect()[0][0] or 0) / max(rows, 1)
+        elif kind in ("string", "binary"):
+            size += 64
+    return F.broadcast(small) if rows * (size + 32) < limit else small
