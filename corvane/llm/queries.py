@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corvane.llm import bpe, line_dedup, media, quality
+from corvane.llm import bpe, line_dedup, media, mixing, pii, quality, tool_calls, url_reputation
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +45,27 @@ def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op4_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op9_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), labels)
+
+
+ORACLES["op9_host_reputation"] = url_reputation.oracle_sql()
+
+
+@_register
+def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(tool_calls.from_conversations(_table(spark, sf_dir, "conversations")), tool_calls.ASK)
