@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, line_dedup, media, mixing, pii, quality, tool_calls, url_reputation
+from corvane.llm import bpe, line_dedup, media, mixing, near_dup, pii, quality, tool_calls, url_reputation
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,8 @@ def op7_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(tool_calls.from_conversations(_table(spark, sf_dir, "conversations")), tool_calls.ASK)
+
+
+@_register
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))

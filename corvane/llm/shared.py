@@ -48,7 +48,7 @@ def text_blocks(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.Record
     return run
 
 
-def shuffle_or_broadcast(small: DataFrame, limit: int = 64 << 20) -> DataFrame:
+def shuffle_or_broadcast(small: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """Marks a stored table for broadcast if its measured size is below `limit` bytes; else the join shuffles both sides."""
     rows, size = small.agg({"*": "count"}).collect()[0][0], sum({"bigint": 8, "int": 4, "double": 8, "boolean": 1}.get(kind, 0) for _, kind in small.dtypes)
     for name, kind in small.dtypes:

@@ -149,7 +149,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     nodes = calls.drop("turn", "after", "r_id").join(_chains(calls.select("call_id", "turn", "after")), "call_id").withColumnRenamed("call_id", "n_id")
     nodes = nodes.select("n_id", "call_row", "result_row", F.col("depth").alias("n_depth"), F.col("at_turn").alias("n_turn"), "cycle")
     both = rows.join(nodes, F.col("kind").isin("call", "result") & (F.col("call_id") == F.col("n_id")), "left")
-    is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
+    is_call, is_result = F.col("kind").eqNullSafe("call"), F.col("kind").eqNullSafe("result")
     status = (
         F.when(~(is_call | is_result), "message").when(F.col("call_id").isNull(), "unlinked").when(F.col("n_id").isNull(), "orphan")
         .when(is_call & (F.col("row") != F.col("call_row")) | is_result & (F.col("row") != F.col("result_row")), "duplicate")

@@ -2,7 +2,8 @@
 
 Labelled outcomes (good or not) are counted by host.  Beta-binomial priors shrink the counts from the whole table to the
 public suffix (last label), to the registered domain (last two labels), to the host: each level's prior mean is its
-parent's posterior mean, and its prior strength comes from the over-dispersion of the level's own counts (moments).
+parent's posterior mean, and its prior strength comes from the over-dispersion of the level's own counts (moments), lowered for
+what is uncertain in the parent's mean.
 Given rules decide first, the longest that fits; else a host is blocked if the upper bound of its posterior good rate is
 under the threshold, so that unlabelled hosts are judged by their domain and are not blocked for being unknown.
 
@@ -39,13 +40,18 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _strength(level: DataFrame) -> float:
-    """Prior strength 1/rho - 1 of a level with n, k and prior mean m; rho by moments, within [0.001, 0.5]."""
+def _shrunk(level: DataFrame, key: str) -> DataFrame:
+    """Posterior mean m and strength g of each group of a level with n, k and its parent's m and g.
+
+    The level's own strength is 1/rho - 1, rho by moments within [0.02, 0.5].
+    """
     n, k, m = F.col("n"), F.col("k"), F.col("m")
     spread = m * (1 - m)
-    got = level.agg(F.sum(n * (k / n - m) * (k / n - m) - spread).alias("over"), F.sum((n - 1) * spread).alias("within")).collect()[0]  # two numbers
+    got = level.where("n > 0").agg(F.sum(n * (k / n - m) * (k / n - m) - spread).alias("over"), F.sum((n - 1) * spread).alias("within")).collect()[0]  # two numbers
     rho = got.over / got.within if got.within else 0.0
-    return 1 / min(max(rho or 0.0, 0.001), 0.5) - 1
+    rho = min(max(rho or 0.0, 0.02), 0.5)
+    prior = F.greatest(1 / (1 / (F.col("g") + 1) + F.lit(rho)) - 1, F.lit(0.1))
+    return level.select(key, "n", "k", ((k + prior * m) / (n + prior)).alias("m"), (n + prior).alias("g"))
 
 
 def reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645) -> DataFrame:
@@ -58,17 +64,13 @@ def reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645) -> Data
         known.groupBy("host").agg(F.count("good").alias("n"), F.count_if("good").alias("k"))
         .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()[0]
-    mean: Column = F.lit(total.k / total.n if total.n else 0.5)
-    level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("m", mean)
-    m_s = _strength(level.where("n > 0"))
-    suffixes = level.select("suffix", ((F.col("k") + m_s * F.col("m")) / (F.col("n") + m_s)).alias("m"))
+    n, k = float(total.n or 0), float(total.k or 0)
+    level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumns({"m": F.lit((k + 1) / (n + 2)), "g": F.lit(n + 2)})
+    suffixes = _shrunk(level, "suffix").select("suffix", "m", "g")
     level = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(suffixes, "suffix")
-    m_d = _strength(level.where("n > 0"))
-    domains = level.select("domain", ((F.col("k") + m_d * F.col("m")) / (F.col("n") + m_d)).alias("m"))
-    level = hosts.join(domains, "domain")
-    m_h = _strength(level.where("n > 0"))
-    post = (F.col("k") + m_h * F.col("m")) / (F.col("n") + m_h)
-    return level.select("host", "n", "k", post.alias("mean")).withColumn("upper", F.col("mean") + z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + m_h + 1)))
+    domains = _shrunk(level, "domain").select("domain", "m", "g")
+    post = _shrunk(hosts.join(domains, "domain"), "host")
+    return post.withColumn("upper", F.col("m") + z * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("g") + 1)))
 
 
 def judge(pages: DataFrame, labels: DataFrame, *, rules=RULES, threshold: float = 0.7, z: float = 1.645) -> DataFrame:
@@ -86,19 +88,21 @@ def oracle_sql(threshold: float = 0.7, z: float = 1.645) -> str:
     for kind, host, path in sorted(RULES, key=lambda r: len(r[1] + r[2])):
         fits = f"ends_with('.' || host, '.{host}') AND starts_with(path, '{path}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{host}{path}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{kind}' ELSE {verdict} END"
-    strength = "1 / least(greatest(coalesce(sum(n * (k / n - m) * (k / n - m) - m * (1 - m)) / nullif(sum((n - 1) * m * (1 - m)), 0), 0), 0.001), 0.5) - 1"
+    rho = "least(greatest(coalesce(sum(n * (k / n - m) * (k / n - m) - m * (1 - m)) / nullif(sum((n - 1) * m * (1 - m)), 0), 0), 0.02), 0.5)"
+
+    def shrunk(level: str, key: str) -> str:
+        return (f"SELECT {key}, n, k, (k + w * m) / (n + w) AS m, n + w AS g FROM (SELECT *, greatest(1 / (1 / (g + 1) + (SELECT {rho} FROM {level} WHERE n > 0)) - 1, 0.1) AS w FROM {level})")
+
     return f"""
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
                   regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
 h0 AS (SELECT host, count(good) AS n, count(*) FILTER (good) AS k FROM p LEFT JOIN (SELECT doc_id AS page_id, quality = 1 AND toxic = 0 AS good FROM labels) l USING (page_id) GROUP BY host),
 h AS (SELECT *, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h0),
-s AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, (SELECT coalesce(sum(k) / nullif(sum(n), 0), 0.5) FROM h) AS m FROM h GROUP BY suffix),
-sm AS (SELECT {strength} AS g FROM s WHERE n > 0),
-d AS (SELECT domain, suffix, sum(h.n)::DOUBLE AS n, sum(h.k)::DOUBLE AS k, any_value((s.k + g * s.m) / (s.n + g)) AS m FROM h JOIN s USING (suffix), sm GROUP BY domain, suffix),
-dm AS (SELECT {strength} AS g FROM d WHERE n > 0),
-e AS (SELECT host, h.n::DOUBLE AS n, h.k::DOUBLE AS k, (d.k + g * d.m) / (d.n + g) AS m FROM h JOIN d USING (domain), dm),
-em AS (SELECT {strength} AS g FROM e WHERE n > 0),
-r AS (SELECT host, (k + g * m) / (n + g) AS mean, n + g + 1 AS w FROM e, em),
-u AS (SELECT host, mean + {z} * sqrt(mean * (1 - mean) / w) AS upper FROM r)
+s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) FROM h) AS m, (SELECT coalesce(sum(n), 0) + 2 FROM h)::DOUBLE AS g FROM h GROUP BY suffix),
+s AS ({shrunk("s0", "suffix")}),
+d0 AS (SELECT domain, suffix, sum(h.n)::DOUBLE AS n, sum(h.k)::DOUBLE AS k, any_value(s.m) AS m, any_value(s.g) AS g FROM h JOIN s USING (suffix) GROUP BY domain, suffix),
+d AS ({shrunk("d0", "domain")}),
+e0 AS (SELECT host, h.n::DOUBLE AS n, h.k::DOUBLE AS k, d.m, d.g FROM h JOIN d USING (domain)),
+u AS (SELECT host, m + {z} * sqrt(m * (1 - m) / (g + 1)) AS upper FROM ({shrunk("e0", "host")}))
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN upper < {threshold} THEN 'block' ELSE 'allow' END) AS verdict, round(upper, 6) AS good_rate_upper
 FROM p LEFT JOIN u USING (host)"""
