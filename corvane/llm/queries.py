@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, line_dedup, media, mixing, near_dup, pii, quality, tool_calls, url_reputation
+from corvane.llm import bpe, line_dedup, lm_trie, media, mixing, near_dup, pii, quality, tool_calls, url_reputation
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +74,8 @@ def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.score_documents(_table(spark, sf_dir, "documents"))
