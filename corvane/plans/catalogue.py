@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.session import table
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "a3_hour_histogram"
+FLAGSHIP = "r20_flagship_search"
 
 
 def register(name: str, sql: str | None = None):
@@ -21,8 +19,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-@register("a3_hour_histogram", "SELECT CAST(hour(ts) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY 1")
-def a3_hour_histogram(spark, sf_dir):
-    from pyspark.sql import functions as F
-
-    return table(spark, sf_dir, "events").groupBy(F.hour("ts").cast("bigint").alias("hour")).agg(F.count("*").alias("n"))
+from corvane.plans import q_core  # noqa: E402, F401  the modules register their queries
