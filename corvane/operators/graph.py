@@ -12,10 +12,11 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.5, ma
     edges: src, dst, weight, penalty.  The frontier of each hop is pre-aggregated to one row a node and its lineage cut
     by a checkpoint in the shared folder; seeds are not reached again.
     """
+    edges = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"), "weight", "penalty")
     seen = seeds.select("node", "score", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(edges["dst"].alias("node")).agg(F.max(F.col("score") * F.col("weight") * F.col("penalty") * (decay ** (hop - 1))).alias("score"))
+        step = frontier.join(edges, F.col("node") == F.col("_from")).groupBy(F.col("_to").alias("node")).agg(F.max(F.col("score") * F.col("weight") * F.col("penalty") * (decay ** (hop - 1))).alias("score"))
         frontier = step.join(seen.select("node"), "node", "left_anti").select("node", "score", F.lit(hop).alias("hop"))
         if checkpoint and edges.sparkSession.sparkContext.getCheckpointDir():
             frontier = frontier.checkpoint()
@@ -25,10 +26,11 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.5, ma
 
 def hops_from(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Each node within `hops` of the seeds with its least hop; edges: src, dst."""
+    edges = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     seen = seeds.select("node", F.lit(0).alias("hop"))
     frontier = seen
     for hop in range(1, hops + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(edges["dst"].alias("node")).distinct()
+        step = frontier.join(edges, F.col("node") == F.col("_from")).select(F.col("_to").alias("node")).distinct()
         frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("hop"))
         seen = seen.unionAll(frontier)
     return seen

@@ -148,7 +148,7 @@ def j11(spark, d):
     return lines.select("part").distinct().join(gone, "part", "left_semi").join(kept, "part", "left_anti")
 
 
-@register("j14_nearest_time", f"WITH {EV} SELECT event_type, event_id, abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 08:00:00')) AS gap_us, row_number() OVER w AS rn FROM ev QUALIFY rn <= 5 WINDOW w AS (PARTITION BY event_type ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 08:00:00')), event_id)")
+@register("j14_nearest_time", f"WITH {EV} SELECT event_type, event_id, abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 08:00:00')) AS gap_us, row_number() OVER w AS rn FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-10 08:00:00')), event_id) QUALIFY rn <= 5")
 def j14(spark, d):
     return temporal.nearest(views.events(spark, d), "2024-01-10 08:00:00", "ts", "event_id", 5, ["event_type"]).select("event_type", "event_id", "gap_us", "rn")
 
