@@ -1 +1 @@
-"""streaming of the corvane engine."""
+"""Structured Streaming pipelines of the corvane engine."""
