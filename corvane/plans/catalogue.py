@@ -19,4 +19,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-from corvane.plans import q_core, q_evaluation, q_retrieval  # noqa: E402, F401  the modules register their queries
+from corvane.plans import q_core, q_evaluation, q_more, q_retrieval  # noqa: E402, F401  the modules register their queries
