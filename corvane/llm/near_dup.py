@@ -6,10 +6,11 @@ the latest register, so most elements are drawn once.  Two documents agree in a
 similarity J_P (the plain Jaccard similarity where no shingle repeats).  Bands of registers give candidates; J_P itself
 is then computed from the shingles of the pair.
 
-Within a bucket no pairs are listed.  All members are compared with a leader (the smallest), the leader leaves, and the
-rest goes on with the next leader as long as a link could be missing: 1 - J_P is a metric, so two members that differ in
-their distance to a leader by more than 1 - threshold cannot be linked, and a bucket whose members already share a class
-is done.  Classes are the connected components of the links, by hooking and pointer jumping on joins.
+Within a bucket not all pairs are listed.  All members are compared with a leader (the smallest node).  1 - J_P is a
+metric, so members that differ in their distance to the leader by more than 1 - threshold cannot be linked.  Where the
+rest of a bucket is in several classes by then, the members outside its largest-standing class (that of the smallest
+label) become leaders in turn, four times as many each round, and are compared with the members of other classes only,
+until every bucket is of one class or has no member left that has not been compared.  Classes are the connected components of the links, by hooking and pointer jumping on joins.
 
 Defined cases: null text is empty; texts with fewer than five words are one shingle of all their words; texts without a
 word are in a class with exact copies only; exact copies share one representative and are never compared; null ids are
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,33 +173,58 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = lower
 
 
+def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after linking: only links between different labels count, and only these labels are a graph."""
+    label = lambda n: labels.select(F.col("node").alias(n), F.col("label").alias(f"{n}_label"))
+    crossing = links.join(label("node"), "node").join(label("leader"), "leader").where("node_label <> leader_label")
+    crossing = stored(crossing.select(F.col("node_label").alias("a"), F.col("leader_label").alias("b")).distinct(), "crossing")
+    if crossing.limit(1).count() == 0:
+        return labels
+    ends = stored(crossing.select(F.col("a").alias("node")).unionAll(crossing.select("b")).distinct().select("node", F.col("node").alias("label")), "ends")
+    top = components(ends, crossing).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return stored(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def classes(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, label for every node that is linked to another.  nodes (stored): node, _bands, _keys, _counts."""
+    """node, label for every node that shares a bucket with another.  nodes (stored): node, _bands, _keys, _counts."""
     members = nodes.select("node", F.explode("_bands").alias("bucket"))
-    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "buckets")
-    active = stored(members.join(shared, "bucket"), "active")
+    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader"), "buckets")
+    active = stored(members.join(shared, "bucket"), "active")  # bucket, node, leader: the first leader is the smallest node
     crowd = shuffle_or_broadcast(stored(active.select("node").distinct(), "crowd"))
     sketches = stored(nodes.join(crowd, "node", "left_semi").select("node", "_keys", "_counts"), "sketches")
-    labels = stored(sketches.select("node", F.col("node").alias("label")), "labels")
-    known, reach = None, 1 - threshold
-    while active.limit(1).count():
-        leaders = stored(active.groupBy("bucket").agg(F.min("node").alias("leader")), "leaders")
-        led = stored(active.join(leaders, "bucket").where("node <> leader"), "led")
+    labels = sketches.select("node", F.col("node").alias("label"))
+    of_leader = sketches.select(F.col("node").alias("leader"), F.col("_keys").alias("keys_b"), F.col("_counts").alias("counts_b"))
+    verified, many = None, 1
+    while True:
+        led = active.where("node <> leader") if verified is None else active
         pairs = led.select("node", "leader").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("node", "leader"), ["node", "leader"], "left_anti")
+        if verified is not None:
+            pairs = pairs.join(verified.select("node", "leader"), ["node", "leader"], "left_anti")
         pairs = stored(pairs, "pairs")
-        of_leader = sketches.select(F.col("node").alias("leader"), F.col("_keys").alias("keys_b"), F.col("_counts").alias("counts_b"))
         both = pairs.join(sketches, "node").join(of_leader, "leader").select("node", "leader", "_keys", "_counts", "keys_b", "counts_b")
         fresh = stored(both.mapInArrow(_verify, "node bigint, leader bigint, sim double"), "verified")
-        labels = components(labels, fresh.where(F.col("sim") >= threshold).select(F.col("node").alias("a"), F.col("leader").alias("b")))
-        known = fresh if known is None else stored(known.unionAll(fresh), "known")
-        # What is left of a bucket: members too far from the leader, and near ones that these could still be linked to
-        judged = led.join(known, ["node", "leader"]).join(labels, "node")
-        left = judged.groupBy("bucket").agg(F.max("sim").alias("most_sim"), F.max(F.when(F.col("sim") < threshold, F.col("sim"))).alias("far"), F.min("label").alias("low"), F.max("label").alias("high"))
-        left = stored(left.where(F.col("far").isNotNull() & (F.col("low") != F.col("high"))).select("bucket", "far"), "left")
-        active = stored(led.join(known, ["node", "leader"]).join(left, "bucket").where((F.col("sim") < threshold) | (F.col("sim") <= F.col("far") + reach)).select("bucket", "node"), "active")
-    return labels
+        labels = _merge(labels, fresh.where(F.col("sim") >= threshold).select("node", "leader"))
+        if verified is None:
+            # Members close to the leader cannot be linked to the bucket's far ones if all of these are too far off
+            judged = led.join(fresh, ["node", "leader"])
+            far = stored(judged.where(F.col("sim") < threshold).groupBy("bucket").agg(F.max("sim").alias("far")), "far")
+            rest = stored(judged.join(far, "bucket").where((F.col("sim") < threshold) | (F.col("sim") <= F.col("far") + 1 - threshold)).select("bucket", "node"), "rest")
+            verified = fresh
+        else:
+            rest = stored(rest.join(leaders, (rest["bucket"] == leaders["l_bucket"]) & (rest["node"] == leaders["leader"]), "left_anti"), "rest")
+            verified = stored(verified.unionAll(fresh), "verified")
+        # Buckets with members of several classes go on; leaders are the members outside the class of the smallest label
+        placed = stored(rest.join(labels, "node"), "placed")
+        mixed = stored(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "low"), "mixed")
+        if mixed.limit(1).count() == 0:
+            return labels
+        many *= 4
+        placed = stored(placed.join(mixed, "bucket"), "placed")
+        w = W.partitionBy("bucket").orderBy("node")
+        outside = placed.where("label <> low").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= many)  # pruned to `many` a bucket before the shuffle
+        leaders = stored(outside.select(F.col("bucket").alias("l_bucket"), F.col("node").alias("leader"), F.col("label").alias("l_label")), "leaders")
+        active = placed.join(leaders, F.col("bucket") == F.col("l_bucket")).where("label <> l_label").select("bucket", F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
+        rest = placed.select("bucket", "node")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
