@@ -410,7 +410,7 @@ def m15(spark, d):
 SELECT o_orderkey, CASE WHEN p THEN r.o_orderdate ELSE l.o_orderdate END AS o_orderdate, CASE WHEN p THEN r.o_orderstatus ELSE l.o_orderstatus END AS o_orderstatus, CASE WHEN p THEN 'remote' ELSE 'local' END AS winner FROM l FULL JOIN r USING (o_orderkey), LATERAL (SELECT r.o_orderdate IS NOT NULL AND (l.o_orderdate IS NULL OR r.o_orderdate > l.o_orderdate) AS p)""")
 def m16(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
-    moved = F.timestamp_micros(scores.micros(F.col("o_orderdate")) + (F.col("o_orderkey") % 5 - 2) * 86_400_000_000)
+    moved = F.timestamp_micros(scores.micros(F.col("o_orderdate")) + (F.col("o_orderkey") % 5 - 2) * 86_400_000_000).cast("timestamp_ntz")
     remote = orders.where("o_orderkey % 3 <> 1").select("o_orderkey", moved.alias("o_orderdate"), F.lit("R").alias("o_orderstatus"))
     return tables.merge_lww(orders.where("o_orderkey % 3 <> 0"), remote, "o_orderkey", "o_orderdate", ["o_orderstatus"])
 

@@ -31,7 +31,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
-        "doc_id", F.col("text").alias("content"), F.col("source").alias("project"), "lang", F.timestamp_micros(start + F.col("doc_id") * 60_000_000).alias("created_at"), "n_chars",
+        "doc_id", F.col("text").alias("content"), F.col("source").alias("project"), "lang", F.timestamp_micros(start + F.col("doc_id") * 60_000_000).cast("timestamp_ntz").alias("created_at"), "n_chars",
         F.coalesce("toxic", F.lit(0)).alias("toxic"), "quality")
 
 

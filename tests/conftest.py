@@ -12,7 +12,7 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from corvane.session import local_session
 
-    session = local_session("4", 4)
+    session = local_session(os.environ.get("TEST_CPUS", "4"), 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

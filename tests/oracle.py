@@ -25,7 +25,8 @@ def _rows(table: pa.Table) -> tuple[list[str], list[tuple]]:
 
 def same(df, sql: str, connection) -> str | None:
     """What differs, or None."""
-    got, want = _rows(df.toArrow()), _rows(connection.execute(sql).arrow().read_all() if hasattr(connection.execute(sql).arrow(), "read_all") else connection.execute(sql).arrow())
+    found = connection.sql(sql).arrow()
+    got, want = _rows(df.toArrow()), _rows(found.read_all() if hasattr(found, "read_all") else found)
     if got[0] != want[0]:
         return f"columns {got[0]} and {want[0]}"
     if got[1] != want[1]:
