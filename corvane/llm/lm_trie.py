@@ -3,7 +3,7 @@
 Documents are read in blocks.  A block sends the distinct n-grams of its tokens, with their counts in training
 documents, to shards by context; each shard sums them, builds its part of the trie as memory-mapped levels, looks up the
 n-grams of every block and sends back quantised values; the block then scores its documents.  So no task holds more than
-a block or a shard, and nothing of the model passes through the driver but two totals.
+a block or a shard, and nothing of the model passes through the driver; each answer has its shard's totals.
 
 A level of the trie has the sorted hashes of its contexts (Elias-Fano), monotone pointers to the range of each context's
 successors (Elias-Fano), the successors' fingerprints sorted within their context, and 8-bit logarithmic codes: of the
@@ -14,8 +14,8 @@ context, then searches its own successors only.  P_n = value_n + weight_n * P_(n
 Very frequent contexts (from a bounded sample; this routes only, results do not depend on it) are spread over all shards,
 and each block tells every shard its count of them, so that their values are as exact as any.
 
-Words are 64-bit hashes; longer contexts have 40-bit hashes with 24-bit successors (pairs: 32 and 32), so an unseen
-n-gram is taken for a seen one with probability (successors of its context) / 2^24 (pairs: 2^32).
+Words are 64-bit hashes; longer contexts have 36-bit hashes with 20-bit successors (pairs: 32 and 32), so an unseen
+n-gram is taken for a seen one with probability (successors of its context) / 2^20 (pairs: 2^32).
 
 Defined cases: null text is empty (one end token); a null id counts as a training document; repeated rows are learned
 and scored each; an empty table gives an empty table.  `docs` must give the same rows in the same order when read again,
@@ -37,13 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit
-from corvane.llm.shared import stored
 
 _U = np.uint64
 BOS, END = _U(0x5AFE5AFE5AFE0001), _U(0x5AFE5AFE5AFE0002)
 ORDER, STRENGTH, STEP = 3, {2: 60.0, 3: 12.0}, 0.04
-BLOCK_BYTES, SHARD_BYTES, MIN_SHARDS = 16 << 20, 6 << 20, 24
-SAMPLE_ROWS, MAX_HOT = 2000, 256
+BLOCK_BYTES, SHARD_BYTES, MIN_SHARDS = 12 << 20, 6 << 20, 24
+SAMPLE_ROWS, SAMPLE_BYTES, MAX_HOT = 1000, 1 << 16, 256
 
 
 def join_parts(parts: list[bytes]) -> bytes:
@@ -135,18 +134,19 @@ class EliasFano:
 
 def successor(read, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
     """Binary search of each wanted value in its own sorted range [lo, hi); -1 where it is not."""
-    end, lo, hi = hi, lo.astype(np.int64).copy(), hi.astype(np.int64).copy()
-    open_ = np.flatnonzero(lo < hi)
-    while len(open_):
-        mid = (lo[open_] + hi[open_]) >> 1
-        less = read(mid) < want[open_]
-        lo[open_[less]] = mid[less] + 1
-        hi[open_[~less]] = mid[~less]
-        open_ = open_[lo[open_] < hi[open_]]
-    found = np.flatnonzero(lo < end)
-    hit = found[read(lo[found]) == want[found]] if len(found) else found
     out = np.full(len(lo), -1, np.int64)
-    out[hit] = lo[hit]
+    some = np.flatnonzero(lo < hi)
+    lo, end, want = lo[some], hi[some], want[some]
+    span = end - lo  # lo moves to the last place whose value is not above the wanted one
+    while len(span) and (most := int(span.max())) > 1:
+        open_ = np.flatnonzero(span > 1) if most > 2 else slice(None)
+        half = span[open_] >> 1
+        place = lo[open_] + half
+        right = read(place) <= want[open_] if most > 2 else (read(place) <= want) & (half > 0)
+        lo[open_] = np.where(right, place, lo[open_])
+        span[open_] = np.where(right, span[open_] - half, half) if most > 2 else 1
+    hit = read(lo) == want
+    out[some[hit]] = lo[hit]
     return out
 
 
@@ -178,8 +178,16 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
 # --- trie ---------------------------------------------------------------------------------------------------------
 
 
+def context_bits(order: int) -> int:
+    return 32 if order == 2 else 36
+
+
 def successor_bits(order: int) -> int:
-    return 32 if order == 2 else 24
+    return 32 if order == 2 else 20
+
+
+def key_bits(order: int) -> int:
+    return 64 if order == 1 else context_bits(order) + successor_bits(order)
 
 
 class Trie:
@@ -236,14 +244,15 @@ class Trie:
         context = keys >> _U(bits)
         # sorted keys ask for a context once
         first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        which = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
-        at = contexts.find(context[first])[which]
-        seen = np.flatnonzero(at >= 0)
-        at = at[seen]
-        weight[seen] = weights[at]
+        asked = np.diff(np.append(first, len(keys)))
+        at = contexts.find(context[first])
+        there = at >= 0
+        at, where = at[there], np.flatnonzero(np.repeat(there, asked))
         lo, hi = pointers.get(at).astype(np.int64), pointers.get(at + 1).astype(np.int64)
-        found = successor(lambda i: read_bits(successors, i, bits), lo, hi, keys[seen] & _U((1 << bits) - 1))
-        value[seen[found >= 0]] = values[found[found >= 0]]
+        each = np.repeat(np.arange(len(at)), asked[there])
+        weight[where] = weights[at][each]
+        found = successor(lambda i: read_bits(successors, i, bits), lo[each], hi[each], keys[where] & _U((1 << bits) - 1))
+        value[where[found >= 0]] = values[found[found >= 0]]
         return value, weight
 
 
@@ -281,7 +290,7 @@ class Block:
             ok = place >= k
             before[ok] = t[np.flatnonzero(ok) - k]
             context = before if context is None else textkit.mix64(context * _U(3) + before)
-        return (context >> _U(bits)) << _U(bits) | t & _U((1 << bits) - 1)
+        return (context >> _U(64 - context_bits(order))) << _U(bits) | t & _U((1 << bits) - 1)
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys in order and their counts in training documents."""
@@ -289,12 +298,22 @@ class Block:
         known, counts = textkit.sorted_unique(keys[self.trains])
         if self.trains.all():
             return known, counts
-        every = np.union1d(known, keys[~self.trains])
+        every, _ = textkit.sorted_unique(keys)
         out = np.zeros(len(every), np.int64)
         out[np.searchsorted(every, known)] = counts
         return every, out
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the number of each key among them."""
+    by = np.argsort(keys)
+    ranked = keys[by]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(keys) else np.zeros(0, bool)
+    number = np.empty(len(keys), np.int32)
+    number[by] = np.cumsum(first, dtype=np.int32) - 1
+    return ranked[first], number
+
+
 def pack_docs(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """Ids, bytes and offsets of consecutive documents, about `limit` bytes of text at a time."""
     held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
@@ -334,18 +353,23 @@ class Routes:
     def __init__(self, shards: int, hot: dict[int, np.ndarray]):
         self.shards, self.hot = shards, hot
 
-    def _shard(self, x: np.ndarray) -> np.ndarray:
-        return (((x >> _U(32)) * _U(self.shards)) >> _U(32)).astype(np.int64)
+    def _shard(self, x: np.ndarray, bits: int) -> np.ndarray:
+        return (((x >> _U(bits - 32)) * _U(self.shards)) >> _U(32)).astype(np.int64)
 
     def arrange(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Positions of the sorted keys in shard order and bounds of each shard; then the same for spread keys."""
         bounds = lambda s: np.searchsorted(s, np.arange(self.shards + 1))
-        spread = np.isin(keys >> _U(successor_bits(order)), self.hot[order]) if order > 1 else np.zeros(len(keys), bool)
+        spread = np.zeros(len(keys), bool)
+        if order > 1 and len(self.hot[order]):  # runs of keys of a hot context
+            bits = _U(successor_bits(order))
+            lo, hi = np.searchsorted(keys, self.hot[order] << bits), np.searchsorted(keys, (self.hot[order] << bits) | ((_U(1) << bits) - _U(1)), "right")
+            for a, b in zip(lo.tolist(), hi.tolist()):
+                spread[a:b] = True
         plain, hot = np.flatnonzero(~spread), np.flatnonzero(spread)
         # word hashes and contexts have random high bits, so sorted keys are in shard order
-        shard = self._shard(textkit.mix64(keys[hot]))
+        shard = self._shard(textkit.mix64(keys[hot]), 64)
         by = np.argsort(shard, kind="stable")
-        return plain, bounds(self._shard(keys[plain])), hot[by], bounds(shard[by])
+        return plain, bounds(self._shard(keys[plain], key_bits(order))), hot[by], bounds(shard[by])
 
 
 def _ask(order: int, routes: Routes, limit: int):
@@ -385,7 +409,7 @@ def _answer(order: int, routes: Routes, strength: dict[int, float]):
             counts = np.concatenate([unpack_counts(p[4 * k + 2], len(a) + len(b)) for p, (a, b) in zip(asked, keys[k])])
             trained = counts > 0
             every, counts = every[trained], counts[trained]
-            by = np.argsort(every)
+            by = np.argsort(every, kind="stable")  # merges the blocks' sorted runs
             every, counts = every[by], counts[by]
             first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
             totals = {}
@@ -427,19 +451,18 @@ def _carry(limit: int):
     return run
 
 
-def _score(order: int, routes: Routes, n_train: int, n_types: int):
+def _score(order: int, routes: Routes):
     """For cogrouped applyInArrow on a block: its documents and all answers to it."""
     import zstandard
 
-    def one(ids: list, buf: np.ndarray, offs: np.ndarray, answers: dict[int, list[bytes]]) -> pa.Table:
+    def one(ids: list, buf: np.ndarray, offs: np.ndarray, answers: dict[int, list[bytes]], n_train: int, n_types: int) -> pa.Table:
         block = Block(ids, buf, offs, order)
         p = np.zeros(0)
         for n in range(1, order + 1):
-            keys, _ = block.grams(n)
+            keys, at = numbered(block.keys(n))  # the same keys, in the same order, as the block has asked for
             plain, cuts, hot, hot_cuts = routes.arrange(n, keys)
             if n == 1:
                 counts = np.concatenate([unpack_counts(answers[s][0], int(cuts[s + 1] - cuts[s])) for s in range(routes.shards)])
-                at = np.searchsorted(keys, block.keys(1))
                 c = counts[at]
                 base = np.log10((c + 1) / (n_train + n_types + 1))
                 p, known = (c + 1) / (n_train + n_types + 1), c > 0
@@ -449,7 +472,6 @@ def _score(order: int, routes: Routes, n_train: int, n_types: int):
             for out, k in ((value, 0), (weight, 1)):
                 out[plain] = np.frombuffer(b"".join(zlib.decompress(answers[s][first + k]) for s in range(routes.shards)), np.uint8)
                 out[hot] = np.frombuffer(b"".join(zlib.decompress(answers[s][first + 2 + k]) for s in range(routes.shards)), np.uint8)
-            at = np.searchsorted(keys, block.keys(n))
             p = np.minimum(VALUES[value[at]] + WEIGHTS[weight[at]] * p, 1.0)
         total = lambda x: np.add.reduceat(x, block.first)
         return pa.table({
@@ -458,33 +480,33 @@ def _score(order: int, routes: Routes, n_train: int, n_types: int):
         })
 
     def run(docs: pa.Table, answered: pa.Table) -> pa.Table:
-        answers = {s: split_parts(a) for s, a in zip(answered.column("shard").to_pylist(), answered.column("answer").to_pylist())}
+        shards = answered.column("shard").to_pylist()
+        answers = {s: split_parts(a) for s, a in zip(shards, answered.column("answer").to_pylist())}
+        n_train, n_types = (sum(dict(zip(shards, answered.column(c).to_pylist())).values()) for c in ("tokens", "types"))
         if len(answers) != routes.shards:
             raise RuntimeError("a block was not asked for: the documents changed between two readings")
         made, expand = [], zstandard.ZstdDecompressor()
         for blob in docs.column("docs"):
             ids, nulls, offs, buf = split_parts(blob.as_py())
             known = np.frombuffer(expand.decompress(ids), np.int64).tolist()
-            made.append(one([None if null else i for i, null in zip(known, nulls)], np.frombuffer(expand.decompress(buf), np.uint8), np.frombuffer(expand.decompress(offs), "<i8"), answers))
+            made.append(one([None if null else i for i, null in zip(known, nulls)], np.frombuffer(expand.decompress(buf), np.uint8), np.frombuffer(expand.decompress(offs), "<i8"), answers, n_train, n_types))
         return pa.concat_tables(made)
 
     return run
 
 
 def _hot_contexts(docs: DataFrame, order: int, shards: int) -> dict[int, np.ndarray]:
-    """Contexts that take over a quarter of a mean shard in a sample of at most SAMPLE_ROWS documents, the MAX_HOT most frequent of each order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, buf, offs in pack_docs(batches, BLOCK_BYTES):
-            block = Block(ids, buf, offs, order)
-            for n in range(2, order + 1):
-                context, count = textkit.sorted_unique(block.keys(n) >> _U(successor_bits(n)))
-                top = np.argsort(-count)[:MAX_HOT]
-                top = top[count[top] * 4 * shards > len(block.tokens)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), n, np.int32)), pa.array(context[top].astype(np.int64))], ["n", "context"])
-
-    found = docs.limit(SAMPLE_ROWS).mapInArrow(run, "n int, context bigint").distinct().collect()
-    return {n: np.array(sorted({r.context for r in found if r.n == n})[: 4 * MAX_HOT], np.uint64) for n in range(2, order + 1)}
+    """Contexts that take over a quarter of a mean shard, at most MAX_HOT of each order, by a sample of at most SAMPLE_ROWS documents of SAMPLE_BYTES."""
+
+    rows = docs.where(F.octet_length("text") <= SAMPLE_BYTES).limit(SAMPLE_ROWS).collect()
+    if not rows:
+        return {n: np.zeros(0, np.uint64) for n in range(2, order + 1)}
+    block, out = Block([r.doc_id for r in rows], *textkit.flatten(pa.array([r.text for r in rows], pa.string())), order), {}
+    for n in range(2, order + 1):
+        context, count = textkit.sorted_unique(block.keys(n) >> _U(successor_bits(n)))
+        top = np.argsort(-count)[:MAX_HOT]
+        out[n] = np.sort(context[top[count[top] * 4 * shards > len(block.tokens)]])
+    return out
 
 
 def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, strength: dict[int, float] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS) -> DataFrame:
@@ -495,8 +517,6 @@ def score_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     shards = max(min_shards, -(-size // shard_bytes))
     routes = Routes(shards, _hot_contexts(docs, order, shards))
     asked = docs.mapInArrow(_ask(order, routes, block_bytes), "shard int, block bigint, ask binary")
-    answered = stored(asked.groupBy("shard").applyInArrow(_answer(order, routes, strength), "shard int, block bigint, tokens bigint, types bigint, answer binary"), "answers")
-    sums = answered.groupBy("shard").agg(F.max("tokens").alias("tokens"), F.max("types").alias("types")).agg(F.sum("tokens"), F.sum("types")).collect()[0]
+    answered = asked.groupBy("shard").applyInArrow(_answer(order, routes, strength), "shard int, block bigint, tokens bigint, types bigint, answer binary")
     carried = docs.mapInArrow(_carry(block_bytes), "block bigint, docs binary")
-    score = _score(order, routes, int(sums[0] or 0), int(sums[1] or 0))
-    return carried.groupBy("block").cogroup(answered.select("block", "shard", "answer").groupBy("block")).applyInArrow(score, _SCORES)
+    return carried.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_score(order, routes), _SCORES)

@@ -122,18 +122,15 @@ def _hash(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool)
     longest = int(length.max())
     if longest > len(_POWERS):
         _POWERS = _powers(longest + 64)
-    value = (_BYTE_LOWER if lower else _BYTE_VALUE)[piece]
-    # within a word: byte k has the power k; bytes between words get any power, as they are not summed
-    index = np.arange(len(piece), dtype=np.int64)
-    base = np.zeros(len(piece), np.int64)
-    base[starts] = starts
-    np.maximum.accumulate(base, out=base)
-    index -= base
-    np.minimum(index, longest, out=index)
-    value *= _POWERS[np.minimum(index, len(_POWERS) - 1)]
-    total = np.zeros(len(piece) + 1, np.uint64)
+    # only words' bytes are looked at; byte k of a word has the power k
+    value = (_BYTE_LOWER if lower else _BYTE_VALUE)[piece[~_IS_SPACE[piece]]]
+    ends_at = np.cumsum(length)
+    place = np.arange(len(value), dtype=np.int32)
+    place -= np.repeat((ends_at - length).astype(np.int32), length)
+    value *= _POWERS[place]
+    total = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(value, out=total[1:])
-    return mix64((total[ends] - total[starts]) ^ (length.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
+    return mix64((total[ends_at] - total[ends_at - length]) ^ (length.astype(np.uint64) * _U(0x9E3779B97F4A7C15)))
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
