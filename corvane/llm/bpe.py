@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.shared import text_blocks
+from corvane.llm.shared import keeps_memory, small_batches, text_blocks
 
 
 class Vocabulary:
@@ -81,7 +82,7 @@ class Vocabulary:
         The last merges of both sides are undone, latest first.  A merge across the border would have happened
         before every merge of a higher rank that is still standing; equal ranks merge from the left.
         """
-        if len(self.kept) > 500_000:
+        if len(self.kept) > 250_000:
             self.kept.clear()
         left, right = pair >> 32, pair & 0xFFFFFFFF
         self.kept[pair] = out = self.reachable(right) and self._keeps(left, right)
@@ -161,7 +162,7 @@ class PrefixTable:
 class _Pieces(dict):
     """Little-endian ids of each match of the pattern; computed by the prefix table when a match is new."""
 
-    LIMIT = 300_000
+    LIMIT = 150_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
@@ -186,7 +187,7 @@ class _Chunks(dict):
     can belong to a longer run of white space; it is None here, and the text then goes through the pattern whole.
     """
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
@@ -230,6 +231,15 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def _release() -> None:
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its caches refer to each other
+
+
+keeps_memory(__name__, _release)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds token_ids (little-endian unsigned 32-bit) and decoded (the bytes of these ids) to the `keep` columns.
 
@@ -243,7 +253,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
         out = [rows.column(rows.schema.get_field_index(k)) for k in keep]
         return pa.RecordBatch.from_arrays([*out, pa.array(ids, pa.binary()), pa.array(map(e.decode, ids), pa.binary())], [*keep, "token_ids", "decoded"])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(text_blocks(block, text), schema)
+    return small_batches(docs).select(*dict.fromkeys([*keep, text])).mapInArrow(text_blocks(block, text), schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,23 +29,61 @@ def shared_folder(df: DataFrame) -> str:
     return found
 
 
+#: Arrow batches between the JVM and Python are cut to so many bytes, so that workers and off-heap buffers stay small.
+BATCH = "8m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's size of Arrow batches, unless it has been set to less already."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m") in ("67108864b", "64m"):
+        conf.set(key, BATCH)
+    return df
+
+
+def give_back() -> None:
+    """Returns freed memory of an idle Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation."""
+    small_batches(df)
     path = f"{shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: By owner, what frees the memory that an operator keeps in a Python worker between its tasks.
+_KEPT: dict[str, Callable[[], object]] = {}
+
+
+def keeps_memory(owner: str, release: Callable[[], object]) -> None:
+    _KEPT[owner] = release
+
+
+def release_others(owner: str) -> None:
+    """Python workers are reused by Spark; an operator that starts frees what others have left there."""
+    for name, release in _KEPT.items():
+        if name != owner:
+            release()
+
+
 def text_blocks(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], text: str, limit: int = BLOCK) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: calls fn(rows, utf8 bytes, offsets) on blocks of rows with at most `limit` bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(fn.__module__)
         for batch in batches:
             if not batch.num_rows:
                 continue
             buf, offs = textkit.flatten(batch.column(batch.schema.get_field_index(text)))
             for lo, hi in textkit.blocks(offs, limit):
                 yield fn(batch.slice(lo, hi - lo), buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+            batch = buf = offs = None
+        give_back()
 
     return run
 
