@@ -19,7 +19,7 @@ BUDGET_SHARE = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the word rules or are depleted of all but boilerplate lines go."""
+    """Documents that fail the word rules or are depleted of all but boilerplate lines go; the others lose such lines."""
     return quality.keep_documents(docs)
 
 

@@ -2,8 +2,8 @@
 
 Lines are normalised (outer spaces stripped, inner runs of spaces made one, A-Z lower-cased) and hashed.  For each host
 the distinct document texts that hold a line are counted; short lines above the limits are boilerplate.  The first
-document of a host keeps its boilerplate lines, all others lose them, and a document that keeps too few of its words
-is rejected as depleted.
+document of a line keeps it, all others lose it from their texts, and a document that keeps too few of its words is
+rejected as depleted.
 
 Defined cases: null text has no words and fails the word rules; a null host is the host ''; repeated rows and exact
 copies count as one text, so copying alone never makes a line boilerplate; an empty table gives an empty table; input
@@ -26,7 +26,8 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 MIN_WORDS, MAX_REPEATED_SHARE, WINDOW = 20, 30, 8
 
-_STATS = "doc_id bigint, host string, text_hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<line: bigint, words: int>>"
+_LINES = "doc_id bigint, host string, text_hash bigint, lines array<struct<line: bigint, words: int, pos: int>>"
+_STATS = "_n_words bigint, _word_chars bigint, _n_symbols bigint, _n_dup_lines bigint, _n_repeat_words bigint, _n_boilerplate_words bigint, _left string"
 
 
 def repeated_words(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int = WINDOW) -> np.ndarray:
@@ -47,74 +48,113 @@ def repeated_words(hashes: np.ndarray, rows: np.ndarray, n_rows: int, size: int
     return np.bincount(rows, np.cumsum(edge[:-1]) > 0, n_rows).astype(np.int64)
 
 
-def _stats_block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-    n = len(offs) - 1
-    starts, _, at, hashes = textkit.words(buf, offs)
+def _line_words(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray):
+    """For each row, the bounds of its lines and the number of words in each."""
     breaks = np.flatnonzero(buf == 10)
-    dups, ends, lines, counts = np.zeros(n, np.int64), np.zeros(n + 1, np.int64), [], []
-    data = buf.tobytes()
-    for i in range(n):
+    for i in range(len(offs) - 1):
         lo, hi = int(offs[i]), int(offs[i + 1])
         cuts = np.concatenate([[lo], breaks[np.searchsorted(breaks, lo) : np.searchsorted(breaks, hi)] + 1, [hi + 1]])
-        words = np.diff(np.searchsorted(starts, np.minimum(cuts, hi)))  # a word of the next row may begin at hi
-        seen: set[bytes] = set()
+        yield cuts, np.diff(np.searchsorted(starts, np.minimum(cuts, hi)))  # a word of the next row may begin at hi
+
+
+def _lines_block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+    """The hash, words and place of every line that has words."""
+    starts, *_ = textkit.words(buf, offs)
+    data, ends, lines, counts, places = buf.tobytes(), np.zeros(len(offs), np.int64), [], [], []
+    for i, (cuts, words) in enumerate(_line_words(buf, offs, starts)):
         for k in np.flatnonzero(words).tolist():
-            line = data[cuts[k] : cuts[k + 1] - 1]
-            if line in seen:
-                dups[i] += 1
-            seen.add(line)
-            lines.append(xxhash.xxh64_intdigest(b" ".join(line.lower().split())))
+            lines.append(xxhash.xxh64_intdigest(b" ".join(data[cuts[k] : cuts[k + 1] - 1].lower().split())))
             counts.append(int(words[k]))
+            places.append(k)
         ends[i + 1] = len(lines)
-    line_column = pa.StructArray.from_arrays([pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.array(counts, np.int32))], ["line", "words"])
+    line_column = pa.StructArray.from_arrays([pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.array(counts, np.int32)), pa.array(np.array(places, np.int32))], ["line", "words", "pos"])
+    return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), line_column)], ["doc_id", "host", "text_hash", "lines"])
+
+
+def _stats_block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
+    """The other columns, the figures of the word rules, and the text without the lines listed in `_drop`."""
+    n = len(offs) - 1
+    starts, _, at, hashes = textkit.words(buf, offs)
+    dups, lost, changed = np.zeros(n, np.int64), np.zeros(n, np.int64), {}
+    data, drops = buf.tobytes(), rows.column(rows.schema.get_field_index("_drop")).to_pylist()
+    for i, (cuts, words) in enumerate(_line_words(buf, offs, starts)):
+        full = [data[cuts[k] : cuts[k + 1] - 1] for k in np.flatnonzero(words).tolist()]
+        dups[i] = len(full) - len(set(full))
+        if drops[i] is not None:
+            drop = np.array(drops[i].split(","), np.int64)
+            lost[i] = words[drop].sum()
+            keep = np.ones(len(words), bool)
+            keep[drop] = False
+            changed[i] = b"\n".join([data[cuts[k] : cuts[k + 1] - 1] for k in np.flatnonzero(keep).tolist()]).decode()
+    left = rows.column(rows.schema.get_field_index("_text"))
+    if changed:
+        left = pa.array([changed.get(i, x) for i, x in enumerate(left.to_pylist())], pa.string())
+    others = [x for x in rows.schema.names if x not in ("_text", "_drop")]
     return pa.RecordBatch.from_arrays(
         [
-            rows.column(0), rows.column(1), rows.column(2),
+            *(rows.column(rows.schema.get_field_index(x)) for x in others),
             pa.array(np.bincount(at, minlength=n).astype(np.int64)),
             pa.array(textkit.code_points_in_words(buf, offs)),
             pa.array(textkit.per_row(_IS_SYMBOL[buf], offs)),
             pa.array(dups),
             pa.array(repeated_words(hashes, at, n)),
-            pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), line_column),
+            pa.array(lost),
+            left,
         ],
-        ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+        [*others, "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_n_boilerplate_words", "_left"],
     )
 
 
-def judge(
+def boilerplate(
     docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text",
-    min_documents: int = 20, min_share: float = 0.01, max_line_words: int = 15, min_words_left: float = 0.3,
+    min_documents: int = 20, min_share: float = 0.01, max_line_words: int = 15,
 ) -> DataFrame:
-    """One row for each input row: the word rules' figures, the words lost to boilerplate lines, and the verdict.
+    """_id, _host, _hash and _drop (numbers of the lines to remove) of each text that loses a line.
 
     A line of at most `max_line_words` words is above the limits of its host if it is in more than `min_documents`
-    distinct texts and in more than `min_share` of the host's distinct texts.  A document is depleted if less than
-    `min_words_left` of its words are outside such lines.
+    distinct texts and in more than `min_share` of the host's distinct texts.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    table = stored(rows.mapInArrow(text_blocks(_stats_block, "text"), _STATS).withColumn("row", F.monotonically_increasing_id()), "quality")
-    lines = table.select("row", "doc_id", "host", "text_hash", F.inline("lines")).where(F.col("words") <= max_line_words)
+    table = stored(rows.mapInArrow(text_blocks(_lines_block, "text"), _LINES), "quality")
+    lines = table.select("doc_id", "host", "text_hash", F.inline("lines")).where(F.col("words") <= max_line_words)
     # Both counts are two-step aggregates: a hot line or host is first reduced within each map task.
     hosts = table.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
     frequent = stored(
         lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first_doc"))
         .where(F.col("n") > min_documents).join(hosts, "host").where(F.col("n") > F.col("texts") * min_share).select("host", "line", "first_doc"), "frequent")
-    lost = (
-        lines.join(shuffle_or_broadcast(frequent), ["host", "line"])
-        .where(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).groupBy("row").agg(F.sum("words").alias("lost"))
-    )
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_SHARE * F.col("n_words"))
-    gone = F.coalesce("lost", F.lit(0)).cast("bigint")
-    depleted = (F.col("n_words") - gone) < min_words_left * F.col("n_words")
-    return table.drop("lines").join(lost, "row", "left").select(
-        "doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        gone.alias("n_boilerplate_words"), failed.alias("base_failed"), (~failed & ~depleted).alias("kept"),
-    )
+    lost = lines.join(shuffle_or_broadcast(frequent), ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    places = F.array_join(F.collect_set("pos").cast("array<string>"), ",")
+    return lost.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")).agg(places.alias("_drop"))
+
+
+def _judged(docs: DataFrame, carry: list[str], *, doc_id: str = "doc_id", host: str = "source", text: str = "text", min_words_left: float = 0.3, **limits) -> DataFrame:
+    """The columns to carry, the figures, `_failed`, `_kept`, and `_left`: the text without the lines above the limits."""
+    drops = shuffle_or_broadcast(stored(boilerplate(docs, doc_id=doc_id, host=host, text=text, **limits), "boilerplate"))
+    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")) & (F.coalesce(F.col(host), F.lit("")) == F.col("_host"))
+    joined = docs.join(drops, same, "left").select(*carry, F.col(text).alias("_text"), "_drop")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_drop")] + [_STATS])
+    failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEATED_SHARE * F.col("_n_words"))
+    depleted = (F.col("_n_words") - F.col("_n_boilerplate_words")) < min_words_left * F.col("_n_words")
+    return joined.mapInArrow(text_blocks(_stats_block, "_text"), schema).withColumns({"_failed": failed, "_kept": ~failed & ~depleted})
+
+
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """One row for each input row: the word rules' figures, the words lost to boilerplate lines, the verdict, and `left_text`.
+
+    `left_text` is the text without the lines above the limits (see `boilerplate`).  A document is depleted if less than
+    `min_words_left` of its words are outside such lines.
+    """
+    doc_id, host = options.get("doc_id", "doc_id"), options.get("host", "source")
+    out = _judged(docs.withColumns({"_doc": F.col(doc_id).cast("bigint"), "_source": F.coalesce(F.col(host), F.lit(""))}), ["_doc", "_source"], **options)
+    figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words")
+    return out.select(F.col("_doc").alias("doc_id"), F.col("_source").alias("host"), *(F.col("_" + c).alias(c) for c in figures), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_left").alias("left_text"))
 
 
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
-    """The input rows, with all their columns, that `judge` keeps."""
-    text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
-    rejected = stored(judge(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("host").alias("_host")).distinct(), "rejected")
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")) & (F.coalesce(F.col(options.get("host", "source")), F.lit("")) == F.col("_host"))
-    return docs.join(shuffle_or_broadcast(rejected), same, "left_anti")
+    """The input rows that `judge` keeps, with all their columns and without their lines above the limits."""
+    text = options.get("text", "text")
+    kept = _judged(docs, [c for c in docs.columns if c != text], **options).where("_kept")
+    changed = {text: F.col("_left")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("_n_boilerplate_words") > 0, F.length("_left")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return kept.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))

@@ -39,7 +39,7 @@ def op6_wav_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def op5_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(_table(spark, sf_dir, "documents")).drop("host", "text_hash")
+    return quality.judge(_table(spark, sf_dir, "documents")).drop("host")
 
 
 @_register

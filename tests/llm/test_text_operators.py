@@ -163,3 +163,18 @@ def test_quality_rules_against_brute_force(spark):
     kept = quality.keep_documents(frame(spark, rows), **options)
     assert kept.columns == frame(spark, rows).columns and kept.count() == sum(n for k, n in want.items() if k[-1])
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def shared_line_rows(line, n=40, host="s0"):
+    return [(i, f"{line}\nown words " + " ".join(f"w{i}x{k}" for k in range(25)) + f"\n  {line.upper()} \n\nend {i}", None, host, 7, 0, "") for i in range(n)]
+
+
+def test_quality_removes_lines_above_limits(spark):
+    rows = shared_line_rows("all rights reserved")
+    own = {r[0]: "\n".join(r[1].split("\n")[k] for k in (1, 3, 4)) for r in rows}
+    want = {r[0]: r[1] if r[0] == 0 else own[r[0]] for r in rows}
+    out = quality.judge(frame(spark, rows)).collect()
+    assert {r.doc_id: r.left_text for r in out} == want
+    assert {r.doc_id: r.n_boilerplate_words for r in out} == {i: 6 * (i > 0) for i in range(40)}
+    kept = quality.keep_documents(frame(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in kept} == want and {r.doc_id: r.n_chars for r in kept} == {i: len(x) if i else 7 for i, x in want.items()}
