@@ -1,7 +1,7 @@
 """Quality rules: per-document word rules, and cross-document line frequency.
 
 Lines are normalised (outer spaces stripped, inner runs of spaces made one, A-Z lower-cased) and hashed.  For each host
-the distinct document texts that hold a line are counted; short lines above the limits are boilerplate.  The first
+the distinct document texts that hold a line are counted; lines above the limits are boilerplate.  The first
 document of a line keeps it, all others lose it from their texts, and a document that keeps too few of its words is
 rejected as depleted.
 
@@ -26,7 +26,7 @@ _IS_SYMBOL = np.zeros(256, bool)
 _IS_SYMBOL[list(SYMBOLS)] = True
 MIN_WORDS, MAX_REPEATED_SHARE, WINDOW = 20, 30, 8
 
-_LINES = "doc_id bigint, host string, text_hash bigint, lines array<struct<line: bigint, words: int, pos: int>>"
+_LINES = "doc_id bigint, host string, text_hash bigint, lines array<struct<line: bigint, pos: int>>"
 _STATS = "_n_words bigint, _word_chars bigint, _n_symbols bigint, _n_dup_lines bigint, _n_repeat_words bigint, _n_boilerplate_words bigint, _left string"
 
 
@@ -58,16 +58,15 @@ def _line_words(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray):
 
 
 def _lines_block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
-    """The hash, words and place of every line that has words."""
+    """The hash and place of every line that has words."""
     starts, *_ = textkit.words(buf, offs)
-    data, ends, lines, counts, places = buf.tobytes(), np.zeros(len(offs), np.int64), [], [], []
+    data, ends, lines, places = buf.tobytes(), np.zeros(len(offs), np.int64), [], []
     for i, (cuts, words) in enumerate(_line_words(buf, offs, starts)):
         for k in np.flatnonzero(words).tolist():
             lines.append(xxhash.xxh64_intdigest(b" ".join(data[cuts[k] : cuts[k + 1] - 1].lower().split())))
-            counts.append(int(words[k]))
             places.append(k)
         ends[i + 1] = len(lines)
-    line_column = pa.StructArray.from_arrays([pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.array(counts, np.int32)), pa.array(np.array(places, np.int32))], ["line", "words", "pos"])
+    line_column = pa.StructArray.from_arrays([pa.array(np.array(lines, np.uint64).view(np.int64)), pa.array(np.array(places, np.int32))], ["line", "pos"])
     return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), line_column)], ["doc_id", "host", "text_hash", "lines"])
 
 
@@ -107,21 +106,21 @@ def _stats_block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.
 
 def boilerplate(
     docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text",
-    min_documents: int = 20, min_share: float = 0.01, max_line_words: int = 15,
+    min_documents: int = 20, min_share: float = 0.01, max_documents: int = 200,
 ) -> DataFrame:
     """_id, _host, _hash and _drop (numbers of the lines to remove) of each text that loses a line.
 
-    A line of at most `max_line_words` words is above the limits of its host if it is in more than `min_documents`
-    distinct texts and in more than `min_share` of the host's distinct texts.
+    A line, of any length, is above the limits of its host if it is in more than `min_documents` distinct texts, and in
+    more than `min_share` of the host's distinct texts or more than `max_documents`, so that no host is too large.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     table = stored(rows.mapInArrow(text_blocks(_lines_block, "text"), _LINES), "quality")
-    lines = table.select("doc_id", "host", "text_hash", F.inline("lines")).where(F.col("words") <= max_line_words)
+    lines = table.select("doc_id", "host", "text_hash", F.inline("lines"))
     # Both counts are two-step aggregates: a hot line or host is first reduced within each map task.
     hosts = table.groupBy("host").agg(F.count_distinct("text_hash").alias("texts"))
     frequent = stored(
         lines.groupBy("host", "line").agg(F.count_distinct("text_hash").alias("n"), F.min("doc_id").alias("first_doc"))
-        .where(F.col("n") > min_documents).join(hosts, "host").where(F.col("n") > F.col("texts") * min_share).select("host", "line", "first_doc"), "frequent")
+        .where(F.col("n") > min_documents).join(hosts, "host").where((F.col("n") > F.col("texts") * min_share) | (F.col("n") > max_documents)).select("host", "line", "first_doc"), "frequent")
     lost = lines.join(shuffle_or_broadcast(frequent), ["host", "line"]).where(~F.col("doc_id").eqNullSafe(F.col("first_doc")))
     places = F.array_join(F.collect_set("pos").cast("array<string>"), ",")
     return lost.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")).agg(places.alias("_drop"))

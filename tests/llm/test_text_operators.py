@@ -178,3 +178,15 @@ def test_quality_removes_lines_above_limits(spark):
     assert {r.doc_id: r.n_boilerplate_words for r in out} == {i: 6 * (i > 0) for i in range(40)}
     kept = quality.keep_documents(frame(spark, rows)).collect()
     assert {r.doc_id: r.text for r in kept} == want and {r.doc_id: r.n_chars for r in kept} == {i: len(x) if i else 7 for i, x in want.items()}
+
+
+def test_quality_counts_long_lines(spark):
+    long = " ".join(f"notice{k}" for k in range(60))
+    out = quality.judge(frame(spark, shared_line_rows(long))).collect()
+    assert {r.doc_id: (r.n_boilerplate_words, r.kept) for r in out} == {i: (120 * (i > 0), i == 0) for i in range(40)}
+
+
+def test_quality_limit_does_not_grow_with_a_hot_host(spark):
+    rows = shared_line_rows("all rights reserved", 250, "hot") + [(1000 + i, f"page {i}", None, "hot", 0, 0, "") for i in range(29_750)]
+    out = quality.judge(frame(spark, rows)).where("doc_id < 1000").collect()
+    assert {r.doc_id: r.n_boilerplate_words for r in out} == {i: 6 * (i > 0) for i in range(250)}
