@@ -14,8 +14,9 @@ context, then searches its own successors only.  P_n = value_n + weight_n * P_(n
 Very frequent contexts (from a bounded sample; this routes only, results do not depend on it) are spread over all shards,
 and each block tells every shard its count of them, so that their values are as exact as any.
 
-Words are 64-bit hashes; longer contexts have 36-bit hashes with 20-bit successors (pairs: 32 and 32), so an unseen
-n-gram is taken for a seen one with probability (successors of its context) / 2^20 (pairs: 2^32).
+Words are 64-bit hashes; longer contexts have 40-bit hashes with 24-bit successors (pairs: 32 and 32), so an unseen
+n-gram is taken for a seen one with probability (successors of its context) / 2^24 (pairs: 2^32), and an unseen context
+for a seen one with probability (contexts) / 2^40 (pairs: 2^32); n-grams that share both hashes add up their counts.
 
 Defined cases: null text is empty (one end token); a null id counts as a training document; repeated rows are learned
 and scored each; an empty table gives an empty table.  `docs` must give the same rows in the same order when read again,
@@ -179,11 +180,11 @@ def unpack_counts(data: bytes, n: int) -> np.ndarray:
 
 
 def context_bits(order: int) -> int:
-    return 32 if order == 2 else 36
+    return 32 if order == 2 else 40
 
 
 def successor_bits(order: int) -> int:
-    return 32 if order == 2 else 20
+    return 32 if order == 2 else 24
 
 
 def key_bits(order: int) -> int:

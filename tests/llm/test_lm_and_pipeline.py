@@ -58,6 +58,20 @@ def test_trie_levels_against_dictionaries():
                 assert abs(np.log10(lm_trie.WEIGHTS[w]) - np.log10(60 / (big + 60))) <= lm_trie.STEP / 2 + 1e-9
 
 
+def test_unseen_successors_of_a_large_context_are_not_found():
+    """50,000 successors of one context are told from 20,000 others, but for 50,000 / 2^24 of them."""
+    texts = [f"a b w{i}" for i in range(70_000)]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    keys = lm_trie.Block(list(range(len(texts))), buf, np.concatenate([[0], np.cumsum([len(x) for x in texts])]), 3).keys(3)[2::4]
+    seen, n = np.unique(keys[:50_000], return_counts=True)
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "t")
+        lm_trie.Trie.write(path, none, {2: (*none, {}), 3: (seen, n, {})}, lm_trie.STRENGTH)
+        value, weight = lm_trie.Trie(path).codes(3, np.sort(keys[50_000:]))
+    assert (weight > 0).all() and 50_000 - len(seen) < 200 and (value > 0).mean() < 0.01
+
+
 def tokens(x):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), x or "")) + ["</s>"]
 
