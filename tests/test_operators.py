@@ -1,11 +1,13 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corvane import predicates as P
 from corvane.functions import scores, text, vectors
 from corvane.operators import evaluation, graph, maintenance, retrieval, similarity, tables, temporal
+from corvane.plans import catalogue
 
 
 def one(spark, column, **values):
@@ -142,3 +144,20 @@ def test_no_memory_and_fusion(spark):
     a = spark.createDataFrame([(1, 0), (2, 1)], "id int, rank int")
     got = {r.id: r.rrf for r in retrieval.fuse({"x": a, "y": a.where("id = 2").withColumn("rank", F.lit(0))}, "id", {"y": 0.5}).collect()}
     assert abs(got[1] - 1 / 60) < 1e-12 and abs(got[2] - (1 / 61 + 0.5 / 60)) < 1e-12
+
+
+def test_rank_queries_search_all_embeddings(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 8)).astype(np.float32)
+    v[350:360] = v[50] + np.float32(1e-3) * rng.normal(size=(10, 8)).astype(np.float32)  # the nearest of 50 are beyond id 300
+    labels = [i % 10 for i in range(350)] + [0] * 50
+    spark.createDataFrame([(i, v[i].tolist(), labels[i]) for i in range(400)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.query: r for r in catalogue.QUERIES["e1_recall_mrr_ndcg_all"](spark, str(tmp_path)).collect()}
+    x = v.astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted(got) == list(range(0, 400, 50))
+    for q in got:
+        near = sorted((i for i in range(400) if i != q), key=lambda i: (-round(float(x[i] @ x[q]), 6), i))[:10]
+        relevant = {i for i in range(400) if i != q and labels[i] == labels[q]}
+        assert got[q].recall == pytest.approx(len(relevant & set(near)) / len(relevant), abs=1e-6)
+    assert got[50].recall == pytest.approx(10 / (sum(x == 0 for x in labels) - 1), abs=1e-6)
