@@ -9,7 +9,7 @@ from corvane import predicates as P
 from corvane import views
 from corvane.functions import scores
 from corvane.operators import tables, temporal
-from corvane.plans.catalogue import register
+from corvane.plans.catalogue import register, register_whole
 from corvane.session import table
 from corvane.views import EV, FACTS, NOW, OBS
 
@@ -115,13 +115,16 @@ def j2(spark, d):
 
 @register("j7_shared_entity", """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0)
 SELECT a.l_orderkey AS a_order, b.l_orderkey AS b_order, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2 ORDER BY shared DESC, a_order, b_order LIMIT 100""")
-def j7(spark, d):
-    """Pairs by a shared entity, over a tenth of a tenth of the entities: the pair count is quadratic in an entity's rows by definition."""
-    lines = table(spark, d, "lineitem").where("l_partkey % 20 = 0").select("l_orderkey", "l_partkey").distinct()
+def j7(spark, d, whole=False):
+    """Pairs by a shared entity, over one in twenty of the entities or all: the pair count is quadratic in an entity's rows by definition."""
+    lines = table(spark, d, "lineitem").where("true" if whole else "l_partkey % 20 = 0").select("l_orderkey", "l_partkey").distinct()
     a, b = lines.withColumnRenamed("l_orderkey", "a_order"), lines.withColumnRenamed("l_orderkey", "b_order")
     return a.join(b, "l_partkey").where("a_order < b_order").groupBy("a_order", "b_order").agg(F.count("*").alias("shared")).orderBy(F.col("shared").desc(), "a_order", "b_order").limit(100)
 
 
+register_whole("j7_shared_entity", j7, " WHERE l_partkey % 20 = 0", "")
+
+
 @register("j8_prev_event", f"WITH {EV} SELECT event_id, user_id, lag(event_id) OVER w AS prev_event_id, CASE WHEN lag(ts) OVER w IS NULL THEN NULL ELSE (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 END AS gap_s FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def j8(spark, d):
     ev = temporal.previous(views.events(spark, d), ["user_id"], "ts", "event_id", ["event_id", "ts"])

@@ -161,3 +161,13 @@ def test_rank_queries_search_all_embeddings(spark, tmp_path):
         relevant = {i for i in range(400) if i != q and labels[i] == labels[q]}
         assert got[q].recall == pytest.approx(len(relevant & set(near)) / len(relevant), abs=1e-6)
     assert got[50].recall == pytest.approx(10 / (sum(x == 0 for x in labels) - 1), abs=1e-6)
+
+
+def test_shared_entity_counts_all_parts(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(o), int(p)) for o, p in zip(rng.integers(0, 30, 400), rng.integers(1, 45, 400))})
+    spark.createDataFrame(rows + rows[:5], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    parts = {o: {p for x, p in rows if x == o} for o, _ in rows}
+    pairs = [(a, b, len(parts[a] & parts[b])) for a in parts for b in parts if a < b and parts[a] & parts[b]]
+    want = sorted(pairs, key=lambda x: (-x[2], x[0], x[1]))[:100]
+    assert [tuple(r) for r in catalogue.QUERIES["j7_shared_entity_all"](spark, str(tmp_path)).collect()] == want
