@@ -279,9 +279,12 @@ def a17(spark, d):
 
 
 @register("a18_hooks_health", f"SELECT event_type AS kind, max(ts) AS last_ts, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 86400) < 1 THEN 'alive' ELSE 'stale_' || CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 86400) AS BIGINT)::VARCHAR || 'd' END AS health FROM events WHERE user_id % 20 = 1 GROUP BY 1")
-def a18(spark, d):
+def a18(spark, d, whole=False):
     days = F.floor(scores.hours_before(NOW, "last_ts") / 24)
-    return table(spark, d, "events").where("user_id % 20 = 1").groupBy(F.col("event_type").alias("kind")).agg(F.max("ts").alias("last_ts")).withColumn("health", F.when(days < 1, "alive").otherwise(F.concat(F.lit("stale_"), days.cast("string"), F.lit("d"))))
+    return table(spark, d, "events").where("true" if whole else "user_id % 20 = 1").groupBy(F.col("event_type").alias("kind")).agg(F.max("ts").alias("last_ts")).withColumn("health", F.when(days < 1, "alive").otherwise(F.concat(F.lit("stale_"), days.cast("string"), F.lit("d"))))
+
+
+register_whole("a18_hooks_health", a18, " WHERE user_id % 20 = 1", "")
 
 
 @register("a19_consumption_rate", "SELECT event_type AS kind, count(*) AS delivered, count(*) FILTER (value > 50) AS consumed, round(count(*) FILTER (value > 50) / nullif(count(*), 0), 6) AS rate FROM events GROUP BY 1")
@@ -392,12 +395,15 @@ def r26(spark, d):
 
 
 @register("r29_fact_history", f"WITH {FACTS} SELECT fact_id, project, fact_key, fact_value, valid_from, valid_to, superseded_by IS NULL AND valid_to IS NULL AS is_active FROM facts WHERE project % 3 = 0")
-def r29(spark, d):
+def r29(spark, d, whole=False):
     """The filter on the key is pushed below the window."""
-    facts = views.facts(spark, d).where("project % 3 = 0").withColumn("merged_into", F.lit(None).cast("bigint"))
+    facts = views.facts(spark, d).where("true" if whole else "project % 3 = 0").withColumn("merged_into", F.lit(None).cast("bigint"))
     return facts.select("fact_id", "project", "fact_key", "fact_value", "valid_from", "valid_to", P.active_fact().alias("is_active"))
 
 
+register_whole("r29_fact_history", r29, " WHERE project % 3 = 0", "")
+
+
 @register("m2_retry_backoff", "SELECT event_id, least(300, pow(2, least(CAST(floor(value) AS BIGINT) % 12, 8)))::DOUBLE AS wait_s FROM events WHERE event_type = 'error'")
 def m2(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").select("event_id", scores.retry_wait(F.floor("value") % 12).alias("wait_s"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import numpy as np
 import pytest
@@ -171,3 +172,17 @@ def test_shared_entity_counts_all_parts(spark, tmp_path):
     pairs = [(a, b, len(parts[a] & parts[b])) for a in parts for b in parts if a < b and parts[a] & parts[b]]
     want = sorted(pairs, key=lambda x: (-x[2], x[0], x[1]))[:100]
     assert [tuple(r) for r in catalogue.QUERIES["j7_shared_entity_all"](spark, str(tmp_path)).collect()] == want
+
+
+def test_whole_queries_pass_over_no_rows(spark, tmp_path):
+    docs = [(i, lang, f"{i} mail me at joe{i}@example.com " + "long " * 30 + f"end {i}") for i, lang in enumerate(["en", "de", "fr", None])]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(o, p) for o in range(12) for p in (7, 150 + o, 450 + o)], "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    at = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, f"k{u}", at) for u in range(1)] + [(u, f"k{u}", at) for u in range(1, 5)], "user_id long, event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in run("f25_redaction_all") if r.had_email} == {0, 1, 2, 3}
+    assert {r.h for r in run("f26_private_blocks_all")} == {hashlib.sha256(f"a{x}".encode()).hexdigest() for *_, x in docs}
+    assert {r.kind for r in run("a18_hooks_health_all")} == {f"k{u}" for u in range(5)}
+    assert {r.node for r in run("g3_proximity_all") if r.hop == 2} == {f"p{p + o}" for p in (150, 450) for o in range(12)}
+    assert {r.node for r in run("g1_two_hop_decay_all") if r.hop == 1} == {"p7"} | {f"p{p + o}" for p in (150, 450) for o in range(10)}
