@@ -30,20 +30,24 @@ def live_leases(events: DataFrame, now: str, ttl_s: int) -> DataFrame:
 def contained_passages(docs: DataFrame, passages: DataFrame, head: int = 8, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(document, passage) where the document contains the whole passage.
 
-    A passage with `head` words or more between spaces is found by the hash of its first whole words, which a document
-    must have in a row; only these pairs are verified.  Shorter ones are few words and are looked for in each text.
+    A passage with whole words between its first and last is found by the hash of up to `head` of them, which a document
+    must have in a row; only these pairs are verified.  Passages of one or two words have none, and are looked for in
+    each text; however many they are, all take part, and many are joined block by block.
     """
     words = F.split(F.col("text"), r"\s+")
     keyed = passages.select(item_id, F.col("text").alias("passage"), words.alias("w")).where(F.length("passage") > 0)
-    inner = keyed.where(F.size("w") >= head + 2).select(item_id, "passage", F.xxhash64(*(F.element_at("w", i + 2) for i in range(head))).alias("key"))
-    short = keyed.where(F.size("w") < head + 2).select(item_id, "passage")
+    n = F.least(F.size("w") - 2, F.lit(head))
+    inner = keyed.where(F.size("w") > 2).select(item_id, "passage", n.alias("n"), F.xxhash64(F.slice("w", F.lit(2), n)).alias("key"))
+    short = keyed.where(F.size("w") <= 2).select(item_id, "passage")
+    # A long for each passage of the benchmark, which is fixed, and the numbers of words that occur.
+    wanted = inner.agg(F.collect_set("key").alias("wanted"), F.collect_set("n").alias("sizes"))
     w = F.col("w")
-    grams = docs.select(doc_id, "text", words.alias("w")).where(F.size("w") >= head)
-    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - head + 1), lambda i: F.xxhash64(*(F.element_at(w, i + k) for k in range(head)))))
-    wanted = inner.agg(F.collect_set("key").alias("wanted"))  # a long for each passage of the benchmark, which is fixed
-    found = grams.crossJoin(F.broadcast(wanted)).select(doc_id, "text", F.explode(F.array_intersect(keys, "wanted")).alias("key"))
+    grams = docs.select(doc_id, "text", words.alias("w")).crossJoin(F.broadcast(wanted))
+    fits = F.filter("sizes", lambda k: k <= F.size(w))
+    keys = F.flatten(F.transform(fits, lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))))
+    found = grams.select(doc_id, "text", F.explode(F.array_intersect(keys, "wanted")).alias("key"))
     long = found.join(inner, "key").where(F.contains("text", F.col("passage"))).select(doc_id, item_id)
-    brief = docs.join(F.broadcast(short.limit(10_000)), F.contains("text", F.col("passage"))).select(doc_id, item_id)
+    brief = docs.join(short, F.contains("text", F.col("passage"))).select(doc_id, item_id)  # no hint: a large side goes partition by partition
     return long.unionAll(brief).distinct()
 
 

@@ -186,3 +186,10 @@ def test_whole_queries_pass_over_no_rows(spark, tmp_path):
     assert {r.kind for r in run("a18_hooks_health_all")} == {f"k{u}" for u in range(5)}
     assert {r.node for r in run("g3_proximity_all") if r.hop == 2} == {f"p{p + o}" for p in (150, 450) for o in range(12)}
     assert {r.node for r in run("g1_two_hop_decay_all") if r.hop == 1} == {"p7"} | {f"p{p + o}" for p in (150, 450) for o in range(10)}
+
+
+def test_all_short_passages_are_looked_for(spark):
+    items = [(i, f"x{i} y{i} z{i}") for i in range(10_030)] + [(20_000 + i, f"q{i};") for i in range(10_030)] + [(40_000, "ne tw"), (40_001, "a\tb c d e f g"), (40_002, "absent one two three")]
+    docs = spark.createDataFrame([(1, " ".join(x for _, x in items[:10_030])), (2, " ".join(x for _, x in items[10_030:20_060])), (3, "one two"), (4, "aa\tb c d e f gg"), (5, ""), (6, None)], "doc_id long, text string")
+    got = {tuple(r) for r in maintenance.contained_passages(docs, spark.createDataFrame(items, "item_id long, text string").repartition(8)).collect()}
+    assert got == {(1, i) for i in range(10_030)} | {(2, 20_000 + i) for i in range(10_030)} | {(3, 40_000), (4, 40_001)}
