@@ -89,13 +89,13 @@ CONTEXT = (
 AGAINST = frozenset("version isbn page order invoice figure chapter table sha md5 commit checksum uuid".split())
 
 _CANDIDATES = (
-    (0, re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,4}")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[(](?i:at)[\])] ?| (?i:at) )[A-Za-z0-9-]++(?:(?: ?[\[(](?i:dot)[\])] ?| (?i:dot) |\.)[A-Za-z0-9-]++)++")),
     (2, re.compile(r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{2,7}(?![0-9])")),
     (3, re.compile(r"(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")),
-    (4, re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{20,128}(?![A-Za-z0-9_/+-])")),
+    (4, re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{20,}+(?![A-Za-z0-9_/+-])")),
 )
 _KEY = re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}")
-_HINTS = ("at", None, _DIGIT, _DIGIT, _DIGIT)
+_HINTS = (re.compile("(?i:at)"), None, _DIGIT, _DIGIT, _DIGIT)
 _WORDS = re.compile(r"[\w-]+")
 
 
@@ -106,7 +106,7 @@ def votes(text: str, start: int, kind: int, end: int) -> str:
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - 40) : start])][-4:]
     if kind == 0:
         strict, gazetteer = "+" if "(" in span or "[" in span else "-", "+" if span.lower().split(".")[-1].split()[-1].strip(")]") in TOP_DOMAINS else "-"
-        shape = "+" if re.search(r"[0-9._]", re.split(r"at", span)[0]) else "."
+        shape = "+" if re.search(r"[0-9._]", re.split(r"(?i:at)", span)[0]) else "."
     elif kind == 2:
         strict, gazetteer, shape = "+" if luhn(digits) else "-", "+" if digits.startswith(CARD_PREFIXES) else "-", "-" if len(set(digits)) < 4 else "+"
     elif kind == 3:
@@ -130,7 +130,7 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, int, str]]:
         hint = _HINTS[kind]
         if (hint not in text) if isinstance(hint, str) else not hint.search(text):
             continue
-        if kind == 0 and not re.search(r"[\[( ]at[\]) ]", text):
+        if kind == 0 and not re.search(r"[\[( ](?i:at)[\]) ]", text):
             continue
         for m in rx.finditer(text):
             if not any(s < m.end() and m.start() < e for s, e in taken):

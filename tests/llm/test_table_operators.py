@@ -239,3 +239,10 @@ def test_canonical_json():
     assert tool_calls.canonical({"b": [1.0, 1.5, "\u20ac"], "a": {"\ufb33": 1, "\U0001f600": 2}, "": None}) == '{"":null,"a":{"\U0001f600":2,"\ufb33":1},"b":[1,1.5,"€"]}'
     assert tool_calls.checked("ask", "[" * 100_000, tool_calls.ASK)[1] in ("$: too deep", "$: no JSON")
     assert tool_calls.checked("ask", '"\\ud800"', tool_calls.ASK)[1] == "$: no JSON"
+
+
+def test_long_candidates_are_whole():
+    token, local = "a1B2_c3D" * 40, "x1" * 50
+    text = f"token {token} end {local} AT mail DOT a.b.c.d.e.com now, letters {'q' * 90}7"
+    got = {(kind, text[start:end]) for start, kind, end, _ in pii.candidates(text, [])}
+    assert (4, token) in got and (4, "q" * 90 + "7") in got and (0, f"{local} AT mail DOT a.b.c.d.e.com") in got
