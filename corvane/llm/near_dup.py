@@ -3,34 +3,40 @@
 Each distinct five-word shingle of a document arrives as a Poisson process whose rate is its count; every arrival hits a
 random register, which keeps the element of its first arrival.  An element stops as soon as its arrivals come later than
 the latest register, so most elements are drawn once.  Two documents agree in a register with their probability Jaccard
-similarity J_P (the plain Jaccard similarity where no shingle repeats).  Bands of registers give candidates; J_P itself
-is then computed from the shingles of the pair.
-
-Within a bucket not all pairs are listed.  All members are compared with a leader (the smallest node).  1 - J_P is a
-metric, so members that differ in their distance to the leader by more than 1 - threshold cannot be linked.  Where the
-rest of a bucket is in several classes by then, the members outside its largest-standing class (that of the smallest
-label) become leaders in turn, four times as many each round, and are compared with the members of other classes only,
-until every bucket is of one class or has no member left that has not been compared.  Classes are the connected components of the links, by hooking and pointer jumping on joins.
+similarity J_P (the plain Jaccard similarity where no shingle repeats).  Bands of registers give buckets; J_P itself
+is then computed from the texts of a pair, with 64-bit shingles and whole counts.
+
+Within a bucket not all pairs are listed.  First every text is compared with one leader: the leader of a bucket is its
+member with the most company in all its buckets (the text that the variants of a group come from), and a text takes the
+leader that it meets most often.  This joins most groups at n comparisons.  Buckets that still hold several classes are
+settled by a prefix join over the shingles of their members, ordered from rare to frequent: of two linked texts, take
+the rarest shingle they share.  Two texts without repeated shingles, of m <= n shingles, i and j of them rarer, are
+linked at t only if m - i and n - j are both t / (1 + t) * (m + n) at least.  For any two texts, with P and Q the shares
+of their weights that lie on common shingles, 1 / J_P >= 1 / P + 1 / Q - 1, so that the weights a and b of what is rarer
+hold 1 / (1 - a) + 1 / (1 - b) <= 1 / t + 1.  Only such pairs of different classes are compared; a text that has over
+1 - t of its weight to itself is in none.  No link between members of a bucket is lost.  Classes are the connected
+components of the links, by hooking and pointer jumping on joins.
 
 Defined cases: null text is empty; texts with fewer than five words are one shingle of all their words; texts without a
-word are in a class with exact copies only; exact copies share one representative and are never compared; null ids are
-kept apart by row; an empty table gives an empty table; all input columns can be carried through (`keep_documents`).
+word are in a class with exact copies only; exact copies share one representative and are never compared, at any length;
+null ids are kept apart by row; repeated rows are copies of each other; ties go to the smallest id; an empty table gives
+an empty table; `keep_documents` returns all input columns, whatever their names; a carried column that has the name of
+an output of `near_duplicates` gives way to it.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import textkit
-from corvane.llm.shared import shuffle_or_broadcast, stored, text_blocks
+from corvane.llm.shared import CALLER, discard, shuffle_or_broadcast, stored, text_blocks, unwrapped, wrapped
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 32, 6  # a pair at 0.8 is missed by all bands with probability 6e-5
 _U = np.uint64
@@ -114,19 +120,8 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float((1 / (below + above)).sum())
 
 
-def pack(values: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Sorted 32-bit keys and their counts; no counts where all are one."""
-    keys = (values >> _U(32)).astype("<u4")
-    return keys.tobytes(), b"" if (counts == 1).all() else zlib.compress(np.minimum(counts, 65535).astype("<u2").tobytes(), 1)
-
-
-def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, "<u4")
-    return k, np.frombuffer(zlib.decompress(counts), "<u2") if counts else np.ones(len(k), np.int64)
-
-
-def _features(docs: DataFrame, text: str) -> DataFrame:
-    """The given columns with _bands, _keys and _counts."""
+def _features(docs: DataFrame) -> DataFrame:
+    """The given columns (with _text) and _bands."""
     names = docs.columns
 
     def block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
@@ -134,22 +129,43 @@ def _features(docs: DataFrame, text: str) -> DataFrame:
         _, _, at, hashes = textkit.words(buf, offs, lower=True)
         row, value, count = shingles(hashes, at, n)
         bands = bands_of(signatures(row, value, count, n, BANDS * ROWS))
-        cuts = np.searchsorted(row, np.arange(n + 1))
-        packs = [pack(value[lo:hi], count[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
-        filled = np.diff(cuts) > 0
+        filled = np.bincount(row, minlength=n) > 0
         ends = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
-        made = [pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[filled].ravel())), pa.array([p[0] for p in packs], pa.binary()), pa.array([p[1] for p in packs], pa.binary())]
-        return pa.RecordBatch.from_arrays([*rows.columns, *made], [*names, "_bands", "_keys", "_counts"])
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[filled].ravel()))], [*names, "_bands"])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_bands", T.ArrayType(T.LongType())), T.StructField("_keys", T.BinaryType()), T.StructField("_counts", T.BinaryType())])
-    return docs.mapInArrow(text_blocks(block, text, 2 << 20), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_bands", T.ArrayType(T.LongType()))])
+    return docs.mapInArrow(text_blocks(block, "_text", 2 << 20), schema)
+
+
+def _sketches(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Shingles and counts of each text, some megabytes at a time."""
+    buf, offs = textkit.flatten(texts)
+    for lo, hi in textkit.blocks(offs, 2 << 20):
+        _, _, at, hashes = textkit.words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower=True)
+        row, value, count = shingles(hashes, at, hi - lo)
+        cuts = np.searchsorted(row, np.arange(hi - lo + 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            yield value[a:b], count[a:b]
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over node, leader, text, l_text: the similarity of each pair."""
+    for batch in batches:
+        if batch.num_rows:
+            _, first, of = np.unique(batch.column(1).to_numpy(), return_index=True, return_inverse=True)
+            leaders = list(_sketches(batch.column(3).take(pa.array(first))))
+            sims = [similarity(*mine, *leaders[k]) for mine, k in zip(_sketches(batch.column(2)), of.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["node", "leader", "sim"])
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over node, text: every distinct shingle, its share of the text's weight, and the number of shingles, negative if some repeat."""
     for batch in batches:
-        keys = [batch.column(k).to_pylist() for k in range(2, 6)]
-        sims = [similarity(*unpack(ka, ca), *unpack(kb, cb)) for ka, ca, kb, cb in zip(*keys)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["node", "leader", "sim"])
+        for node, (value, count) in zip(batch.column(0).to_pylist(), _sketches(batch.column(1))):
+            if len(value):
+                size = len(value) if count.max() == 1 else -len(value)
+                columns = [np.full(len(value), node), value.view(np.int64), count / count.sum(), np.full(len(value), size)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "token", "mass", "size"])
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -165,12 +181,15 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         hooks = near.join(labels, F.col("a") == F.col("node")).where(F.col("got") < F.col("label"))
         moved = stored(hooks.select(F.col("label").alias("node"), "got").unionAll(hooks.select("node", "got")).groupBy("node").agg(F.min("got").alias("got")), "hooks")
         if moved.limit(1).count() == 0:
+            discard(edges, moved)
             return labels
         lower = stored(labels.join(moved, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("label")), "labels")
+        discard(labels, moved)
         for _ in range(2):
             up = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
-            lower = stored(lower.join(up, "label").select("node", F.col("top").alias("label")), "labels")
-        labels = lower
+            labels = stored(lower.join(up, "label").select("node", F.col("top").alias("label")), "labels")
+            discard(lower)
+            lower = labels
 
 
 def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -179,76 +198,137 @@ def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
     crossing = links.join(label("node"), "node").join(label("leader"), "leader").where("node_label <> leader_label")
     crossing = stored(crossing.select(F.col("node_label").alias("a"), F.col("leader_label").alias("b")).distinct(), "crossing")
     if crossing.limit(1).count() == 0:
+        discard(crossing)
         return labels
     ends = stored(crossing.select(F.col("a").alias("node")).unionAll(crossing.select("b")).distinct().select("node", F.col("node").alias("label")), "ends")
-    top = components(ends, crossing).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return stored(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    found = components(ends, crossing)
+    top = found.select(F.col("node").alias("label"), F.col("label").alias("top"))
+    merged = stored(labels.join(top, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    discard(crossing, ends, found, labels)
+    return merged
+
+
+def _linked(texts: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The stored pairs (node, leader) whose texts are alike.  A text travels once for each of its pairs as `node`; as leader, once."""
+    ends = stored(pairs.select("leader").distinct(), "leaders")
+    mine = texts.join(shuffle_or_broadcast(pairs), "node")
+    theirs = texts.select(F.col("node").alias("leader"), F.col("text").alias("l_text")).join(shuffle_or_broadcast(ends), "leader", "left_semi")
+    both = mine.join(theirs, "leader").select("node", "leader", "text", "l_text")
+    links = stored(both.mapInArrow(_verify, "node bigint, leader bigint, sim double").where(F.col("sim") >= threshold).select("node", "leader"), "links")
+    discard(ends)
+    return links
+
+
+def _star_pairs(active: DataFrame) -> DataFrame:
+    """node, leader: each text and the leader it meets in most of its buckets.  active (stored): bucket, node, n (members)."""
+    company = active.groupBy("node").agg(F.sum("n").alias("company"))
+    lead = active.join(company, "node").groupBy("bucket").agg(F.max(F.struct("company", (-F.col("node")).alias("last"))).alias("top"))
+    led = active.join(lead.select("bucket", (-F.col("top.last")).alias("leader")), "bucket").where("node <> leader")
+    meetings = led.groupBy("node", "leader").agg(F.count("*").alias("n"))
+    return meetings.groupBy("node").agg(F.max(F.struct("n", (-F.col("leader")).alias("last"))).alias("top")).select("node", (-F.col("top.last")).alias("leader"))
+
+
+#: Steps of the logarithm of sizes, and steps that the admissible weights before a shared shingle are divided into.
+SIZE_STEP, LEVELS, _EPS = 0.02, 8, 1e-6
+
+
+def _met(xs: DataFrame, ys: DataFrame, key: list[str], feasible: Column) -> DataFrame:
+    """node, other: pairs of different labels with one key.  xs: key, node, label, a, size; ys: key, other, l_label, b, l_size."""
+    counted = xs.select(*key, "label").unionAll(ys.select(*key, "l_label")).groupBy(*key, "label").agg(F.count("*").alias("n"))
+    cells = counted.groupBy(*key).agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    # Cells of one class have no pairs.  The members of a cell's largest class meet only the others, not each other.
+    cells = shuffle_or_broadcast(stored(cells.select(*key, F.col("top.label").alias("big")), "cells"))
+    left = xs.join(cells, key).withColumn("big", F.col("label") == F.col("big"))
+    sides = F.when(F.col("l_label") == F.col("big"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    right = ys.join(cells, key).withColumn("big", F.explode(sides))
+    return left.join(right, [*key, "big"]).where((F.col("label") != F.col("l_label")) & feasible).select("node", "other")
+
+
+def _prefix_pairs(texts: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
+    """node, leader: all pairs of different labels in `rest` (stored: node, label) that may be alike by their prefixes."""
+    tokens = stored(texts.join(shuffle_or_broadcast(rest.select("node")), "node", "left_semi").mapInArrow(_tokens, "node bigint, token bigint, mass double, size bigint"), "tokens")
+    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    by_node, spread = W.partitionBy("node"), 1 / threshold - 1
+    before = F.coalesce(F.sum("mass").over(by_node.orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    # `left`: the weight from this shingle on; before it are the shingles of no other text, then the common ones in order
+    placed = tokens.join(common, "token").select("node", "token", "size", (F.sum("mass").over(by_node) - before).alias("left")).where(F.col("left") >= threshold - _EPS)
+    entries = stored(placed.join(rest, "node").select("token", "node", "label", "size", (1 - F.col("left")).alias("a")), "prefixes")
+    discard(tokens)
+    other = lambda df: df.withColumnsRenamed({"node": "other", "label": "l_label", "a": "b", "size": "l_size"})
+    # Both without repeated shingles: the smaller one (on the left) and the larger one bound each other's sizes
+    plain, need = entries.where("size > 0"), threshold / (1 + threshold)
+    log_size = lambda c: F.floor(F.log(c) / SIZE_STEP).cast("int")
+    smaller = plain.where(F.col("a") <= 1 - 2 * need + _EPS).withColumn("cell", log_size(F.col("size").cast("double")))
+    most = F.least(F.lit(1.0), (1 - F.col("a")) / need - 1 + _EPS) * F.col("size")
+    larger = plain.withColumn("cell", F.explode(F.sequence(log_size(F.col("size") * (threshold - _EPS)), F.greatest(log_size(most), log_size(F.col("size") * (threshold - _EPS))))))
+    shared = F.least(F.col("size") * (1 - F.col("a")), F.col("l_size") * (1 - F.col("b")))
+    sets = _met(smaller, other(larger), ["token", "cell"], (F.col("size") <= F.col("l_size")) & (shared >= need * (F.col("size") + F.col("l_size")) - 1e-3))
+    # Else: `u` = 1 / (1 - a) - 1, of which one is at most half of the spread, goes by levels
+    step, u = spread / 2 / LEVELS, 1 / (1 - F.col("a")) - 1
+    heavy = F.col("size") < 0
+    xs = entries.where(u <= spread / 2 + _EPS).withColumns({"cell": F.greatest(F.floor(u / step - _EPS), F.lit(0)).cast("int"), "kind": heavy})
+    upto = F.greatest(F.least(F.floor((spread - u) / step + _EPS), F.lit(LEVELS)), F.lit(0)).cast("int")
+    kinds = F.when(heavy, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    ys = entries.where(u <= spread + _EPS).withColumn("cell", F.explode(F.sequence(F.lit(0), upto))).withColumn("kind", F.explode(kinds))
+    some = _met(xs, other(ys), ["token", "cell", "kind"], 1 / (1 - F.col("a")) + 1 / (1 - F.col("b")) <= spread + 2 + _EPS)
+    met = sets.unionAll(some) if entries.where("size < 0").limit(1).count() else sets
+    pairs = stored(met.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("leader")).distinct(), "pairs")
+    discard(entries)
+    return pairs
 
 
 def classes(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, label for every node that shares a bucket with another.  nodes (stored): node, _bands, _keys, _counts."""
+    """node, label for every node that shares a bucket with another.  nodes: node, text, _bands; read several times."""
     members = nodes.select("node", F.explode("_bands").alias("bucket"))
-    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1").select("bucket", "leader"), "buckets")
-    active = stored(members.join(shared, "bucket"), "active")  # bucket, node, leader: the first leader is the smallest node
-    crowd = shuffle_or_broadcast(stored(active.select("node").distinct(), "crowd"))
-    sketches = stored(nodes.join(crowd, "node", "left_semi").select("node", "_keys", "_counts"), "sketches")
-    labels = sketches.select("node", F.col("node").alias("label"))
-    of_leader = sketches.select(F.col("node").alias("leader"), F.col("_keys").alias("keys_b"), F.col("_counts").alias("counts_b"))
-    verified, many = None, 1
-    while True:
-        led = active.where("node <> leader") if verified is None else active
-        pairs = led.select("node", "leader").distinct()
-        if verified is not None:
-            pairs = pairs.join(verified.select("node", "leader"), ["node", "leader"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        both = pairs.join(sketches, "node").join(of_leader, "leader").select("node", "leader", "_keys", "_counts", "keys_b", "counts_b")
-        fresh = stored(both.mapInArrow(_verify, "node bigint, leader bigint, sim double"), "verified")
-        labels = _merge(labels, fresh.where(F.col("sim") >= threshold).select("node", "leader"))
-        if verified is None:
-            # Members close to the leader cannot be linked to the bucket's far ones if all of these are too far off
-            judged = led.join(fresh, ["node", "leader"])
-            far = stored(judged.where(F.col("sim") < threshold).groupBy("bucket").agg(F.max("sim").alias("far")), "far")
-            rest = stored(judged.join(far, "bucket").where((F.col("sim") < threshold) | (F.col("sim") <= F.col("far") + 1 - threshold)).select("bucket", "node"), "rest")
-            verified = fresh
-        else:
-            rest = stored(rest.join(leaders, (rest["bucket"] == leaders["l_bucket"]) & (rest["node"] == leaders["leader"]), "left_anti"), "rest")
-            verified = stored(verified.unionAll(fresh), "verified")
-        # Buckets with members of several classes go on; leaders are the members outside the class of the smallest label
-        placed = stored(rest.join(labels, "node"), "placed")
-        mixed = stored(placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket", "low"), "mixed")
-        if mixed.limit(1).count() == 0:
-            return labels
-        many *= 4
-        placed = stored(placed.join(mixed, "bucket"), "placed")
-        w = W.partitionBy("bucket").orderBy("node")
-        outside = placed.where("label <> low").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= many)  # pruned to `many` a bucket before the shuffle
-        leaders = stored(outside.select(F.col("bucket").alias("l_bucket"), F.col("node").alias("leader"), F.col("label").alias("l_label")), "leaders")
-        active = placed.join(leaders, F.col("bucket") == F.col("l_bucket")).where("label <> l_label").select("bucket", F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
-        rest = placed.select("bucket", "node")
-
-
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
-    """Every row with class_id (smallest id of its class), class_size (rows) and stays (one row of each class)."""
-    own = list(dict.fromkeys([doc_id, *carry]))
-    base = docs.select(*own, F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_h1", F.xxhash64("_text")).withColumn("_h2", F.xxhash64(F.lit(7), "_text"))
-    table = _features(base, "_text")
-    table = stored((table if carry else table.drop("_text")).withColumn("_row", F.monotonically_increasing_id()), "features")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("_row").alias("row"))).alias("first")
-    texts = stored(table.groupBy("_h1", "_h2").agg(first, F.count("*").alias("copies")).select("_h1", "_h2", "copies", F.col("first.row").alias("node"), F.col("first.id").alias("id")), "texts")
-    wanted = shuffle_or_broadcast(texts.select("node"))
-    nodes = table.select(F.col("_row").alias("node"), "_bands", "_keys", "_counts").join(wanted, "node", "left_semi")
+    shared = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    active = stored(members.join(shuffle_or_broadcast(shared), "bucket"), "active")
+    discard(shared)
+    texts = nodes.select("node", "text")
+    labels = stored(active.select("node").distinct().select("node", F.col("node").alias("label")), "labels")
+    stars = stored(_star_pairs(active), "stars")
+    links = _linked(texts, stars, threshold)
+    labels = _merge(labels, links)
+    discard(stars, links)
+    placed = stored(active.join(labels, "node").select("bucket", "node", "label"), "placed")
+    discard(active)
+    mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    rest = stored(placed.join(mixed, "bucket").select("node", "label").distinct(), "rest")
+    discard(placed)
+    pairs = _prefix_pairs(texts, rest, threshold)
+    links = _linked(texts, pairs, threshold)
+    labels = _merge(labels, links)
+    discard(rest, pairs, links)
+    return labels
+
+
+def _classified(docs: DataFrame, doc_id: str, text: str, keep: list[str], threshold: float) -> DataFrame:
+    """The caller's columns wrapped, _text, _id, and class_id, class_size and stays."""
+    base = wrapped(docs, text, F.col(doc_id).alias("_id"), keep=keep).withColumn("_text", F.coalesce("_text", F.lit("")))
+    base = base.withColumn("_h1", F.xxhash64("_text")).withColumn("_h2", F.xxhash64(F.lit(7), "_text"))
+    table = stored(_features(base).withColumn("_row", F.monotonically_increasing_id()), "features")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))).alias("first")
+    copies = stored(table.groupBy("_h1", "_h2").agg(first, F.count("*").alias("copies")).select("_h1", "_h2", "copies", F.col("first.row").alias("node"), F.col("first.id").alias("id")), "texts")
+    wanted = shuffle_or_broadcast(copies.select("node"))
+    nodes = table.select(F.col("_row").alias("node"), F.col("_text").alias("text"), "_bands").join(wanted, "node", "left_semi")
     labels = classes(nodes, threshold)
-    labelled = stored(texts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    labelled = stored(copies.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    discard(copies, labels)
     groups = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("node").alias("row"))).alias("first"), F.sum("copies").alias("class_size"))
-    groups = stored(groups.select("label", F.col("first.id").alias("class_id"), F.col("first.row").alias("stay_row"), "class_size"), "groups")
+    groups = groups.select("label", F.col("first.id").alias("class_id"), F.col("first.row").alias("stay_row"), "class_size")
     verdict = stored(labelled.select("_h1", "_h2", "label").join(groups, "label").select("_h1", "_h2", "class_id", "stay_row", "class_size"), "verdicts")
-    out = [*own, *(["_text"] if carry else [])]
-    return table.select(*out, "_h1", "_h2", "_row").join(shuffle_or_broadcast(verdict), ["_h1", "_h2"]).select(*out, "class_id", "class_size", (F.col("_row") == F.col("stay_row")).alias("stays"))
+    discard(labelled)
+    return table.drop("_bands").join(shuffle_or_broadcast(verdict), ["_h1", "_h2"]).withColumn("stays", F.col("_row") == F.col("stay_row"))
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), threshold: float = THRESHOLD) -> DataFrame:
+    """Every row's id and carried columns with class_id (smallest id of its class), class_size (rows) and stays (one row of each class)."""
+    made = ["class_id", "class_size", "stays"]
+    own = [c for c in dict.fromkeys([doc_id, *carry]) if c not in made and c != text]
+    out = _classified(docs, doc_id, text, own, threshold)
+    return out.select(*(F.col(CALLER).getField(c).alias(c) for c in own), *([F.col("_text").alias(text)] if text in carry else []), *made)
 
 
-def keep_documents(docs: DataFrame, **options) -> DataFrame:
+def keep_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, with all columns (null text comes back as empty)."""
-    text = options.get("text", "text")
-    others = tuple(c for c in docs.columns if c != text)
-    kept = near_duplicates(docs, carry=others, **options).where("stays")
-    return kept.select(*(F.col("_text").alias(text) if c == text else c for c in docs.columns))
+    kept = _classified(docs, doc_id, text, docs.columns, threshold).where("stays")
+    return unwrapped(kept, docs.columns, {text: F.col("_text")})

@@ -6,11 +6,12 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit
@@ -20,10 +21,12 @@ BLOCK = 4 << 20
 
 
 def shared_folder(df: DataFrame) -> str:
-    """The cluster's folder for intermediate tables (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's folder for intermediate tables (spark.checkpoint.dir); a temporary one only in local mode."""
     spark = df.sparkSession
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -48,12 +51,43 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, so that lost executors cost no recomputation."""
     small_batches(df)
     path = f"{shared_folder(df).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables; only for those that no plan still to be run reads."""
+    for table in tables:
+        path, spark = _PATHS.pop(table, None), table.sparkSession
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Holds the caller's columns while an operator works, so that its own names cannot clash with theirs.
+CALLER = "_caller"
+
+
+def wrapped(docs: DataFrame, text: str, *own: Column, keep: list[str] | None = None) -> DataFrame:
+    """The caller's columns but the text as one struct, the operator's own columns, and the text as `_text`."""
+    names = [c for c in (docs.columns if keep is None else keep) if c != text]
+    packed = F.struct(*(F.col(f"`{c}`") for c in names)) if names else F.lit(None).cast("struct<>")
+    return docs.select(packed.alias(CALLER), *own, F.col(f"`{text}`").alias("_text"))
+
+
+def unwrapped(df: DataFrame, names: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The caller's columns again, some of them replaced."""
+    changed = changed or {}
+    return df.select(*((changed[c] if c in changed else F.col(CALLER).getField(c)).alias(c) for c in names))
 
 
 #: By owner, what frees the memory that an operator keeps in a Python worker between its tasks.
