@@ -1,83 +1,159 @@
 """Chat formatting: links tool calls to results, orders them topologically, validates arguments, writes canonical JSON.
 
-A message is a call (with an identifier, a tool, JSON arguments and maybe the identifier of the call it comes after), a
-result (with a call's identifier) or plain text.  Calls and results are hash-joined by identifier.  A message's place is
-(latest turn among it and the calls it comes after, number of those calls, own turn): every call stands behind the call
-it follows and before its result, and messages already in order stay in order.  Chains are followed by pointer doubling,
-so a chain of n calls takes log2(n) joins and no conversation is gathered in one task.
+A message is a call (with an identifier, a tool, JSON arguments and maybe identifiers of the calls it comes after), a
+result (with a call's identifier) or plain text.  Identifiers belong to their conversation.  Calls and results are
+hash-joined by (conversation, identifier).  The dependencies of a conversation form a graph: a call stands behind all
+calls it follows, a result behind its call.  A call's depth is one more than the greatest of those it follows, its place
+the latest turn of all of them; both are raised along the links until nothing changes, by joins and maxima over all
+conversations at once, so no conversation is gathered in one task.  Where every call follows one other at most, paths are
+doubled instead, and a chain of n calls takes log2(n) joins.  Messages already in order stay in order: `order_key`
+(latest turn, depth, own turn) sorts a conversation as a struct of whole numbers.
 
-Defined cases: of calls (or results) with one identifier the first by conversation and turn counts, the others are
+Defined cases: of calls (or results) with one identifier in a conversation the first by turn counts, the others are
 'duplicate'; results without a call are 'orphan', calls without a result 'pending', messages without identifier
-'unlinked'; calls on a cycle of `after` are 'cycle' and keep their own turn; an unknown `after` is passed over; null
-arguments are invalid for a tool with a schema; null content stays null; extra columns are passed over.
+'unlinked'; calls on a cycle, or behind one, are 'cycle' and keep their own turn; an unknown predecessor is passed over;
+null arguments are invalid for a tool with a schema; null content stays null and empty content empty; texts of any
+length are kept whole; what is nested deeper than MAX_DEPTH is 'too deep' and written as null; a null conversation is one of its own; repeated rows
+are duplicates of each other; an empty table gives an empty table; extra columns are passed over, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import stored
+from corvane.llm.shared import discard, stored
 
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
+MAX_DEPTH = 200
+#: The keywords of a schema that are checked, and those that say nothing on validity.
+KEYWORDS = frozenset("type enum const minimum maximum exclusiveMinimum exclusiveMaximum minLength maxLength pattern required properties additionalProperties items minItems maxItems anyOf oneOf allOf".split())
+ANNOTATIONS = frozenset("title description default examples $schema $id $comment".split())
 
 
-def _ordered(value):
-    """Keys by UTF-16 code units, as canonical JSON asks."""
-    if isinstance(value, dict):
-        return {k: _ordered(value[k]) for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))}
-    return [_ordered(x) for x in value] if isinstance(value, list) else value
+def number(value: float) -> str:
+    """A double as canonical JSON writes it (shortest digits; exponents from 1e21 and below 1e-6)."""
+    if value == 0:
+        return "0"
+    digits, exponent = repr(abs(value)), 0
+    if "e" in digits:
+        digits, exponent = digits.split("e")[0], int(digits.split("e")[1])
+    whole, _, part = digits.partition(".")
+    part = "" if part == "0" else part
+    point = len(whole) + exponent
+    digits = whole + part
+    cut = len(digits) - len(digits.lstrip("0"))
+    digits, point = digits[cut:].rstrip("0"), point - cut
+    n = len(digits)
+    if n <= point <= 21:
+        out = digits + "0" * (point - n)
+    elif 0 < point <= 21:
+        out = digits[:point] + "." + digits[point:]
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + digits
+    else:
+        out = digits[0] + ("." + digits[1:] if n > 1 else "") + f"e{point - 1:+d}"
+    return "-" + out if value < 0 else out
 
 
-def canonical(value) -> str:
-    """JSON without spaces, with ordered keys and plain UTF-8; whole floats are written as integers."""
-    out = json.dumps(_ordered(_whole(value)), separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+def canonical(value, depth: int = 0) -> str:
+    """JSON without spaces, with keys in the order of their UTF-16 code units, plain UTF-8, and numbers as doubles; integers that no double holds are kept whole."""
+    if depth > MAX_DEPTH:
+        raise RecursionError
+    if isinstance(value, dict):
+        keys = sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k], depth + 1)}" for k in keys) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(canonical(x, depth + 1) for x in value) + "]"
+    if isinstance(value, float):
+        if not math.isfinite(value):
+            raise ValueError("no JSON number")
+        return number(value)
+    if isinstance(value, int) and not isinstance(value, bool):
+        return number(float(value)) if abs(value) >= 10**21 and abs(value) < 10**300 and int(float(value)) == value else str(value)
+    out = json.dumps(value, ensure_ascii=False)
     out.encode()  # lone surrogates can't be stored
     return out
 
 
-def _whole(value):
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return int(value)
-    if isinstance(value, dict):
-        return {k: _whole(v) for k, v in value.items()}
-    return [_whole(x) for x in value] if isinstance(value, list) else value
+def _same(a, b) -> bool:
+    """Equality of JSON values: true is not 1, but 1.0 is."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    return type(a) is type(b) and a == b or isinstance(a, (int, float)) and isinstance(b, (int, float)) and a == b
 
 
-def violation(value, schema: dict, at: str = "$") -> str | None:
-    """The first violation of a JSON schema: type, enum, required, properties, additionalProperties, items and limits."""
-    kind = schema.get("type")
+def _is(value, kind: str) -> bool:
     if kind in ("integer", "number"):
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or kind == "integer" and value != int(value):
-            return f"{at}: not {kind}"
-        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == int(value))
+    return isinstance(value, _TYPES[kind])
+
+
+def unsupported(schema) -> str | None:
+    """The first keyword of a schema that `violation` does not know."""
+    if isinstance(schema, bool):
+        return None
+    for k in sorted(schema):
+        if k not in KEYWORDS and k not in ANNOTATIONS:
+            return k
+        inner = schema[k]
+        parts = inner.values() if k == "properties" else inner if k in ("anyOf", "oneOf", "allOf") else [inner] if k in ("items", "additionalProperties") else []
+        for part in parts:
+            if found := unsupported(part):
+                return found
+    return None
+
+
+def violation(value, schema, at: str = "$") -> str | None:
+    """The first violation of a JSON schema; see KEYWORDS for what is checked."""
+    if isinstance(schema, bool):
+        return None if schema else f"{at}: not allowed"
+    kinds = schema.get("type")
+    if kinds is not None:
+        kinds = [kinds] if isinstance(kinds, str) else kinds
+        if not any(_is(value, k) for k in kinds):
+            return f"{at}: not {' or '.join(kinds)}"
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        if value < schema.get("minimum", value) or value > schema.get("maximum", value) or value <= schema.get("exclusiveMinimum", -math.inf) or value >= schema.get("exclusiveMaximum", math.inf):
             return f"{at}: out of range"
-    elif kind and not isinstance(value, _TYPES[kind]):
-        return f"{at}: not {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]):
         return f"{at}: not in enum"
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        return f"{at}: length"
+    if "const" in schema and not _same(value, schema["const"]):
+        return f"{at}: not the constant"
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            return f"{at}: length"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"{at}: pattern"
     if isinstance(value, dict):
-        fields = schema.get("properties", {})
+        fields, others = schema.get("properties", {}), schema.get("additionalProperties", True)
         for k in schema.get("required", ()):
             if k not in value:
                 return f"{at}: lacks {k}"
         for k in sorted(value):
-            if k in fields:
-                if found := violation(value[k], fields[k], f"{at}.{k}"):
-                    return found
-            elif schema.get("additionalProperties") is False:
+            if k not in fields and others is False:
                 return f"{at}: unknown {k}"
-    if isinstance(value, list) and "items" in schema:
+            if found := violation(value[k], fields.get(k, others), f"{at}.{k}"):
+                return found
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{at}: length"
         for i, x in enumerate(value):
-            if found := violation(x, schema["items"], f"{at}[{i}]"):
+            if found := violation(x, schema.get("items", True), f"{at}[{i}]"):
                 return found
+    for k, fits in (("allOf", lambda n, of: n == of), ("anyOf", lambda n, of: n > 0), ("oneOf", lambda n, of: n == 1)):
+        if k in schema and not fits(sum(violation(value, x, at) is None for x in schema[k]), len(schema[k])):
+            return f"{at}: {k}"
     return None
 
 
@@ -99,20 +175,25 @@ _SERIALISE = "conv_id bigint, turn bigint, kind string, call_id string, status s
 
 
 def _serialise(schemas: dict[str, dict]):
+    for name, schema in schemas.items():
+        if found := unsupported(schema):
+            raise ValueError(f"the schema of {name} has the keyword {found}, which is not supported")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             valid, error, out = [], [], []
             for kind, call_id, tool, arguments, content in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("kind", "call_id", "tool", "arguments", "content"))):
                 message = {"content": content, "role": {"call": "assistant", "result": "tool"}.get(kind, kind)}
-                wrong = None
+                wrong, calls = None, ""
                 if kind == "call":
                     value, wrong = checked(tool, arguments, schemas)
-                    message["tool_calls"] = [{"function": {"arguments": value, "name": tool}, "id": call_id, "type": "function"}]
+                    # the arguments stand at the depth of their own, so that whatever `checked` takes can be written
+                    calls = f',"tool_calls":[{{"function":{{"arguments":{canonical(value)},"name":{canonical(tool)}}},"id":{canonical(call_id)},"type":"function"}}]'
                 elif kind == "result":
                     message["tool_call_id"] = call_id
                 valid.append(wrong is None if kind == "call" else None)
                 error.append(wrong)
-                out.append(canonical(message))
+                out.append(canonical(message)[:-1] + calls + "}")
             names = ["conv_id", "turn", "kind", "call_id", "status", "at_turn", "depth"]
             made = [pa.array(valid, pa.bool_()), pa.array(error, pa.string()), pa.array(out, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], [*names, "valid", "error", "json"])
@@ -120,35 +201,70 @@ def _serialise(schemas: dict[str, dict]):
     return run
 
 
-def _chains(calls: DataFrame) -> DataFrame:
-    """call_id, depth (calls before it), at_turn (latest turn of the chain) and cycle, by pointer doubling."""
-    ids = calls.select(F.col("call_id").alias("to"))
-    nodes = stored(calls.join(ids, F.col("after") == F.col("to"), "left").select("call_id", "turn", F.col("turn").alias("at_turn"), F.col("to").alias("ptr"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "chain")
-    n = nodes.count()
+def _chains(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, depth, at_turn and cycle, where every call follows one other at most: by pointer doubling.  edges: id, to."""
+    at = stored(nodes.join(edges, "id", "left").select("id", "turn", F.col("turn").alias("at_turn"), F.col("to").alias("ptr"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("depth")), "chain")
+    n = at.count()
     for _ in range(math.ceil(math.log2(n + 1)) + 1 if n else 0):
-        if nodes.where("ptr IS NOT NULL").limit(1).count() == 0:
+        if at.where("ptr IS NOT NULL").limit(1).count() == 0:
             break
-        up = nodes.select(F.col("call_id").alias("u_id"), F.col("at_turn").alias("u_turn"), F.col("ptr").alias("u_ptr"), F.col("depth").alias("u_depth"))
-        nodes = stored(nodes.join(up, F.col("ptr") == F.col("u_id"), "left").select(
-            "call_id", "turn", F.greatest("at_turn", "u_turn").alias("at_turn"), F.col("u_ptr").alias("ptr"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth")), "chain")
+        up = at.select(F.col("id").alias("u_id"), F.col("at_turn").alias("u_turn"), F.col("ptr").alias("u_ptr"), F.col("depth").alias("u_depth"))
+        longer = stored(at.join(up, F.col("ptr") == F.col("u_id"), "left").select(
+            "id", "turn", F.greatest("at_turn", "u_turn").alias("at_turn"), F.col("u_ptr").alias("ptr"), (F.col("depth") + F.coalesce("u_depth", F.lit(0))).alias("depth")), "chain")
+        discard(at)
+        at = longer
     cycle = F.col("ptr").isNotNull()
-    return nodes.select("call_id", F.when(cycle, 0).otherwise(F.col("depth")).alias("depth"), F.when(cycle, F.col("turn")).otherwise(F.col("at_turn")).alias("at_turn"), cycle.alias("cycle"))
+    return at.select("id", F.when(cycle, 0).otherwise(F.col("depth")).alias("depth"), F.when(cycle, F.col("turn")).otherwise(F.col("at_turn")).alias("at_turn"), cycle.alias("cycle"))
+
+
+def _layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, depth, at_turn and cycle of any graph, layer by layer: a call is placed once all calls that it follows are.
+
+    edges: id, to.  The calls never placed are on a cycle or behind one.  A round for each layer, and a join for each.
+    """
+    counts = edges.groupBy("id").agg(F.count("*").alias("waits"))
+    open_ = stored(nodes.join(counts, "id", "left").select("id", "turn", F.coalesce("waits", F.lit(0)).alias("waits"), F.col("turn").alias("at_turn"), F.lit(0).cast("bigint").alias("depth")), "open")
+    done, rounds = None, 0
+    while True:
+        ready = stored(open_.where("waits = 0").select("id", "depth", "at_turn"), "layer")
+        if ready.limit(1).count() == 0:
+            break
+        told = edges.join(ready.withColumnRenamed("id", "to"), "to").groupBy("id").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max("at_turn").alias("t"))
+        still = stored(open_.where("waits > 0").join(told, "id", "left").select(
+            "id", "turn", (F.col("waits") - F.coalesce("n", F.lit(0))).alias("waits"), F.greatest("at_turn", "t").alias("at_turn"), F.greatest(F.col("depth"), F.col("d") + 1).alias("depth")), "open")
+        discard(open_)
+        open_, done, rounds = still, ready if done is None else done.unionAll(ready), rounds + 1
+        if rounds % 16 == 0:  # keeps the plan short
+            done = stored(done, "layers")
+    stuck = open_.select("id", F.lit(0).cast("bigint").alias("depth"), F.col("turn").alias("at_turn"), F.lit(True).alias("cycle"))
+    return stuck if done is None else done.select("id", "depth", "at_turn", F.lit(False).alias("cycle")).unionAll(stuck)
 
 
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each message: link status, place (order_key sorts a conversation), validity and canonical JSON.
 
-    messages: conv_id, turn, kind ('call', 'result' or a role), call_id, after, tool, arguments, content.
+    messages: conv_id, turn, kind ('call', 'result' or a role), call_id, after (an identifier or an array of them), tool,
+    arguments, content.
     """
-    rows = stored(messages.select("conv_id", "turn", "kind", "call_id", "after", "tool", "arguments", "content").withColumn("row", F.monotonically_increasing_id()), "messages")
-    linked = rows.where(F.col("call_id").isNotNull())
-    first = F.min(F.struct("conv_id", "turn", "row", "after")).alias("first")
-    calls = linked.where("kind = 'call'").groupBy("call_id").agg(first).select("call_id", F.col("first.turn").alias("turn"), F.col("first.row").alias("call_row"), F.col("first.after").alias("after"))
-    results = linked.where("kind = 'result'").groupBy("call_id").agg(first).select(F.col("call_id").alias("r_id"), F.col("first.row").alias("result_row"))
-    calls = stored(calls.join(results.hint("shuffle_hash"), F.col("call_id") == F.col("r_id"), "left"), "calls")
-    nodes = calls.drop("turn", "after", "r_id").join(_chains(calls.select("call_id", "turn", "after")), "call_id").withColumnRenamed("call_id", "n_id")
-    nodes = nodes.select("n_id", "call_row", "result_row", F.col("depth").alias("n_depth"), F.col("at_turn").alias("n_turn"), "cycle")
-    both = rows.join(nodes, F.col("kind").isin("call", "result") & (F.col("call_id") == F.col("n_id")), "left")
+    serialise = _serialise(schemas)
+    rows = messages.select("conv_id", "turn", "kind", "call_id", "after", "tool", "arguments", "content")
+    if not messages.schema["after"].dataType.typeName() == "array":
+        rows = rows.withColumn("after", F.when(F.col("after").isNotNull(), F.array("after")))
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "messages")
+    linked = rows.where(F.col("call_id").isNotNull()).withColumn("id", F.struct(F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
+    first = F.min(F.struct("turn", "row")).alias("first")
+    calls = linked.where("kind = 'call'").groupBy("id").agg(first).select("id", F.col("first.turn").alias("turn"), F.col("first.row").alias("call_row"))
+    results = linked.where("kind = 'result'").groupBy("id").agg(first).select("id", F.col("first.row").alias("result_row"))
+    calls = stored(calls.join(results.hint("shuffle_hash"), "id", "left"), "calls")
+    to = F.explode(F.array_distinct("after"))
+    edges = linked.select("row", "id", to.alias("to_id")).where(F.col("to_id").isNotNull()).join(calls.select(F.col("call_row").alias("row")), "row", "left_semi")
+    edges = edges.select("id", F.struct(F.col("id.conv").alias("conv"), F.col("id.none").alias("none"), F.col("to_id").alias("call_id")).alias("to"))
+    edges = stored(edges.join(calls.select(F.col("id").alias("to")), "to", "left_semi").select("id", "to"), "edges")
+    branches = edges.groupBy("id").count().where("count > 1").limit(1).count()
+    places = (_layers if branches else _chains)(calls.select("id", "turn"), edges)
+    nodes = calls.drop("turn").join(places, "id").select(F.col("id").alias("n_id"), "call_row", "result_row", F.col("depth").alias("n_depth"), F.col("at_turn").alias("n_turn"), "cycle")
+    mine = F.when(F.col("kind").isin("call", "result") & F.col("call_id").isNotNull(), F.struct(F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
+    both = rows.withColumn("m_id", mine).join(nodes, F.col("m_id") == F.col("n_id"), "left")
     is_call, is_result = F.col("kind").eqNullSafe("call"), F.col("kind").eqNullSafe("result")
     status = (
         F.when(~(is_call | is_result), "message").when(F.col("call_id").isNull(), "unlinked").when(F.col("n_id").isNull(), "orphan")
@@ -157,8 +273,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     )
     placed = both.select("conv_id", "turn", "kind", "call_id", F.coalesce(status, F.lit("message")).alias("status"),
         F.greatest("turn", F.coalesce("n_turn", "turn")).alias("at_turn"), (2 * F.coalesce("n_depth", F.lit(0)) + F.when(is_result, 1).otherwise(0)).cast("bigint").alias("depth"), "tool", "arguments", "content")
-    key = F.concat_ws(":", *(F.lpad(F.coalesce(c, F.lit(0)).cast("string"), 10, "0") for c in ("at_turn", "depth", "turn")))
-    return placed.mapInArrow(_serialise(schemas), _SERIALISE).withColumn("order_key", key)
+    return placed.mapInArrow(serialise, _SERIALISE).withColumn("order_key", F.struct("at_turn", "depth", "turn"))
 
 
 #: The tool of the query over `conversations`: a user turn asks, the next assistant turn answers.
