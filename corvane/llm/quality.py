@@ -6,8 +6,10 @@ document of a line keeps it, all others lose it from their texts, and a document
 rejected as depleted.
 
 Defined cases: null text has no words and fails the word rules; a null host is the host ''; repeated rows and exact
-copies count as one text, so copying alone never makes a line boilerplate; an empty table gives an empty table; input
-columns other than the id, host and text are passed over (only `keep_documents` carries them).
+copies count as one document, so copying alone never makes a line boilerplate; of documents with one id the first holds a
+line in all their rows; texts and lines of any length are taken whole; a document at a limit keeps the line; an empty
+table gives an empty table; input columns other than the id, host and text are passed over by `judge` and carried by
+`keep_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import textkit
-from corvane.llm.shared import shuffle_or_broadcast, stored, text_blocks
+from corvane.llm.shared import CALLER, shuffle_or_broadcast, stored, text_blocks, unwrapped, wrapped
 
 SYMBOLS = b"#*$%&|<>"
 _IS_SYMBOL = np.zeros(256, bool)
@@ -126,12 +129,13 @@ def boilerplate(
     return lost.groupBy(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("text_hash").alias("_hash")).agg(places.alias("_drop"))
 
 
-def _judged(docs: DataFrame, carry: list[str], *, doc_id: str = "doc_id", host: str = "source", text: str = "text", min_words_left: float = 0.3, **limits) -> DataFrame:
-    """The columns to carry, the figures, `_failed`, `_kept`, and `_left`: the text without the lines above the limits."""
+def _judged(docs: DataFrame, *, doc_id: str = "doc_id", host: str = "source", text: str = "text", min_words_left: float = 0.3, **limits) -> DataFrame:
+    """The caller's columns wrapped, _doc, _source, the figures, `_failed`, `_kept`, and `_left`: the text without the lines above the limits."""
     drops = shuffle_or_broadcast(stored(boilerplate(docs, doc_id=doc_id, host=host, text=text, **limits), "boilerplate"))
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")) & (F.coalesce(F.col(host), F.lit("")) == F.col("_host"))
-    joined = docs.join(drops, same, "left").select(*carry, F.col(text).alias("_text"), "_drop")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_text", "_drop")] + [_STATS])
+    rows = wrapped(docs, text, F.col(doc_id).cast("bigint").alias("_doc"), F.coalesce(F.col(host), F.lit("")).alias("_source"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash")) & (F.col("_source") == F.col("_host"))
+    joined = rows.join(drops, same, "left").select(CALLER, "_doc", "_source", "_text", "_drop")
+    schema = T.StructType([*joined.select(CALLER, "_doc", "_source").schema.fields, *T.StructType.fromDDL(_STATS).fields])
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MAX_REPEATED_SHARE * F.col("_n_words"))
     depleted = (F.col("_n_words") - F.col("_n_boilerplate_words")) < min_words_left * F.col("_n_words")
     return joined.mapInArrow(text_blocks(_stats_block, "_text"), schema).withColumns({"_failed": failed, "_kept": ~failed & ~depleted})
@@ -143,8 +147,7 @@ def judge(docs: DataFrame, **options) -> DataFrame:
     `left_text` is the text without the lines above the limits (see `boilerplate`).  A document is depleted if less than
     `min_words_left` of its words are outside such lines.
     """
-    doc_id, host = options.get("doc_id", "doc_id"), options.get("host", "source")
-    out = _judged(docs.withColumns({"_doc": F.col(doc_id).cast("bigint"), "_source": F.coalesce(F.col(host), F.lit(""))}), ["_doc", "_source"], **options)
+    out = _judged(docs, **options)
     figures = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_boilerplate_words")
     return out.select(F.col("_doc").alias("doc_id"), F.col("_source").alias("host"), *(F.col("_" + c).alias(c) for c in figures), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.col("_left").alias("left_text"))
 
@@ -152,8 +155,8 @@ def judge(docs: DataFrame, **options) -> DataFrame:
 def keep_documents(docs: DataFrame, **options) -> DataFrame:
     """The input rows that `judge` keeps, with all their columns and without their lines above the limits."""
     text = options.get("text", "text")
-    kept = _judged(docs, [c for c in docs.columns if c != text], **options).where("_kept")
+    kept = _judged(docs, **options).where("_kept")
     changed = {text: F.col("_left")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_n_boilerplate_words") > 0, F.length("_left")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return kept.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+        changed["n_chars"] = F.when(F.col("_n_boilerplate_words") > 0, F.length("_left")).otherwise(F.col(CALLER).getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return unwrapped(kept, docs.columns, changed)
