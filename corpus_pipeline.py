@@ -8,7 +8,6 @@ raking and BPE, so ORACLE_SQL is None; tests/llm compares the stages with brute
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corvane.llm import bpe, line_dedup, mixing, near_dup, quality
 from corvane.llm.queries import tokenizer
@@ -25,9 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in three documents or more stay in one of them."""
-    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    changed = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType)}
-    return kept.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
+    return line_dedup.keep_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
