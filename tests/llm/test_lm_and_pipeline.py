@@ -1,13 +1,12 @@
 import collections
 import math
-import os
 import random
 import re
-import tempfile
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import lm_trie
 from tests.llm.fixtures import SCHEMA, documents, frame
@@ -31,45 +30,35 @@ def test_elias_fano_round_trip_and_search():
     assert len(lm_trie.ef_encode(dense)) < 100_000 * (2 + math.log2(977) + 1) / 8  # bits a number
 
 
-def test_trie_levels_against_dictionaries():
+def test_trie_against_dictionaries(tmp_path):
     rng = np.random.default_rng(2)
-    words, counts = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)), rng.integers(1, 9, 300)
-    keys = np.unique(rng.integers(0, 40, 2000, dtype=np.uint64) << np.uint64(32) | rng.integers(0, 500, 2000, dtype=np.uint64))
-    n = rng.integers(1, 50, len(keys))
-    totals = {3: 1000, 77: 5, 78: 0}
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "t")
-        lm_trie.Trie.write(path, (words, counts[: len(words)]), {2: (keys, n, totals)}, {2: 60.0})
-        trie = lm_trie.Trie(path)
-        assert trie.count(words).tolist() == counts[: len(words)].tolist() and trie.count(np.array([1, 2], np.uint64)).tolist() == [0, 0]
-        whole = collections.Counter()
-        for k, c in zip(keys.tolist(), n.tolist()):
-            whole[k >> 32] += c
-        whole.update({k: v - whole[k] for k, v in totals.items()})
-        have = dict(zip(keys.tolist(), n.tolist()))
-        asked = np.unique(np.concatenate([keys, np.array([5 << 32 | 9999, 77 << 32 | 1, 78 << 32, 1 << 50], np.uint64)]))
-        value, weight = trie.codes(2, asked)
-        for k, v, w in zip(asked.tolist(), value.tolist(), weight.tolist()):
-            c, big = have.get(k, 0), whole.get(k >> 32, 0)
-            assert (v > 0) == (c > 0) and (w > 0) == (big > 0)
-            if v:
-                assert abs(np.log10(lm_trie.VALUES[v]) - np.log10(c / (big + 60))) <= lm_trie.STEP / 2 + 1e-9
-            if w:
-                assert abs(np.log10(lm_trie.WEIGHTS[w]) - np.log10(60 / (big + 60))) <= lm_trie.STEP / 2 + 1e-9
-
-
-def test_unseen_successors_of_a_large_context_are_not_found():
-    """50,000 successors of one context are told from 20,000 others, but for 50,000 / 2^24 of them."""
-    texts = [f"a b w{i}" for i in range(70_000)]
-    buf = np.frombuffer("".join(texts).encode(), np.uint8)
-    keys = lm_trie.Block(list(range(len(texts))), buf, np.concatenate([[0], np.cumsum([len(x) for x in texts])]), 3).keys(3)[2::4]
-    seen, n = np.unique(keys[:50_000], return_counts=True)
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "t")
-        lm_trie.Trie.write(path, none, {2: (*none, {}), 3: (seen, n, {})}, lm_trie.STRENGTH)
-        value, weight = lm_trie.Trie(path).codes(3, np.sort(keys[50_000:]))
-    assert (weight > 0).all() and 50_000 - len(seen) < 200 and (value > 0).mean() < 0.01
+    keys, n = np.unique(rng.integers(0, 1 << 40, 3000, dtype=np.uint64)), rng.integers(1, 900, 3000)
+    parent, words = np.divmod(np.unique(rng.integers(0, len(keys) * 500, 20_000)), 500)
+    counts, spread = rng.integers(1, 90, len(parent)), np.unique(rng.integers(0, 1 << 30, 500, dtype=np.uint64))
+    part = lm_trie.Trie.build((keys, n[: len(keys)]), parent, words.astype(np.uint64), counts, (spread, np.arange(1, len(spread) + 1)), 20)
+    (tmp_path / "trie").write_bytes(part)
+    have = {(int(keys[p]), int(w)): c for p, w, c in zip(parent, words, counts)}
+    asked = np.unique(np.concatenate([keys[::3], rng.integers(0, 1 << 40, 500, dtype=np.uint64)]))
+    wanted = [np.unique(rng.integers(0, 600, 7)) for _ in asked]
+    blob = lm_trie.join_parts([lm_trie.ef_encode(asked), lm_trie.pack_counts(np.array([len(w) for w in wanted])), lm_trie.pack_bits(np.concatenate(wanted).astype(np.uint64), 20), lm_trie.ef_encode(spread[::2]), lm_trie.pack_counts(np.zeros(0, np.int64))])
+    for trie in (lm_trie.Trie(part), lm_trie.Trie.open(str(tmp_path / "trie"))):
+        codes = trie.look_up(lm_trie.Ask(blob, 20))
+        single = dict(zip(keys.tolist(), n.tolist()))
+        want = [single.get(k, 0) for k in asked.tolist()] + [have.get((k, w), 0) for k, ws in zip(asked.tolist(), wanted) for w in ws.tolist()] + list(range(1, len(spread) + 1, 2))
+        assert ((codes == 0) == (np.array(want) == 0)).all() and np.allclose(lm_trie.COUNTS[codes], want, rtol=0.062)
+        small = np.array(want) <= lm_trie.EXACT
+        assert (lm_trie.COUNTS[codes][small] == np.array(want)[small]).all()
+    bits = 40 - math.log2(len(keys)) + 3 + 8
+    assert len(part) * 8 < len(keys) * (bits + 8) + len(parent) * (20 + 8) + 30_000  # pointers, codes, and spread successors
+
+
+def test_pairs_have_numbers_of_their_own():
+    rng = np.random.default_rng(4)
+    for bits in (1, 5, 16, 31, 32):
+        meta = lm_trie.Meta(6, 24, bits, [], 0, 0, 0)
+        a, b = (rng.integers(0, 1 << bits, 50_000, dtype=np.uint64) for _ in range(2))
+        assert len(np.unique(meta.keys(a, b))) == len(np.unique(np.stack([a, b]), axis=1).T)
+        assert int(meta.keys(a, b).max()) < 1 << min(64, 2 * bits)
 
 
 def tokens(x):
@@ -105,9 +94,13 @@ def brute_scores(rows, strength):
 
 def test_scores_against_brute_force(spark):
     rows = documents()
+    rows.append((70, "word " * 9000, None, None, 0, 0, ""))
     want = sorted(brute_scores(rows, lm_trie.STRENGTH), key=str)
-    for options in ({}, {"block_bytes": 2000, "shard_bytes": 1000, "min_shards": 5}):
-        out = lm_trie.score_documents(frame(spark, rows), **options).collect()
+    model = lm_trie.fit(frame(spark, rows), block_bytes=3000, shard_bytes=4000)
+    small = {"block_bytes": 2000, "shard_bytes": 1000, "min_shards": 5}
+    shuffled = frame(spark, rows).orderBy(F.rand())  # gives other rows in other order each time
+    for out in (lm_trie.score_documents(frame(spark, rows)), lm_trie.score_documents(shuffled, **small), lm_trie.score_with(model, shuffled, block_bytes=5000)):
+        out = out.collect()
         got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out), key=str)
         assert [g[:4] for g in got] == [w[:4] for w in want]
         for g, w in zip(got, want):
@@ -115,26 +108,28 @@ def test_scores_against_brute_force(spark):
             assert abs(g[5] - w[5]) < 0.02 * w[1] + 1e-9  # half a step at most for each code
         held = [r for r in out if r.held_out]
         assert held and all(zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in held)
+    unseen = spark.createDataFrame([(2, "entirely unseen w0rds"), (5, None)], "doc_id long, text string")
+    assert [r.n_known for r in lm_trie.score_with(model, unseen).orderBy("doc_id").collect()] == [1, 1]
     assert lm_trie.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_words_in_context_are_a_distribution():
-    """The smoothed probabilities of all known words and the unknown one add up to about 1 in any context."""
+    """The probabilities of all known words and the unknown one add up to about 1 in any context of two words."""
     rnd = random.Random(5)
-    rows = [(i * 7 + (zlib.crc32(b"") & 0), " ".join(rnd.choice("abcdefg") for _ in range(40))) for i in range(50)]
-    train = [r for r in rows if not lm_trie.held_out(r[0])]
-    pairs, context, single = collections.Counter(), collections.Counter(), collections.Counter()
-    for r in train:
-        t = ["<s>"] + tokens(r[1])
-        for a, b in zip(t, t[1:]):
-            pairs[a, b] += 1
-            context[a] += 1
-            single[b] += 1
-    whole, s = sum(single.values()) + len(single) + 1, lm_trie.STRENGTH[2]
-    for a in ("<s>", "a", "g"):
-        weight = lm_trie.WEIGHTS[lm_trie.quantise(np.array([s / (context[a] + s)]))[0]]
-        total = sum(lm_trie.VALUES[lm_trie.quantise(np.array([pairs[a, w] / (context[a] + s)]))[0] if pairs[a, w] else 0] + weight * (single[w] + 1) / whole for w in single) + weight / whole
-        assert abs(total - 1) < 0.05
+    rows = [(i, " ".join(rnd.choice("abcdefg") for _ in range(40)), "en", "s", 0, 0, "") for i in range(50)]
+    strength = lm_trie.STRENGTH
+    train = [["<s>", "<s>", *r[1].split(), "</s>"] for r in rows if not lm_trie.held_out(r[0])]
+    single, pair, triple = (collections.Counter(tuple(t[i - k : i + 1]) for t in train for i in range(2, len(t))) for k in range(3))
+    start = collections.Counter(tuple(t[i - 2 : i]) for t in train for i in range(2, len(t)))
+    one = collections.Counter((t[i - 1],) for t in train for i in range(2, len(t)))
+    for context in (("<s>", "<s>"), ("<s>", "a"), ("g", "c")):
+        total = 0.0
+        for w in [*"abcdefg", "</s>", "unknown"]:
+            p = (single[w,] + 1) / (single.total() + len(single) + 1)
+            p = (pair[(context[1], w)] + strength[2] * p) / (one[context[1:]] + strength[2])
+            big = lm_trie.COUNTS[lm_trie.quantise(np.array([start[context]]))[0]]
+            total += (lm_trie.COUNTS[lm_trie.quantise(np.array([triple[(*context, w)]]))[0]] + strength[3] * p) / (big + strength[3])
+        assert abs(total - 1) < 0.07
 
 
 def test_held_out_text_is_scored_better_than_by_single_words(spark):
