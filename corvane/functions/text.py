@@ -78,18 +78,61 @@ def memory_type(text: Column, event_type: Column) -> Column:
     )
 
 
-# The sectors, in this order.
+# The sectors in this order, and their patterns, on lower-cased text.
 SECTORS = (
-    ("work", r"(?i)\b(deploy|code|bug|release|meeting|project|sprint)\b"),
-    ("people", r"(?i)\b(team|friend|family|colleague|manager)\b"),
-    ("health", r"(?i)\b(sleep|doctor|exercise|health|diet)\b"),
-    ("hobby", r"(?i)\b(game|music|movie|travel|hobby)\b"),
-)
+    ("work", (
+        r"(実装|コード|バグ|修正|デプロイ|プロジェクト|タスク|仕事|業務|開発|レビュー|ビルド|リファクタ)",
+        r"\b(code|coding|implement|bug|fix|deploy|project|task|work|develop|review|commit|pull request|api|test|build|refactor)\b",
+        r"\b(typescript|javascript|python|rust|golang|sql|docker|kubernetes|aws|gcp|azure|github|gitlab|ci|cd)\b",
+        r"\.(ts|js|py|rs|go|tsx|jsx|vue|sql|yaml|yml|json|toml|sh|md)\b",
+    )),
+    ("people", (
+        r"(さん|くん|ちゃん|チーム|同僚|メンター|上司|部下|会議|ミーティング|面談|フィードバック|コミュニケーション|友達|友人|家族|パートナー|恋人|知人|社内|社外)",
+        r"\b(team|colleague|mentor|manager|meeting|feedback|communication|friend|family|partner|engineer|designer|product|ceo|cto|mr\.|ms\.|dr\.)\b",
+    )),
+    ("health", (
+        r"(睡眠|起床|就寝|体重|体調|健康|運動|ジョギング|ランニング|ジム|筋トレ|ヨガ|食事|カロリー|水分|サプリ|病院|クリニック|医者|症状|疲労|ストレス|メンタル|気分|リラックス|瞑想)",
+        r"\b(sleep|exercise|jogging|running|gym|workout|yoga|diet|nutrition|calorie|hydration|supplement|doctor|medicine|symptom|fatigue|stress|mental|mood|relax|meditation|breathing|health)\b",
+    )),
+    ("hobby", (
+        r"(ゲーム|アニメ|マンガ|読書|小説|映画|音楽|楽器|ギター|ピアノ|趣味|旅行|料理|写真|スポーツ|レベルアップ|クリア|ステージ)",
+        r"\b(game|play|anime|manga|book|novel|movie|music|instrument|guitar|piano|hobby|travel|cooking|photo|photography|art|sport|level up|youtube|netflix|spotify|twitch)\b",
+    )),
+)
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with each \b taken between ASCII word characters and all else, whatever the engine takes it for."""
+    return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
 
 
 def sector(text: Column) -> Column:
     """F21"""
-    return first_match(text, SECTORS, "meta")
+    return first_match(F.lower(text), [(name, ascii_bounds("|".join(patterns))) for name, patterns in SECTORS], "meta")
+
+
+# The patterns of entities by type; the first group is the name.
+ENTITIES = (
+    ("file", r"(?:^|\s|[\"'`(])([\w./\\-]+\.(?:ts|js|py|rs|go|tsx|jsx|vue|sql|css|scss|html|json|yaml|yml|toml|md|sh))\b"),
+    ("package", r"(?:npm|yarn|pnpm|pip|cargo|bun)\s+(?:install|add|i|remove)\s+([\w@/.+\-]+)"),
+    ("symbol", r"(?:function|def|fn|func|const|let|var)\s+([A-Za-z_]\w{2,})"),
+    ("url", r"(https?://[^\s\"'`<>)\]]+)"),
+)
+
+
+def _named(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("type"), x.alias("name"))
+
+
+def entities(text: Column, most: int = 50) -> Column:
+    """type and name of each entity, once, the first `most` by type and place; names are cut to 255 characters."""
+    found = []
+    for kind, pattern in ENTITIES:
+        names = F.regexp_extract_all(text, F.lit(ascii_bounds(pattern)), F.lit(1))
+        if kind == "url":
+            names = F.transform(names, lambda x: F.substring(F.regexp_replace(x, r"[.,;:!?]+$", ""), 1, 255))
+        found.append(F.transform(names, _named(kind)))
+    return F.transform(F.slice(F.array_distinct(F.concat(*found)), 1, most), lambda e: F.struct(e["type"].alias("type"), F.substring(e["name"], 1, 255).alias("name")))
 
 
 def signal(text: Column) -> Column:
@@ -142,8 +185,9 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """a token for four characters, at least one."""
-    return F.greatest(F.lit(1), F.ceil(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("bigint")
+    """a token for four characters, at least one; blank text is one."""
+    blank = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "") == ""
+    return F.when(blank, 1).otherwise(F.greatest(F.lit(1), F.ceil(F.length(text) / 4))).cast("bigint")
 
 
 def cjk_ratio(text: Column) -> Column:

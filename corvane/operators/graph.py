@@ -45,6 +45,12 @@ KIND_WEIGHTS = {"updates": 1.0, "supersedes": 1.0, "superseded": -0.8, "contradi
 DEFAULT_KIND_WEIGHT = 0.1
 
 
+def relation_freshness(now: str, valid_to: str, invalidated_at: str) -> Column:
+    """0 for what was invalidated, 1/2 for what ran out, else 1."""
+    ended = F.col(valid_to).isNotNull() & (F.col(valid_to) <= F.lit(now).cast("timestamp_ntz"))
+    return F.when(F.col(invalidated_at).isNotNull(), 0.0).when(ended, 0.5).otherwise(1.0)
+
+
 def temporal_signal(relations: DataFrame, node: str, kind: str, strength: str, freshness: Column) -> DataFrame:
     """Sum of kind weight * strength in [0, 1] * freshness, within [-0.5, 1]."""
     weight = None
@@ -55,27 +61,39 @@ def temporal_signal(relations: DataFrame, node: str, kind: str, strength: str, f
     return relations.groupBy(node).agg(F.least(F.lit(1.0), F.greatest(F.lit(-0.5), F.sum(part))).alias("signal"))
 
 
+#: What a relation to another item means for readiness, and whether the other one's being closed lifts it.
+REASONS = {"blocks": ("blocked_by", True), "checkpoint": ("checkpoint_waiting", True), "supersedes": ("superseded", False), "duplicates": ("duplicate", False)}
+
+
 def readiness(items: DataFrame, dependencies: DataFrame, leases: DataFrame) -> DataFrame:
     """Each work item with the codes of what holds it back, and whether nothing does.
 
-    items: work_id, status.  dependencies: from_id, to_id, relation.  leases: work_id (live ones).
+    items: work_id, status.  dependencies: from_id, to_id, relation.  leases: work_id (live ones).  A blocker that is
+    not among the items counts as open.
     """
     status = items.where("status <> 'planned'").select("work_id", F.lit("status").alias("code"))
-    open_blockers = dependencies.where("relation = 'blocks'").join(items.where("status <> 'closed'").select(F.col("work_id").alias("from_id")), "from_id").select(F.col("to_id").alias("work_id"), F.lit("blocked_by").alias("code"))
+    known = dependencies.join(items.select(F.col("work_id").alias("from_id"), F.col("status").alias("from_status")), "from_id", "left")
+    code = None
+    for relation, (name, lifted) in REASONS.items():
+        holds = (F.col("relation") == relation) & (~F.col("from_status").eqNullSafe("closed") if lifted else F.lit(True))
+        code = F.when(holds, name) if code is None else code.when(holds, name)
+    held = known.select(F.col("to_id").alias("work_id"), code.alias("code")).where("code IS NOT NULL")
     leased = leases.select("work_id", F.lit("leased").alias("code"))
-    codes = status.unionAll(open_blockers).unionAll(leased).groupBy("work_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))  # three codes at most
+    codes = status.unionAll(held).unionAll(leased).groupBy("work_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))  # six codes at most
     out = items.join(codes, "work_id", "left")
     return out.select("work_id", "status", F.coalesce(F.array_join("codes", ","), F.lit("")).alias("reasons"), F.col("codes").isNull().alias("ready"))
 
 
-def next_work(items: DataFrame, dependencies: DataFrame, priority: Column, age_hours: Column, session: Column, current_session: str) -> DataFrame:
-    """8 for each step of priority, 10 for each item it unblocks (five count), recency and continuity; best first.
+def next_work(items: DataFrame, dependencies: DataFrame, leases: DataFrame, priority: Column, age_hours: Column, session: Column, current_session: str, limit: int = 10) -> DataFrame:
+    """The ready items, best first: 8 for each step of priority, 10 for each item they unblock (five count), recency and continuity.
 
-    items: work_id, status and what the Columns need.
+    items: work_id, status and what the Columns need; a null priority is 2.
     """
+    ready = readiness(items.select("work_id", "status"), dependencies, leases).where("ready").select("work_id")
     unblocks = dependencies.where("relation = 'blocks'").join(items.where("status <> 'closed'").select(F.col("work_id").alias("to_id")), "to_id").groupBy(F.col("from_id").alias("work_id")).agg(F.count("*").alias("unblocks"))
-    score_p = 8 * F.least(F.lit(5), F.greatest(F.lit(0), 5 - priority))
+    score_p = 8 * F.least(F.lit(5), F.greatest(F.lit(0), 5 - F.coalesce(priority, F.lit(2))))
     score_b = 10 * F.least(F.lit(5), F.coalesce("unblocks", F.lit(0)))
     score_r = F.when(age_hours <= 1, 15).when(age_hours <= 24, 10).when(age_hours <= 168, 5).otherwise(0)
     score_c = F.when(session == current_session, 20).when(session.isNotNull(), 8).otherwise(0)
-    return items.join(unblocks, "work_id", "left").select("work_id", score_p.cast("bigint").alias("priority_score"), (score_p + score_b + score_r + score_c).cast("bigint").alias("score")).orderBy(F.col("score").desc(), F.col("priority_score").desc(), "work_id")
+    scored = items.join(ready, "work_id", "left_semi").join(unblocks, "work_id", "left").select("work_id", score_p.cast("bigint").alias("priority_score"), (score_p + score_b + score_r + score_c).cast("bigint").alias("score"))
+    return scored.orderBy(F.col("score").desc(), F.col("priority_score").desc(), "work_id").limit(limit)

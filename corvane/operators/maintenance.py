@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.scores import hours_before
@@ -59,20 +59,19 @@ def merge_facts(facts: DataFrame, threshold: float = 0.3) -> DataFrame:
     """
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[int, frozenset] = {}
-        index: dict[str, set[int]] = {}
+        kept: list[tuple[int, frozenset]] = []  # in time order, so that ties go to the earliest
+        index: dict[str, list[int]] = {}
         out = []
         for row in pdf.sort_values(["created_at", "fact_id"]).itertuples():
-            have, best, into = frozenset(row.tokens), threshold, None
-            near = sorted({i for t in have for i in index.get(t, ())})
-            for i in near:
-                j = len(have & kept[i]) / len(have | kept[i])
-                if j > best or (j == best and into is None):
-                    best, into = j, i
+            have, best, into = frozenset(row.tokens), 0.0, None
+            for i in sorted({i for t in have for i in index.get(t, ())}):
+                j = len(have & kept[i][1]) / len(have | kept[i][1])
+                if j >= threshold and j > best:
+                    best, into = j, kept[i][0]
             if into is None:
-                kept[row.fact_id] = have
                 for t in have:
-                    index.setdefault(t, set()).add(row.fact_id)
+                    index.setdefault(t, []).append(len(kept))
+                kept.append((row.fact_id, have))
             out.append((row.fact_id, into))
         return pd.DataFrame({"fact_id": [a for a, _ in out], "merged_into": pd.array([b for _, b in out], "Int64")})
 
@@ -82,15 +81,86 @@ def merge_facts(facts: DataFrame, threshold: float = 0.3) -> DataFrame:
 def pack_budget(items: DataFrame, key: str, order: str, full: str, compact: str, budget: int) -> DataFrame:
     """Items in order, whole while they fit, else the compact form while that fits, else passed over; per key.
 
-    items: token counts in `full` and `compact`.  One fold over a key's ordered items, inside the JVM.
+    items: token counts in `full` and `compact`.  The rule depends on the order, so a key's items run in one Python call.
     """
-    arr = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(full).cast("bigint").alias("f"), F.col(compact).cast("bigint").alias("c"))))
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<struct<o: bigint, form: string, left: bigint>>").alias("out"))
 
-    def step(acc, x):
-        form = F.when(x["f"] <= acc["left"], "full").when(x["c"] <= acc["left"], "compact").otherwise("skip")
-        left = acc["left"] - F.when(x["f"] <= acc["left"], x["f"]).when(x["c"] <= acc["left"], x["c"]).otherwise(F.lit(0).cast("bigint"))
-        one = F.array(F.struct(x["o"].cast("bigint").alias("o"), form.alias("form"), left.alias("left")))
-        return F.struct(left.alias("left"), F.concat(acc["out"], one).alias("out"))
+    def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, forms, lefts = budget, [], []
+        for f, c in zip(pdf["f"], pdf["c"]):
+            forms.append("full" if f <= left else "compact" if c <= left else "skip")
+            left -= f if f <= left else c if c <= left else 0
+            lefts.append(left)
+        return pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "form": forms, "left_tokens": lefts})
+
+    rows = items.select(F.col(key).alias("k"), F.col(order).cast("bigint").alias("o"), F.col(full).cast("bigint").alias("f"), F.col(compact).cast("bigint").alias("c"))
+    packed = rows.groupBy("k").applyInPandas(lambda pdf: group(pdf.sort_values(["o", "f", "c"])), f"k {rows.schema['k'].dataType.simpleString()}, o bigint, form string, left_tokens bigint")
+    return packed.select(F.col("k").alias(key), F.col("o").alias(order), "form", "left_tokens")
+
+
+def verified(rows: DataFrame, sources: DataFrame, key: str, conflict: Column, empty: Column) -> DataFrame:
+    """Each row with what its source says of it: missing_event, time_conflict, empty or verified.
+
+    sources: key and what the Columns need, a row for each key.
+    """
+    known = sources.withColumn("_there", F.lit(True))
+    status = F.when(F.col("_there").isNull(), "missing_event").when(conflict, "time_conflict").when(empty, "empty").otherwise("verified")
+    return rows.join(known, key, "left").withColumn("status", status)
+
+
+def manifest(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Rows and key figures of each table, to be stored with a backup and compared after it is read back."""
+    out = None
+    for name, (df, key) in tables.items():
+        k = F.col(key).cast("bigint")
+        one = df.agg(F.count("*").alias("n_rows"), F.sum(k).alias("key_sum"), F.min(k).alias("key_min"), F.max(k).alias("key_max")).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def backup(tables: dict[str, tuple[DataFrame, str]], folder: str) -> bool:
+    """Writes the tables and their manifest, reads them back, and says whether the figures agree."""
+    before = manifest(tables)
+    for name, (df, _) in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    before.coalesce(1).write.mode("overwrite").json(f"{folder}/_manifest")
+    spark = before.sparkSession
+    after = manifest({name: (spark.read.parquet(f"{folder}/{name}"), key) for name, (_, key) in tables.items()})
+    written = spark.read.schema(before.schema).json(f"{folder}/_manifest")
+    return after.exceptAll(written).isEmpty() and written.exceptAll(after).isEmpty()
+
+
+def vector_repair(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Id and action: prune vectors without a row, backfill rows without a vector, reindex stale vectors.
+
+    rows: id.  vectors: id, stale.
+    """
+    both = rows.distinct().withColumn("_row", F.lit(True)).join(vectors.withColumn("_vector", F.lit(True)), "id", "full")
+    action = F.when(F.col("_row").isNull(), "prune").when(F.col("_vector").isNull(), "backfill").when(F.col("stale"), "reindex")
+    return both.select("id", action.alias("action")).where("action IS NOT NULL")
+
+
+def archived(rows: DataFrame, which: Column, content: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with stubs in place of what is archived (state 'archived', no content), and the archive."""
+    chosen = F.coalesce(which, F.lit(False))
+    stub = rows.withColumns({content: F.when(~chosen, F.col(content)), "state": F.when(chosen, "archived").otherwise(F.col("state"))})
+    return stub, rows.where(chosen)
+
+
+def restored(rows: DataFrame, archive: DataFrame, wanted: DataFrame, key: str, content: str) -> DataFrame:
+    """The rows with the content of the wanted archived ones back in place, and live again."""
+    back = archive.join(wanted.select(key).distinct(), key, "left_semi").select(key, F.col(content).alias("_content"), F.lit(True).alias("_back"))
+    return rows.join(back, key, "left").withColumns({content: F.when(F.col("_back"), F.col("_content")).otherwise(F.col(content)), "state": F.when(F.col("_back"), "live").otherwise(F.col("state"))}).drop("_content", "_back")
+
+
+def purged(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The rows that stay; gone: id."""
+    return rows.join(gone.select(F.col("id").alias(key)), key, "left_anti")
+
 
-    return items.groupBy(key).agg(arr.alias("a")).select(key, F.inline(F.aggregate("a", start, step, lambda s: s["out"])).alias(order, "form", "left_tokens"))
+def purge_manifest(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> DataFrame:
+    """For each table, the rows that a purge takes and leaves; checked before anything is deleted."""
+    out, ids = None, gone.select("id").distinct().withColumn("_gone", F.lit(True))
+    for name, (df, key) in tables.items():
+        one = df.select(F.col(key).alias("id")).join(ids, "id", "left").agg(F.count("_gone").alias("purged"), F.count_if(F.col("_gone").isNull()).alias("kept")).select(F.lit(name).alias("name"), "*")
+        out = one if out is None else out.unionAll(one)
+    return out

@@ -69,3 +69,29 @@ def recall_score(title: Column, body: Column, phrase: str, terms: list[str]) ->
     text = F.lower(F.concat_ws(" ", title, body))
     parts = [2 * F.contains(F.lower(title), F.lit(t)).cast("bigint") + F.contains(F.lower(body), F.lit(t)).cast("bigint") for t in terms]
     return reduce(lambda a, b: a + b, parts, 3 * F.contains(text, F.lit(phrase.lower())).cast("bigint"))
+
+
+def temporal_rerank(ranked_rows: DataFrame, row_id: str, final: str, state: Column, anchor: str, limit: int, descending: bool) -> DataFrame:
+    """The first max(90, 8 * limit) rows by `final` are ordered anew by state score, then time; all others stay behind.
+
+    Where no state score differs from 0 the order stays.  Only the head (a fixed number of rows) is sorted in one place.
+    """
+    best = [F.col(final).desc(), F.col(row_id)]
+    head = ranked_rows.withColumn("_state", state).orderBy(*best).limit(max(90, 8 * limit))
+    any_ = head.agg(F.max(F.col("_state") != 0).alias("_any"))  # one row
+    time = F.col(anchor).desc() if descending else F.col(anchor).asc()
+    w = W.partitionBy(F.lit(0))
+    placed = head.crossJoin(F.broadcast(any_)).withColumns({"_old": F.row_number().over(w.orderBy(*best)), "_new": F.row_number().over(w.orderBy(F.col("_state").desc(), time, *best))})
+    return placed.select(row_id, F.col("_state").cast("bigint").alias("state"), F.when(F.col("_any"), F.col("_new")).otherwise(F.col("_old")).cast("bigint").alias("place")).where(F.col("place") <= limit)
+
+
+def resume_pack(rows: DataFrame, key: str, order: str, is_summary: Column, importance: Column, budget: int, half: float = 8.0) -> DataFrame:
+    """Of each key the latest summary, then the best rows by importance * exp(-age / half) while their tokens fit the budget.
+
+    rows: key, order, tokens.  age: places behind the latest row.
+    """
+    newest = rows.groupBy(key).agg(F.max(order).alias("_newest"), F.max(F.when(is_summary, F.col(order))).alias("_summary"))
+    scored = rows.join(newest, key).withColumns({"_latest": F.coalesce(F.col(order) == F.col("_summary"), F.lit(False)), "_score": importance * F.exp(-(F.col("_newest") - F.col(order)) / half)})
+    w = W.partitionBy(key).orderBy(F.col("_latest").desc(), F.col("_score").desc(), F.col(order).desc())
+    placed = scored.withColumns({"place": F.row_number().over(w).cast("bigint"), "spent": F.sum("tokens").over(w.rowsBetween(W.unboundedPreceding, 0))})
+    return placed.where(F.col("_latest") | (F.col("spent") <= budget)).select(key, order, F.when(F.col("_latest"), "summary").otherwise("item").alias("section"), "place", "spent")

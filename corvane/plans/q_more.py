@@ -60,10 +60,17 @@ def f14(spark, d):
     return b.crossJoin(F.broadcast(q)).select("item_id", F.round(text.jaccard(F.col("s"), F.col("qs")), 6).alias("overlap"))
 
 
-@register("f22_entities", "SELECT doc_id, unnest(list_distinct(list_slice(regexp_extract_all(text, 'https?://[^\\s]+|[A-Za-z0-9_/.-]+\\.(?:com|org|net|py|ts)\\b'), 1, 50))) AS entity FROM documents")
+def _entities_sql(x: str) -> str:
+    parts = []
+    for kind, pattern in text.ENTITIES:
+        name = "regexp_replace(v, '[.,;:!?]+$', '')[1:255]" if kind == "url" else "v"
+        parts.append("list_transform(regexp_extract_all({}, '{}', 1), lambda v: {{'type': '{}', 'name': {}}})".format(x, pattern.replace("'", "''"), kind, name))
+    return " || ".join(parts)
+
+
+@register("f22_entities", f"WITH f AS (SELECT page_id, {_entities_sql("(coalesce(url, '') || ' ' || coalesce(html, ''))")} AS l FROM pages), k AS (SELECT page_id, unnest(list_slice(list_filter(l, lambda v, i: list_position(l, v) = i), 1, 50)) AS e FROM f) SELECT page_id, e.type AS type, e.name[1:255] AS name FROM k")
 def f22(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"https?://[^\s]+|[A-Za-z0-9_/.-]+\.(?:com|org|net|py|ts)\b"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.slice(found, 1, 50))).alias("entity"))
+    return table(spark, d, "pages").select("page_id", F.inline(text.entities(F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))))).select("page_id", "type", "name")
 
 
 @register("f26_private_blocks", "SELECT doc_id, sha256(regexp_replace(regexp_replace('a<private>' || left(text, 40) || '</private>' || right(text, 10), '(?is)<private>.*?</private>', '', 'g'), '(?is)<private>.*$', '')) AS h FROM documents")
@@ -154,10 +161,19 @@ def m21(spark, d):
     return views.observations(spark, d).withColumn("privacy", tags).groupBy("project").agg(F.count("*").alias("n"), F.count_if(P.visible("privacy")).alias("n_left"))
 
 
-@register("e12_supersession_precision", f"WITH {FACTS} SELECT fact_key, round(count(*) FILTER (superseded_by IS NOT NULL AND valid_to >= valid_from) / nullif(count(*) FILTER (superseded_by IS NOT NULL), 0), 6) AS precision FROM facts GROUP BY 1")
+@register("e12_supersession_precision", f"""WITH {FACTS}, n AS (SELECT f.*, g.fact_value AS next_value FROM facts f LEFT JOIN facts g ON f.superseded_by = g.fact_id),
+j AS (SELECT fact_key, coalesce(valid_to <= TIMESTAMP '2000-01-01', false) AS said, next_value IS NOT NULL AND next_value <> fact_value AS meant, (epoch_us(valid_to) - epoch_us(valid_from)) / 3.6e9 AS hours FROM n)
+SELECT fact_key, round(count(*) FILTER (said AND meant) / nullif(count(*) FILTER (said), 0), 6) AS precision, round(count(*) FILTER (said AND meant) / nullif(count(*) FILTER (meant), 0), 6) AS recall,
+  round(avg(hours) FILTER (said AND meant), 3) AS delay_hours FROM j GROUP BY 1""")
 def e12(spark, d):
-    made = F.col("superseded_by").isNotNull()
-    return views.facts(spark, d).groupBy("fact_key").agg(F.round(F.try_divide(F.count_if(made & (F.col("valid_to") >= F.col("valid_from"))), F.count_if(made)), 6).alias("precision"))
+    """Facts that had ended by 2000 are taken for superseded; those whose next value differs are."""
+    facts = views.facts(spark, d)
+    later = facts.select(F.col("fact_id").alias("superseded_by"), F.col("fact_value").alias("next_value"))
+    said = F.coalesce(F.col("valid_to") <= F.lit("2000-01-01").cast("timestamp_ntz"), F.lit(False))
+    meant = F.coalesce(F.col("next_value") != F.col("fact_value"), F.lit(False))
+    hours = (scores.micros(F.col("valid_to")) - scores.micros(F.col("valid_from"))) / 3.6e9
+    both = facts.join(later, "superseded_by", "left").groupBy("fact_key").agg(F.count_if(said & meant).alias("both"), F.count_if(said).alias("said"), F.count_if(meant).alias("meant"), F.avg(F.when(said & meant, hours)).alias("delay"))
+    return both.select("fact_key", F.round(F.try_divide("both", "said"), 6).alias("precision"), F.round(F.try_divide("both", "meant"), 6).alias("recall"), F.round("delay", 3).alias("delay_hours"))
 
 
 @register("e17_ready_metrics", "SELECT o_orderpriority AS slice, round(count(*) FILTER (p AND e) / nullif(count(*) FILTER (p), 0), 6) AS precision, round(count(*) FILTER (p AND e) / nullif(count(*) FILTER (e), 0), 6) AS recall FROM (SELECT *, o_orderstatus = 'O' AS p, o_totalprice > 150000 AS e FROM orders) GROUP BY 1")

@@ -126,7 +126,16 @@ def f20(spark, d):
     return notes(spark).select("id", text.memory_type(F.col("content"), F.col("event_type")).alias("memory_type"))
 
 
-@register("f21_sector", f"WITH {_VALUES} SELECT id, {_case('content', text.SECTORS, 'meta')} AS sector FROM notes")
+def _sector_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), '{'|'.join(patterns)}') THEN '{name}'" for name, patterns in text.SECTORS) + " ELSE 'meta' END"
+
+
+@register("f21_sector_documents", f"SELECT doc_id, {_sector_sql('text')} AS sector FROM documents")
+def f21_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.sector(F.col("text")).alias("sector"))
+
+
+@register("f21_sector", f"WITH {_VALUES} SELECT id, {_sector_sql('content')} AS sector FROM notes")
 def f21(spark, d):
     return notes(spark).select("id", text.sector(F.col("content")).alias("sector"))
 
@@ -171,7 +180,7 @@ def f31(spark, d):
     return views.observations(spark, d).select("doc_id", F.round(text.tag_match(wanted, have), 6).alias("score"))
 
 
-@register("f45_token_estimate", "SELECT doc_id, greatest(1, ceil(length(text) / 4))::BIGINT AS tokens FROM documents")
+@register("f45_token_estimate", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN greatest(1, ceil(length(text) / 4)) ELSE 1 END::BIGINT AS tokens FROM documents")
 def f45(spark, d):
     return table(spark, d, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
@@ -337,11 +346,14 @@ register_whole("g3_proximity", g3, " WHERE l_partkey < 200", "")
 _KIND = "CASE o_orderstatus WHEN 'F' THEN 'updates' WHEN 'O' THEN 'contradicts' ELSE 'other' END"
 
 
-@register("g4_temporal_signal", f"SELECT o_custkey AS node, round(least(1, greatest(-0.5, sum(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN -0.5 ELSE 0.1 END * least(1, greatest(0, o_totalprice / 500000)) * exp(-greatest(0, (epoch_us(TIMESTAMP '2001-09-01') - epoch_us(o_orderdate)) / 3.6e9) / 24 / 365)))), 5)::DOUBLE AS signal FROM orders GROUP BY 1")
+@register("g4_temporal_signal", """SELECT o_custkey AS node, round(least(1, greatest(-0.5, sum(CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN -0.5 ELSE 0.1 END * least(1, greatest(0, o_totalprice / 500000))
+  * CASE WHEN o_orderkey % 11 = 0 THEN 0 WHEN o_orderdate + INTERVAL 400 DAY <= TIMESTAMP '2000-01-01' THEN 0.5 ELSE 1 END))), 5)::DOUBLE AS signal FROM orders GROUP BY 1""")
 def g4(spark, d):
+    """Relations that ended 400 days on; every eleventh was invalidated."""
     kind = F.when(F.col("o_orderstatus") == "F", "updates").when(F.col("o_orderstatus") == "O", "contradicts").otherwise("other")
-    rel = table(spark, d, "orders").select(F.col("o_custkey").alias("node"), kind.alias("kind"), (F.col("o_totalprice") / 500000).alias("strength"), "o_orderdate")
-    return graph.temporal_signal(rel, "node", "kind", "strength", scores.recency("2001-09-01 00:00:00", "o_orderdate", 365)).select("node", F.round("signal", 5).alias("signal"))
+    ends = F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 400 DAY")
+    rel = table(spark, d, "orders").select(F.col("o_custkey").alias("node"), kind.alias("kind"), (F.col("o_totalprice") / 500000).alias("strength"), ends.alias("valid_to"), F.when(F.col("o_orderkey") % 11 == 0, ends).alias("invalidated_at"))
+    return graph.temporal_signal(rel, "node", "kind", "strength", graph.relation_freshness("2000-01-01 00:00:00", "valid_to", "invalidated_at")).select("node", F.round("signal", 5).alias("signal"))
 
 
 @register("g7_neighbours", "SELECT p_brand AS entity, count(DISTINCT l_orderkey) AS n_observations, min(l_orderkey) AS first_observation FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size < 10 GROUP BY 1")
@@ -351,18 +363,25 @@ def g7(spark, d):
 
 
 _WORK = """it AS (SELECT o_orderkey AS work_id, CASE o_orderstatus WHEN 'P' THEN 'planned' WHEN 'O' THEN 'planned' ELSE 'closed' END AS status, o_orderpriority, o_orderdate, o_custkey FROM orders),
-dep AS (SELECT work_id AS from_id, lead(work_id) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, work_id) AS to_id FROM it)"""
+dep AS (SELECT work_id AS from_id, lead(work_id) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, work_id) AS to_id,
+  CASE left(o_orderpriority, 1) WHEN '2' THEN 'checkpoint' WHEN '3' THEN 'supersedes' WHEN '4' THEN 'duplicates' ELSE 'blocks' END AS relation FROM it),
+codes AS (SELECT work_id, 'status' AS code FROM it WHERE status <> 'planned' UNION SELECT to_id, 'blocked_by' FROM dep JOIN it ON from_id = work_id WHERE status <> 'closed' AND to_id IS NOT NULL AND relation = 'blocks'
+  UNION SELECT to_id, 'checkpoint_waiting' FROM dep JOIN it ON from_id = work_id WHERE status <> 'closed' AND to_id IS NOT NULL AND relation = 'checkpoint'
+  UNION SELECT to_id, CASE relation WHEN 'supersedes' THEN 'superseded' ELSE 'duplicate' END FROM dep WHERE to_id IS NOT NULL AND relation IN ('supersedes', 'duplicates')
+  UNION SELECT work_id, 'leased' FROM it WHERE work_id % 17 = 0)"""
 
 
 def _work(spark, d):
     items = table(spark, d, "orders").select(F.col("o_orderkey").alias("work_id"), F.when(F.col("o_orderstatus").isin("P", "O"), "planned").otherwise("closed").alias("status"), "o_orderpriority", "o_orderdate", "o_custkey")
     w = W.partitionBy("o_custkey").orderBy("o_orderdate", "work_id")
-    deps = items.select(F.col("work_id").alias("from_id"), F.lead("work_id").over(w).alias("to_id"), F.lit("blocks").alias("relation")).where("to_id IS NOT NULL")
+    kind = F.substring("o_orderpriority", 1, 1)
+    relation = F.when(kind == "2", "checkpoint").when(kind == "3", "supersedes").when(kind == "4", "duplicates").otherwise("blocks")
+    deps = items.select(F.col("work_id").alias("from_id"), F.lead("work_id").over(w).alias("to_id"), relation.alias("relation")).where("to_id IS NOT NULL")
     return items, deps
 
 
-@register("g13_ready", f"""WITH {_WORK}, c AS (SELECT work_id, 'status' AS code FROM it WHERE status <> 'planned' UNION SELECT to_id, 'blocked_by' FROM dep JOIN it ON from_id = work_id WHERE status <> 'closed' AND to_id IS NOT NULL UNION SELECT work_id, 'leased' FROM it WHERE work_id % 17 = 0)
-SELECT it.work_id, status, coalesce(string_agg(code, ',' ORDER BY code), '') AS reasons, count(code) = 0 AS ready FROM it LEFT JOIN c USING (work_id) GROUP BY 1, 2""")
+@register("g13_ready", f"""WITH {_WORK}
+SELECT it.work_id, status, coalesce(string_agg(code, ',' ORDER BY code), '') AS reasons, count(code) = 0 AS ready FROM it LEFT JOIN codes USING (work_id) GROUP BY 1, 2""")
 def g13(spark, d):
     items, deps = _work(spark, d)
     return graph.readiness(items.select("work_id", "status"), deps, items.where("work_id % 17 = 0"))
@@ -371,10 +390,9 @@ def g13(spark, d):
 _AGE = "greatest(0, (epoch_us(TIMESTAMP '2001-08-02') - epoch_us(o_orderdate)) / 3.6e9)"
 
 
-@register("g14_next_work", f"""WITH {_WORK}, u AS (SELECT from_id AS work_id, count(*) AS n FROM dep JOIN it ON to_id = work_id WHERE status <> 'closed' GROUP BY 1)
-SELECT work_id, (8 * least(5, greatest(0, 5 - left(o_orderpriority, 1)::INT)))::BIGINT AS priority_score, (8 * least(5, greatest(0, 5 - left(o_orderpriority, 1)::INT)) + 10 * least(5, coalesce(n, 0)) + CASE WHEN {_AGE} <= 1 THEN 15 WHEN {_AGE} <= 24 THEN 10 WHEN {_AGE} <= 168 THEN 5 ELSE 0 END + CASE WHEN o_custkey % 7 = 0 THEN 20 ELSE 8 END)::BIGINT AS score FROM it LEFT JOIN u USING (work_id) WHERE status = 'planned' ORDER BY score DESC, priority_score DESC, work_id LIMIT 100""")
+@register("g14_next_work", f"""WITH {_WORK}, u AS (SELECT from_id AS work_id, count(*) AS n FROM dep JOIN it ON to_id = work_id WHERE status <> 'closed' AND relation = 'blocks' GROUP BY 1)
+SELECT work_id, (8 * least(5, greatest(0, 5 - left(o_orderpriority, 1)::INT)))::BIGINT AS priority_score, (8 * least(5, greatest(0, 5 - left(o_orderpriority, 1)::INT)) + 10 * least(5, coalesce(n, 0)) + CASE WHEN {_AGE} <= 1 THEN 15 WHEN {_AGE} <= 24 THEN 10 WHEN {_AGE} <= 168 THEN 5 ELSE 0 END + CASE WHEN o_custkey % 7 = 0 THEN 20 ELSE 8 END)::BIGINT AS score FROM it LEFT JOIN u USING (work_id) WHERE work_id NOT IN (SELECT work_id FROM codes WHERE work_id IS NOT NULL) ORDER BY score DESC, priority_score DESC, work_id LIMIT 100""")
 def g14(spark, d):
     items, deps = _work(spark, d)
     session = F.when(F.col("o_custkey") % 7 == 0, "now").otherwise("other")
-    ranked = graph.next_work(items, deps, F.substring("o_orderpriority", 1, 1).cast("int"), scores.hours_before("2001-08-02 00:00:00", "o_orderdate"), session, "now")
-    return ranked.join(items.where("status = 'planned'").select("work_id"), "work_id", "left_semi").orderBy(F.col("score").desc(), F.col("priority_score").desc(), "work_id").limit(100)
+    return graph.next_work(items, deps, items.where("work_id % 17 = 0").select("work_id"), F.substring("o_orderpriority", 1, 1).cast("int"), scores.hours_before("2001-08-02 00:00:00", "o_orderdate"), session, "now", 100)

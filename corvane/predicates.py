@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The tags that hide a row.
@@ -138,3 +139,20 @@ def external_allowed(tags: str) -> Column:
 def suppressed(text: str, patterns: Sequence[str]) -> Column:
     """P20: any pattern is found in the text."""
     return reduce(lambda a, b: a | b, [F.coalesce(F.col(text).rlike(p), F.lit(False)) for p in patterns], F.lit(False))
+
+
+def file_filter(rows: DataFrame, row_id: str, tags: DataFrame, query: str) -> DataFrame:
+    """Rows with the provenance tag of a `file:path` of the query, or with a tag that holds the path where no tag is equal to it.
+
+    tags: row_id, tag.  A query without such a word filters nothing.
+    """
+    paths = re.findall(r"\bfile:(\S+)", query)
+    if not paths:
+        return rows
+    wanted = None
+    for path in paths:
+        equal, part = tags.where(F.col("tag") == f"file:{path}"), tags.where(F.contains("tag", F.lit(path)))
+        none = equal.agg((F.count("*") == 0).alias("_none"))  # one row
+        some = equal.select("row_id").unionAll(part.crossJoin(F.broadcast(none)).where("_none").select("row_id"))
+        wanted = some if wanted is None else wanted.unionAll(some)
+    return rows.join(wanted.select(F.col("row_id").alias(row_id)), row_id, "left_semi")
