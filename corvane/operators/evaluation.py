@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.operators.tables import running_total
+
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, rank: str, k: int) -> DataFrame:
     """recall@k, precision@k, reciprocal rank and binary nDCG@k of each query; ranks from 1, unique items."""
@@ -73,8 +75,8 @@ def holm(tests: DataFrame, name: str, p: str, alpha: float = 0.05) -> DataFrame:
 
 def wilcoxon(diffs: DataFrame, diff: str, row_id: str) -> DataFrame:
     """Signed-rank test by the normal approximation; zero differences go, ties are ranked in order of id, not averaged."""
-    w = W.partitionBy(F.lit(0)).orderBy(F.abs(F.col(diff)), row_id)
-    r = diffs.where(F.col(diff) != 0).select(F.col(diff).alias("d"), F.row_number().over(w).alias("r"))
+    some = diffs.where(F.col(diff) != 0).select(F.col(diff).alias("d"), F.abs(F.col(diff)).alias("size"), F.col(row_id).alias("id"), F.lit(1).cast("bigint").alias("one"))
+    r = running_total(some, ["size", "id"], "one", "r")
     sums = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0)).cast("double").alias("w_plus"))
     n = F.col("n")
     return sums.withColumn("z", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
@@ -85,3 +87,16 @@ def token_f1(a: Column, b: Column) -> Column:
     common = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + F.least(F.size(F.filter(a, lambda x: x == t)), F.size(F.filter(b, lambda x: x == t))))
     whole = F.size(a) + F.size(b)
     return F.when(whole == 0, 1.0).otherwise(2 * common / whole)
+
+
+def percentiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """Nearest-rank percentiles of each group: the smallest value with at least that share of the rows at or below it.
+
+    Rows are counted by value, and the counts summed up over all groups in order, so no group's values come to one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    summed = running_total(counts, [group, value], "_n", "_upto")
+    spans = summed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_rows"))
+    ranked = summed.join(spans, group)
+    reached = lambda q: F.col("_upto") - F.col("_start") >= F.greatest(F.ceil(F.lit(q) * F.col("_rows")), F.lit(1))
+    return ranked.groupBy(group).agg(*(F.min(F.when(reached(q), F.col(value))).alias(name) for name, q in at.items()))

@@ -26,6 +26,36 @@ def bm25(docs: DataFrame, row_id: str, tokens: Column, terms: list[str], k1: flo
     return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy(row_id).agg(F.sum(part).alias("raw"))  # both sides bounded by the query
 
 
+def postings(docs: DataFrame, row_id: str, tokens: Column) -> DataFrame:
+    """S3: an inverted index: term, row, tf and len of every term of every row; a row without terms has the term ''."""
+    rows = docs.select(row_id, tokens.alias("_tokens")).withColumn("len", F.size("_tokens"))
+    terms = rows.select(row_id, "len", F.explode_outer("_tokens").alias("term"))
+    return terms.groupBy(row_id, F.coalesce("term", F.lit("")).alias("term"), "len").agg(F.count("*").alias("tf"))
+
+
+#: Buckets that the terms of a stored index are dealt over, as folders.
+INDEX_BUCKETS = 16
+
+
+def store_index(found: DataFrame, folder: str, row_id: str) -> None:
+    """Writes postings by bucket of the term, sorted by term, so that a query reads its terms' row groups only; and the corpus figures."""
+    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)))
+    bucketed.repartition(INDEX_BUCKETS, "bucket").sortWithinPartitions("bucket", "term", row_id).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    rows = found.groupBy(row_id).agg(F.any_value("len").alias("len"))
+    rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/corpus")
+
+
+def bm25_indexed(spark, folder: str, row_id: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """R2 on a stored index: only the buckets, row groups and columns of the query's terms are read."""
+    buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(INDEX_BUCKETS)) for t in terms]
+    tf = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(terms)).select(row_id, "term", "tf", "len")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
+    corpus = spark.read.parquet(f"{folder}/corpus")  # one row
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy(row_id).agg(F.sum(part).alias("raw"))
+
+
 def ranked(df: DataFrame, row_id: str, score: str, top: int, name: str) -> DataFrame:
     """0-based rank of the best `top` positive scores; ties by id.  The window sees `top` rows only."""
     head = df.where(F.col(score) > 0).orderBy(F.col(score).desc(), row_id).limit(top)

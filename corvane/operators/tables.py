@@ -66,3 +66,24 @@ def full_outer_counts(parts: dict[str, DataFrame], key: str) -> DataFrame:
         one = df.select(F.col(key), *(F.lit(1 if n == name else 0).alias(n) for n in parts))
         union = one if union is None else union.unionByName(one)
     return union.groupBy(key).agg(*(F.sum(n).cast("bigint").alias(n) for n in parts))
+
+
+def running_total(df: DataFrame, order: list[str], amount: str, out: str) -> DataFrame:
+    """Adds the sum of `amount` over all rows up to each one in a total order, without gathering the rows.
+
+    Rows are cut into ranges by bounds from a small sample (by hash); each range is summed on its own and shifted by the
+    sums of those before it (one row a range).  The bounds are literals, so both readings of the rows cut them alike.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*order).orderBy(F.xxhash64(*order)).limit(32 * n).collect()
+    sample = sorted({tuple(r) for r in rows if None not in r})
+    bounds = [sample[len(sample) * k // n] for k in range(1, n)] if len(sample) >= n else sample
+    kinds = [df.schema[c].dataType for c in order]
+    literal = lambda b: F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(b, kinds, order)))
+    key = F.struct(*(F.col(c) for c in order))
+    part = F.size(F.filter(F.array(*map(literal, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
+    ranged = df.withColumn("_part", part)
+    w = W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    shifts = ranged.groupBy("_part").agg(F.sum(amount).alias("_s")).select("_part", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_shift"))
+    local = F.sum(amount).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn(out, local).join(F.broadcast(shifts), "_part").withColumn(out, F.col(out) + F.col("_shift")).drop("_part", "_shift")

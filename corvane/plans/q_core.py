@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane import predicates as P
 from corvane import views
 from corvane.functions import scores
-from corvane.operators import tables, temporal
+from corvane.operators import evaluation, tables, temporal
 from corvane.plans.catalogue import register, register_whole
 from corvane.session import table
 from corvane.views import EV, FACTS, NOW, OBS
@@ -303,8 +303,9 @@ def a20(spark, d):
 
 @register("a22_percentile_nearest_rank", "SELECT event_type, max(value) FILTER (rn = greatest(ceil(0.5 * n), 1)) AS p50, max(value) FILTER (rn = greatest(ceil(0.95 * n), 1)) AS p95, round(avg(value), 4) AS mean FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY 1")
 def a22(spark, d):
-    """Nearest rank = the discrete percentile: the smallest value with at least that share of the rows at or below it."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.round(F.avg("value"), 4).alias("mean"))
+    ev = table(spark, d, "events").select("event_type", "value")
+    means = ev.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean"))
+    return evaluation.percentiles(ev, "event_type", "value", {"p50": 0.5, "p95": 0.95}).join(means, "event_type").select("event_type", "p50", "p95", "mean")
 
 
 @register("a24_answer_meta", f"WITH {EV} SELECT user_id, count(DISTINCT project) AS n_projects, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT session_id) > 1 AS cross_session FROM ev WHERE event_type = 'purchase' GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from corvane import views
 from corvane.functions import scores, text, vectors
 from corvane.operators import graph, retrieval, similarity
 from corvane.plans.catalogue import register, register_whole
-from corvane.session import table
+from corvane.session import scratch_folder, table
 from corvane.views import NOW, OBS
 
 COS = "list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))"
@@ -239,8 +241,31 @@ bm AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf +
 BM_TERMS = ["that", "thing", "onre"]
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def bm_index(spark, d: str) -> str:
+    """The folder of the stored index of `documents`, built once in a session, in the shared folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        folder = f"{scratch_folder(spark)}/index-{uuid.uuid4().hex}"
+        retrieval.store_index(retrieval.postings(table(spark, d, "documents"), "doc_id", _bm_tokens()), folder, "doc_id")
+        _INDEXES[key] = folder
+    return _INDEXES[key]
+
+
+def _bm25(spark, d):
+    return retrieval.bm25_indexed(spark, bm_index(spark, d), "doc_id", BM_TERMS).select("doc_id", F.round("raw", 6).alias("score"))
+
+
 @register("r2_bm25", f"WITH {BM25} SELECT doc_id, round(raw, 6) AS score FROM bm ORDER BY round(raw, 6) DESC, doc_id LIMIT 50")
 def r2(spark, d):
+    return _bm25(spark, d).orderBy(F.col("score").desc(), "doc_id").limit(50)
+
+
+@register("r2_bm25_scan", f"WITH {BM25} SELECT doc_id, round(raw, 6) AS score FROM bm ORDER BY round(raw, 6) DESC, doc_id LIMIT 50")
+def r2_scan(spark, d):
+    """The same without an index."""
     return retrieval.bm25(table(spark, d, "documents"), "doc_id", _bm_tokens(), BM_TERMS).select("doc_id", F.round("raw", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
 
 
@@ -258,7 +283,7 @@ def r8(spark, d):
 
 
 def _fused(spark, d):
-    lex = retrieval.bm25(table(spark, d, "documents"), "doc_id", _bm_tokens(), BM_TERMS).select("doc_id", F.round("raw", 6).alias("s"))
+    lex = _bm25(spark, d).withColumnRenamed("score", "s")
     q = F.array(*(F.lit(float(x)) for x in query_vector(spark, d)))
     vec = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(vectors.cosine(F.col("embedding"), q), 6).alias("s"))
     return retrieval.fuse({"lexical": retrieval.ranked(lex, "doc_id", "s", 100, "rank"), "vector": retrieval.ranked(vec, "doc_id", "s", 100, "rank")}, "doc_id", {})

@@ -131,3 +131,20 @@ def test_backup_and_archive_round_trips(spark, tmp_path):
     assert collections.Counter(map(tuple, back.collect())) == collections.Counter(map(tuple, df.collect()))
     assert maintenance.purged(df, "id", archive.select("id")).count() == 10
     assert graph.relation_freshness("2024-01-01 00:00:00", "a", "b") is not None
+
+
+def test_running_totals_and_percentiles(spark):
+    import math
+    import random
+
+    from corvane.operators import evaluation, tables
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice("aab"), rnd.randrange(50), i) for i in range(500)] + [("c", None, 500), ("d", 7, 501)]
+    df = spark.createDataFrame(rows, "g string, v long, id long")
+    got = {(r.g, r.id): r.upto for r in tables.running_total(df.where("v IS NOT NULL").withColumn("one", F.lit(1)), ["g", "v", "id"], "one", "upto").collect()}
+    assert got == {(g, i): k + 1 for k, (g, v, i) in enumerate(sorted(r for r in rows if r[1] is not None))}
+    out = {r.g: (r.p50, r.p95) for r in evaluation.percentiles(df, "g", "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for g in "abd":
+        values = sorted(v for h, v, _ in rows if h == g)
+        assert out[g] == tuple(values[max(math.ceil(q * len(values)), 1) - 1] for q in (0.5, 0.95))
