@@ -205,3 +205,14 @@ def html_text(html: Column) -> Column:
         x = F.replace(x, F.lit(entity), F.lit(char))
     x = F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{3,}", "\n\n")
     return F.regexp_replace(x, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+
+
+# The schemes that may be fetched, the host of a URL (behind user info), and hosts that are private or not by name (numbers).
+ALLOWED_SCHEME = r"(?i)^https?://"
+URL_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)*(\[[^\]]*\]|[^/:?#@]+)"
+PRIVATE_HOST = r"^(localhost|[0-9]+|0x[0-9a-f]+|0\.0\.0\.0|127\.[0-9.]+|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|172\.(1[6-9]|2[0-9]|3[01])\.[0-9.]+|\[.*\]|.*\.localhost)$"
+
+
+def url_allowed(url: Column) -> Column:
+    """Http or https, with a host that is neither private nor a bare number or address in brackets."""
+    return url.rlike(ALLOWED_SCHEME) & ~F.lower(F.regexp_extract(url, URL_HOST, 1)).rlike(PRIVATE_HOST)

@@ -208,3 +208,45 @@ def m11(spark, d):
     gone = table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
     parts = {"documents": (table(spark, d, "documents"), "doc_id"), "labels": (table(spark, d, "labels"), "doc_id"), "embeddings": (table(spark, d, "embeddings"), "vec_id")}
     return maintenance.purge_manifest(parts, gone)
+
+
+_LIFE = "life AS (SELECT doc_id, text, source, CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-01-01' END AS archived_at, CASE WHEN doc_id % 4 = 0 THEN TIMESTAMP '2024-01-01' + doc_id * INTERVAL 1 HOUR END AS expires_at, CASE doc_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'side' END AS branch, ['t' || (doc_id % 6), 'u'] AS tags FROM documents)"
+
+
+def _life(spark, d):
+    doc = F.col("doc_id")
+    start = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    return table(spark, d, "documents").select(
+        "doc_id", "text", "source", F.when(doc % 5 == 0, F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")).alias("archived_at"), F.when(doc % 4 == 0, F.timestamp_micros(start + doc * 3_600_000_000).cast("timestamp_ntz")).alias("expires_at"),
+        F.when(doc % 3 == 0, "main").when(doc % 3 == 1, "side").alias("branch"), F.array(F.concat(F.lit("t"), (doc % 6).cast("string")), F.lit("u")).alias("tags"))
+
+
+@register("p6_not_archived", f"WITH {_LIFE} SELECT doc_id FROM life WHERE archived_at IS NULL")
+def p6(spark, d):
+    return _life(spark, d).where(predicates.not_archived()).select("doc_id")
+
+
+@register("p7_not_expired", f"WITH {_LIFE} SELECT doc_id FROM life WHERE expires_at IS NULL OR expires_at > TIMESTAMP '2024-01-10'")
+def p7(spark, d):
+    return _life(spark, d).where(predicates.not_expired(F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"))).select("doc_id")
+
+
+@register("p11_branch", f"WITH {_LIFE} SELECT doc_id FROM life WHERE branch = 'main' OR branch IS NULL")
+def p11(spark, d):
+    return _life(spark, d).where(predicates.branch("main")).select("doc_id")
+
+
+@register("p12_platforms", f"WITH {_LIFE} SELECT doc_id FROM life WHERE source NOT IN (SELECT min(source) FROM documents)")
+def p12(spark, d):
+    hidden = [r[0] for r in table(spark, d, "documents").agg(F.min("source")).collect()]  # one value
+    return _life(spark, d).where(predicates.platforms(hidden, "source")).select("doc_id")
+
+
+@register("p18_protected", f"WITH {_LIFE} SELECT doc_id, list_has_any(tags, ['t1', 't4']) AS held FROM life")
+def p18(spark, d):
+    return _life(spark, d).select("doc_id", predicates.protected("tags", ["t1", "t4"]).alias("held"))
+
+
+@register("p20_suppressed", f"WITH {_LIFE} SELECT doc_id FROM life WHERE coalesce(regexp_matches(text, 'token = '), false) OR coalesce(regexp_matches(text, '[0-9]{{4}} [0-9]{{4}}'), false)")
+def p20(spark, d):
+    return _life(spark, d).where(predicates.suppressed("text", ["token = ", "[0-9]{4} [0-9]{4}"])).select("doc_id")

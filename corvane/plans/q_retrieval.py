@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane import views
 from corvane.functions import scores, text, vectors
+from corvane.functions.text import ALLOWED_SCHEME, PRIVATE_HOST, URL_HOST
 from corvane.operators import graph, retrieval, similarity
 from corvane.plans.catalogue import register, register_whole
 from corvane.session import scratch_folder, table
@@ -212,14 +213,21 @@ def s17(spark, d):
 
 
 # Fixed value: hosts that must not be fetched.
-PRIVATE_HOST = r"^(localhost|0\.0\.0\.0|127\.[0-9.]+|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|172\.(1[6-9]|2[0-9]|3[01])\.[0-9.]+|\[?::1\]?)$"
+_URLS = ["http://127.0.0.1/x", "ftp://a.example.com/", "http://[::1]:8080/a", "https://2130706433/", "http://me:pw@localhost/", "HTTP://user@Example.com:80/?q=@x", "http://0x7f000001/"]
 
 
-@register("s20_url_guard", f"WITH u AS (SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'http://127.0.0.1/x' WHEN page_id % 9 = 1 THEN 'ftp://a.example.com/' ELSE url END AS url FROM pages) SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) IN ('http', 'https') AND NOT regexp_matches(lower(regexp_extract(url, '://([^/:?#]+)', 1)), '{PRIVATE_HOST}') AS allowed FROM u")
+def _guard_sql(url: str) -> str:
+    return f"regexp_matches({url}, '{ALLOWED_SCHEME}') AND NOT regexp_matches(lower(regexp_extract({url}, '{URL_HOST}', 1)), '{PRIVATE_HOST}')"
+
+
+@register("s20_url_guard", "WITH u AS (SELECT page_id, CASE page_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_URLS)) + f" ELSE url END AS url FROM pages) SELECT page_id, lower(regexp_extract(url, '{URL_HOST}', 1)) AS host, {_guard_sql('url')} AS allowed FROM u")
 def s20(spark, d):
-    url = F.when(F.col("page_id") % 9 == 0, "http://127.0.0.1/x").when(F.col("page_id") % 9 == 1, "ftp://a.example.com/").otherwise(F.col("url"))
-    got = table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract(url, r"^([A-Za-z]+)://", 1)).alias("scheme"), F.lower(F.regexp_extract(url, r"://([^/:?#]+)", 1)).alias("host"))
-    return got.withColumn("allowed", F.col("scheme").isin("http", "https") & ~F.col("host").rlike(PRIVATE_HOST))
+    """With private, bracketed, decimal and user-info hosts put in."""
+    place = F.col("page_id") % 9
+    url = F.col("url")
+    for i, x in enumerate(_URLS):
+        url = F.when(place == i, x).otherwise(url)
+    return table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract(url, URL_HOST, 1)).alias("host"), text.url_allowed(url).alias("allowed"))
 
 
 @register("r1_lexical_scan", f"WITH {OBS}, w AS (SELECT * FROM obs ORDER BY created_at DESC, doc_id DESC LIMIT 400), h AS (SELECT doc_id, (2 * contains(lower(project), 'tion')::INT + contains(lower(content), 'tion')::INT + 2 * contains(lower(project), 'with')::INT + contains(lower(content), 'with')::INT)::DOUBLE AS raw FROM w) SELECT doc_id, raw, round(CASE WHEN (SELECT max(raw) = min(raw) FROM h WHERE raw > 0) THEN 1 ELSE (raw - (SELECT min(raw) FROM h WHERE raw > 0)) / (SELECT max(raw) - min(raw) FROM h WHERE raw > 0) END, 6)::DOUBLE AS score FROM h WHERE raw > 0")

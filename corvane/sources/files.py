@@ -12,8 +12,13 @@ from corvane.functions import text as T
 
 
 def markdown_chunks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A row for each heading's section, with level, title and body; text before the first heading has level 0."""
-    parts = F.split(F.concat(F.lit("\n"), F.col(content)), r"\n(?=#{1,6} )")
+    """A row for each heading's section, with level, title and body; text before the first heading has level 0.
+
+    A # inside a code fence opens nothing: the lines of fences are kept from the cut by a mark that is taken off after it.
+    """
+    fenced = F.split(F.concat(F.lit("\n"), F.col(content)), r"(?m)(?=^(?:```|~~~))")  # every second part opens with a fence that closes the next one
+    kept = F.transform(fenced, lambda x, i: F.when(i % 2 == 1, F.regexp_replace(x, r"\n(?=#)", "\n\u0001")).otherwise(x))
+    parts = F.transform(F.split(F.array_join(kept, ""), r"\n(?=#{1,6} )"), lambda x: F.replace(x, F.lit("\u0001"), F.lit("")))
     rows = files.select(path, F.posexplode(parts).alias("position", "chunk"))
     head = F.regexp_extract("chunk", r"^(#{1,6}) +([^\n]*)", 1)
     out = rows.select(path, F.col("position").cast("bigint").alias("position"), F.length(head).cast("bigint").alias("level"), F.trim(F.regexp_extract("chunk", r"^(#{1,6}) +([^\n]*)", 2)).alias("title"), F.trim(F.regexp_replace("chunk", r"^#{1,6} +[^\n]*", "")).alias("body"))
@@ -89,13 +94,10 @@ def hook_events(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(F.try_parse_json(value).isNotNull()).select(F.coalesce(j("$.conversation_id"), j("$.session_id")).alias("session_id"), kind.alias("event_type"), content.alias("content"), F.try_to_timestamp(F.coalesce(j("$.timestamp"), j("$.ts"))).alias("ts")).where("content IS NOT NULL")
 
 
-_PRIVATE = re.compile(r"^(localhost|0\.0\.0\.0|127\.[0-9.]+|10\.[0-9.]+|192\.168\.[0-9.]+|169\.254\.[0-9.]+|172\.(1[6-9]|2[0-9]|3[01])\.[0-9.]+|\[?::1\]?)$")
-
-
 def url_allowed(url: str) -> bool:
-    """S20 for a single URL on the driver: http or https, and no private host."""
-    m = re.match(r"(?i)^(https?)://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]+)", url or "")
-    return bool(m) and not _PRIVATE.match(m[2].lower())
+    """S20 for a single URL on the driver."""
+    host = re.match(T.URL_HOST, url or "")
+    return bool(host and re.match(T.ALLOWED_SCHEME, url)) and not re.match(T.PRIVATE_HOST, host[1].lower())
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

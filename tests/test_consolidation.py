@@ -148,3 +148,15 @@ def test_running_totals_and_percentiles(spark):
     for g in "abd":
         values = sorted(v for h, v, _ in rows if h == g)
         assert out[g] == tuple(values[max(math.ceil(q * len(values)), 1) - 1] for q in (0.5, 0.95))
+
+
+def test_headings_in_fences_open_nothing(spark):
+    from corvane.sources import files
+
+    x = "intro\n# One\nbody\n```sh\n# not a heading\n## nor this\n```\nafter\n## Two\n~~~\n# x\n"
+    got = files.markdown_chunks(spark.createDataFrame([("f", x)], "path string, content string")).orderBy("position").collect()
+    assert [(r.level, r.title) for r in got] == [(0, ""), (1, "One"), (2, "Two")] and "# not a heading\n## nor this" in got[1].body and "\x01" not in got[1].body + got[2].body
+    allowed = {"http://[::1]/": False, "https://2130706433/": False, "http://u@localhost/": False, "https://example.com/a@b": True, "ftp://example.com/": False, "https://10.0.0.1": False, "http://a:b@example.com:8080": True}
+    assert {u: files.url_allowed(u) for u in allowed} == allowed
+    got = spark.createDataFrame([(u,) for u in allowed], "u string").select("u", text.url_allowed(F.col("u")).alias("a")).collect()
+    assert {r.u: r.a for r in got} == allowed
