@@ -27,6 +27,26 @@ def live_leases(events: DataFrame, now: str, ttl_s: int) -> DataFrame:
     return last.select("target", F.col("last.ts").alias("acquired_at"), ends.cast("timestamp_ntz").alias("expires_at")).where(F.col("expires_at") > F.lit(now).cast("timestamp_ntz"))
 
 
+def _with_word_keys(df: DataFrame, size: int) -> DataFrame:
+    """Adds `keys`, the hash of each run of `size` words of the array `w`, put together from the runs of its halves.
+
+    Each length is a column of its own step, so that it is computed once.
+    """
+    made = {1: "_h1"}
+    df = df.where(F.size("w") >= size).withColumn("_h1", F.transform("w", lambda w: F.xxhash64(w)))
+
+    def add(df: DataFrame, n: int) -> DataFrame:
+        if n in made:
+            return df
+        left = n // 2 if n % 2 == 0 else n - 1
+        df = add(df, left)
+        first, second, runs = F.col(made[left]), F.col(made[n - left]), F.greatest(F.size(made[left]) - (n - left), F.lit(0))
+        made[n] = f"_h{n}"
+        return df.withColumn(made[n], F.zip_with(F.slice(first, 1, runs), F.slice(second, left + 1, runs), lambda a, b: F.xxhash64(a, b)))
+
+    return add(df, size).withColumn("keys", F.col(made[size])).drop(*made.values())
+
+
 def contained_passages(docs: DataFrame, passages: DataFrame, head: int = 8, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """(document, passage) where the document contains the whole passage.
 
@@ -36,18 +56,19 @@ def contained_passages(docs: DataFrame, passages: DataFrame, head: int = 8, doc_
     """
     words = F.split(F.col("text"), r"\s+")
     keyed = passages.select(item_id, F.col("text").alias("passage"), words.alias("w")).where(F.length("passage") > 0)
-    n = F.least(F.size("w") - 2, F.lit(head))
-    inner = keyed.where(F.size("w") > 2).select(item_id, "passage", n.alias("n"), F.xxhash64(F.slice("w", F.lit(2), n)).alias("key"))
-    short = keyed.where(F.size("w") <= 2).select(item_id, "passage")
-    # A long for each passage of the benchmark, which is fixed, and the numbers of words that occur.
-    wanted = inner.agg(F.collect_set("key").alias("wanted"), F.collect_set("n").alias("sizes"))
-    w = F.col("w")
-    grams = docs.select(doc_id, "text", words.alias("w")).crossJoin(F.broadcast(wanted))
-    fits = F.filter("sizes", lambda k: k <= F.size(w))
-    keys = F.flatten(F.transform(fits, lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))))
-    found = grams.select(doc_id, "text", F.explode(F.array_intersect(keys, "wanted")).alias("key"))
-    long = found.join(inner, "key").where(F.contains("text", F.col("passage"))).select(doc_id, item_id)
+    keyed = keyed.withColumn("n", F.least(F.size("w") - 2, F.lit(head)))
+    short = keyed.where("n < 1").select(item_id, "passage")
+    pairs = None
+    for size in sorted(r[0] for r in keyed.where("n >= 1").select("n").distinct().collect()):  # numbers up to `head`
+        inner = _with_word_keys(keyed.where(F.col("n") == size).select(item_id, F.slice("w", 2, size).alias("w")), size).select(item_id, F.col("keys")[0].alias("key"))
+        grams = _with_word_keys(docs.select(doc_id, words.alias("w")), size).select(doc_id, F.explode_outer("keys").alias("key"))  # a plain explode would compute the keys once more to filter
+        part = grams.join(inner, "key").select(doc_id, item_id)
+        pairs = part if pairs is None else pairs.unionAll(part)
     brief = docs.join(short, F.contains("text", F.col("passage"))).select(doc_id, item_id)  # no hint: a large side goes partition by partition
+    if pairs is None:
+        return brief.distinct()
+    # Numbers meet first; the texts of the pairs found come after.
+    long = pairs.distinct().join(docs.select(doc_id, "text"), doc_id).join(keyed.select(item_id, "passage"), item_id).where(F.contains("text", F.col("passage"))).select(doc_id, item_id)
     return long.unionAll(brief).distinct()
 
 
