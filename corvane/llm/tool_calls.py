@@ -264,7 +264,10 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     places = (_layers if branches else _chains)(calls.select("id", "turn"), edges)
     nodes = calls.drop("turn").join(places, "id").select(F.col("id").alias("n_id"), "call_row", "result_row", F.col("depth").alias("n_depth"), F.col("at_turn").alias("n_turn"), "cycle")
     mine = F.when(F.col("kind").isin("call", "result") & F.col("call_id").isNotNull(), F.struct(F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
-    both = rows.withColumn("m_id", mine).join(nodes, F.col("m_id") == F.col("n_id"), "left")
+    keyed = rows.withColumn("m_id", mine)
+    both = keyed.where(F.col("m_id").isNotNull()).join(nodes, F.col("m_id") == F.col("n_id"), "left")
+    plain = keyed.where(F.col("m_id").isNull())  # these meet nothing, and would all come to one task
+    both = both.unionAll(plain.select("*", *(F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns)))
     is_call, is_result = F.col("kind").eqNullSafe("call"), F.col("kind").eqNullSafe("result")
     status = (
         F.when(~(is_call | is_result), "message").when(F.col("call_id").isNull(), "unlinked").when(F.col("n_id").isNull(), "orphan")
