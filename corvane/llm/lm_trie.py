@@ -34,11 +34,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import textkit
-from corvane.llm.shared import discard, stored
+from corvane.llm.shared import bounded_sample, discard, stored
 
 _U = np.uint64
 BOS, END = _U(0x5AFE5AFE5AFE0001), _U(0x5AFE5AFE5AFE0002)
@@ -246,15 +247,16 @@ class Block:
         return cls(ids, sizes, words[by], rank[number])
 
     def pack(self) -> bytes:
-        planes = np.ascontiguousarray(self.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+        # frequent words have small numbers, so most bytes of the higher planes are 0
+        planes = [zstandard.compress(np.ascontiguousarray(p)) for p in self.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T]
         ids = pa.array(self.ids, pa.int64()).fill_null(0).to_numpy()
-        return join_parts([ids.tobytes(), bytes(i is None for i in self.ids), self.sizes.astype("<i8").tobytes(), self.words.tobytes(), planes.tobytes()])
+        return join_parts([ids.tobytes(), bytes(i is None for i in self.ids), self.sizes.astype("<i8").tobytes(), self.words.tobytes(), *planes])
 
     @classmethod
     def unpack(cls, blob) -> Block:
-        ids, nulls, sizes, words, planes = split_parts(blob)
+        ids, nulls, sizes, words, *planes = split_parts(blob)
         known = [None if none else i for i, none in zip(np.frombuffer(ids.tobytes(), np.int64).tolist(), nulls.tolist())]
-        tokens = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+        tokens = np.stack([np.frombuffer(zstandard.decompress(p), np.uint8) for p in planes], axis=1).view("<u4").ravel()
         return cls(known, np.frombuffer(sizes.tobytes(), "<i8"), np.frombuffer(words.tobytes(), np.uint64), tokens)
 
     def word_counts(self) -> np.ndarray:
@@ -332,11 +334,21 @@ def _answer(shard: int, blocks: list[int], answers: list[bytes], part: bytes | N
 
 
 def _look_up_words(part, asked: np.ndarray) -> bytes:
-    """Place among the shard's words, plus one, of each hash (0: unknown), and its count."""
+    """Which of the sorted hashes are known, their places among the shard's words (sorted as well), and their counts."""
     words, counts = split_parts(part)
     at = EliasFano(words).find(asked)
-    found = np.where(at >= 0, counts.view("<i8")[np.maximum(at, 0)] if len(counts) else 0, 0)
-    return zlib.compress(np.concatenate([np.ascontiguousarray((at + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T).ravel(), np.frombuffer(pack_counts(found), np.uint8)]).tobytes(), 1)
+    known = at[at >= 0]
+    return join_parts([zlib.compress(np.packbits(at >= 0).tobytes(), 1), ef_encode(known.astype(np.uint64)), pack_counts(counts.view("<i8")[known])])
+
+
+def _words_found(answer, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place plus one (0: unknown) and count of each of n words."""
+    known, places, counts = split_parts(answer)
+    known = np.unpackbits(np.frombuffer(zlib.decompress(known), np.uint8), count=n).astype(bool)
+    out = np.zeros((2, n), np.int64)
+    places = EliasFano(places).all()
+    out[0, known], out[1, known] = places.astype(np.int64) + 1, unpack_counts(counts, len(places))
+    return out[0].astype(np.uint64), out[1]
 
 
 def _number_words(table: pa.Table) -> pa.Table:
@@ -389,10 +401,8 @@ class Numbered:
         by, slices = _word_slices(block, meta.word_shards)
         answers = dict(answers)
         for s, part in slices:
-            raw, n = np.frombuffer(zlib.decompress(answers[s]), np.uint8), part.stop - part.start
-            place = np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").ravel().astype(np.uint64)
+            place, self.counts[by[part]] = _words_found(answers[s], part.stop - part.start)
             ids[by[part]] = np.where(place > 0, (place - _U(1)) * _U(meta.word_shards) + _U(s) + _U(2), 0)  # 0: unknown, 1: start
-            self.counts[by[part]] = unpack_counts(raw[4 * n :], n)
         t, n = ids[block.tokens], len(block.tokens)
         start = np.zeros(n, bool)
         start[block.first] = True
@@ -608,7 +618,7 @@ class Model:
 
 def _hot_pairs(docs: DataFrame, shards: int) -> list[tuple[int, int]]:
     """The start of texts, and pairs of words with over a quarter of a mean shard, at most MAX_HOT, by the SAMPLE_ROWS texts of at most SAMPLE_BYTES with the least hashes of the whole table."""
-    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select(F.xxhash64("doc_id", "text").alias("h"), "text").orderBy("h", "text").limit(SAMPLE_ROWS).collect()
+    sample = bounded_sample(docs.where(F.octet_length("text") <= SAMPLE_BYTES), SAMPLE_ROWS, F.col("doc_id"), F.col("text")).select("text").collect()
     if not sample:
         return [(int(BOS), int(BOS))]
     block = Block.of(list(range(len(sample))), *textkit.flatten(pa.array([r.text for r in sample], pa.string())))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.shared import stored, text_blocks
+from corvane.llm.shared import bounded_sample, stored, text_blocks
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -250,7 +250,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", thresho
     belief = posteriors([(r.votes, r["count"]) for r in each.groupBy("votes").count().collect()])  # at most 5 kinds x 3^5 votes
     weights = None
     if belief:
-        sample = each.select(F.xxhash64("doc_id", "start", "kind", "end").alias("h"), "votes", "seen").orderBy("h", "votes", "seen").limit(fit_rows).collect()
+        sample = bounded_sample(each, fit_rows, *map(F.col, ("doc_id", "start", "kind", "end"))).select("votes", "seen").collect()
         weights = F.array(*map(F.lit, trained([(r.votes, r.seen) for r in sample], belief)))
     bare = lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end"))
 

@@ -131,3 +131,16 @@ def shuffle_or_broadcast(small: DataFrame, limit: int = 32 << 20) -> DataFrame:
         elif kind in ("string", "binary"):
             size += 64
     return F.broadcast(small) if rows * (size + 32) < limit else small
+
+
+def bounded_sample(df: DataFrame, rows: int, *key: Column) -> DataFrame:
+    """The `rows` rows with the least hashes of their key, from the whole table; all, where there are no more.
+
+    A threshold from the number of rows leaves about one and a half times as many, so that what each partition sends on
+    does not grow with the number of partitions.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    h = F.xxhash64(F.lit(11), *key)
+    return df.where(F.shiftrightunsigned(h, 11) / float(1 << 53) < 1.5 * rows / n + 100 / n).orderBy(h).limit(rows)

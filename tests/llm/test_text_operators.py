@@ -190,3 +190,16 @@ def test_quality_limit_does_not_grow_with_a_hot_host(spark):
     rows = shared_line_rows("all rights reserved", 250, "hot") + [(1000 + i, f"page {i}", None, "hot", 0, 0, "") for i in range(29_750)]
     out = quality.judge(frame(spark, rows)).where("doc_id < 1000").collect()
     assert {r.doc_id: r.n_boilerplate_words for r in out} == {i: 6 * (i > 0) for i in range(250)}
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_hash", "_id", "_host", "_text", "keep_bitmap", "_bitmap", "_doc", "_caller", "_drop", "_kept", "_left"]
+    long = " ".join(f"word{k}" for k in range(30))
+    rows = [(i, f"a line that is long enough to count\n{long} own{i}", "s", 3) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").selectExpr("*", *(f"'{n}' AS `{n}`" for n in names))
+    kept = quality.keep_documents(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, docs.collect()))
+    kept = line_dedup.keep_lines(docs)
+    assert kept.columns == docs.columns
+    want = {(i, x if i == 3 else x.split("\n")[1], "s", len(x if i == 3 else x.split("\n")[1]), *names) for i, x, _, _ in rows}
+    assert set(map(tuple, kept.collect())) == want
