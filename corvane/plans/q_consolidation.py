@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane import predicates, views
-from corvane.functions import cues, text
+from corvane.functions import cues, provenance, text
 from corvane.operators import consolidation, maintenance, retrieval
 from corvane.plans.catalogue import register
 from corvane.plans.q_retrieval import tok
@@ -250,3 +250,35 @@ def p18(spark, d):
 @register("p20_suppressed", f"WITH {_LIFE} SELECT doc_id FROM life WHERE coalesce(regexp_matches(text, 'token = '), false) OR coalesce(regexp_matches(text, '[0-9]{{4}} [0-9]{{4}}'), false)")
 def p20(spark, d):
     return _life(spark, d).where(predicates.suppressed("text", ["token = ", "[0-9]{4} [0-9]{4}"])).select("doc_id")
+
+
+_PAYLOADS = (
+    '{"tool_name":"Write","file_path":" src/a%d.ts ","model_id":"m1"}', '{"tool_name":"Edit","path":"lib/b%d.PY"}', '{"tool_name":"Read","filename":"notes%d"}', '{"tool_name":"Bash","command":"rm -rf out%d.json"}',
+    '{"tool_name":"Bash","cmd":"touch new%d.rs && ls"}', '{"tool_name":"Bash","command":"cat conf/%d.yaml | less"}', '{"tool_name":"Bash","command":"python run%d.py"}', '{"tool_name":"Bash","command":"sed -i s/a/b/ ./x/%d.go"}',
+    '{"file":"y%d.md","old_string":"a"}', '{"filePath":"z%d.unknown"}', '{"tool_name":"Bash","command":"ls"}', '{"k":%d}',
+)
+
+
+def _path_sql() -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(json_extract_string(p, '$.{f}')), '')" for f in provenance.PATH_FIELDS) + ")"
+
+
+_CMD = "coalesce(json_extract_string(p, '$.command'), json_extract_string(p, '$.cmd'))"
+def _found_sql(pattern: str) -> str:
+    return " || ".join(f"regexp_extract(c, '{pattern}', {k + 1})" for k in range(max(1, pattern.count("([^"))))
+
+
+_SHELL_PATH = "coalesce(" + ", ".join(f"nullif({_found_sql(x)}, '')" for x in [*(x for _, x in provenance.COMMANDS), provenance.ANY_PATH]) + ")"
+_SHELL_ACTION = "CASE " + " ".join(f"WHEN {_found_sql(x)} <> '' THEN '{a}'" for a, x in provenance.COMMANDS) + f" WHEN regexp_extract(c, '{provenance.ANY_PATH}', 1) <> '' THEN CASE WHEN regexp_matches(c, '{provenance.WRITES}') THEN 'edit' ELSE 'read' END END"
+
+
+@register("f50_code_provenance", "WITH e AS (SELECT event_id, CASE event_id % 12 " + " ".join(f"WHEN {i} THEN replace('{x}', '%d', event_id::VARCHAR)" for i, x in enumerate(_PAYLOADS)) + f""" END AS p FROM events),
+t AS (SELECT event_id, p, {_CMD} AS c, json_extract_string(p, '$.tool_name') AS tool FROM e),
+f AS (SELECT event_id, p, CASE WHEN tool = 'Bash' THEN {_SHELL_PATH} ELSE {_path_sql()} END AS file_path, CASE tool WHEN 'Bash' THEN {_SHELL_ACTION} WHEN 'Write' THEN 'create' WHEN 'Edit' THEN 'edit' WHEN 'Read' THEN 'read'
+  ELSE CASE WHEN json_extract_string(p, '$.old_string') IS NOT NULL OR json_extract_string(p, '$.new_string') IS NOT NULL THEN 'edit' ELSE 'read' END END AS action FROM t)
+SELECT event_id, file_path, action, json_extract_string(p, '$.model_id') AS model_id, MAP {{{", ".join(f"'{k}': '{v}'" for k, v in provenance.LANGUAGES.items())}}}[lower(regexp_extract(file_path, '\\.([^.]*)$', 1))] AS language FROM f WHERE file_path IS NOT NULL""")
+def f50(spark, d):
+    """Payloads of twelve kinds laid over the events."""
+    payload = F.element_at(F.array(*map(F.lit, _PAYLOADS)), (F.col("event_id") % 12 + 1).cast("int"))
+    payload = F.replace(payload, F.lit("%d"), F.col("event_id").cast("string"))
+    return table(spark, d, "events").select("event_id", provenance.code_provenance(payload).alias("p")).where("p IS NOT NULL").select("event_id", "p.*")
