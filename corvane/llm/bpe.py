@@ -3,8 +3,8 @@
 A byte string has one valid BPE token sequence, and the valid sequence of a prefix that ends in token t is the valid
 sequence of the shorter prefix followed by t.  So it is enough to store, for every prefix, its unique last token: the
 token t that ends there such that BPE keeps the pair (last token of the rest, t) as it stands.  Reading the table from
-the end gives the encoding; bytes appended extend the table without changing it, and an edit re-encodes only from the
-edited byte on.
+the end gives the encoding; bytes appended extend the table without changing it, and an edit re-encodes from the edited
+byte until the table is again what it was.
 
 Null text: encoded as empty (no tokens, empty bytes).  Rows are independent: repeated rows give equal results, an empty
 table gives an empty table, texts of any length are processed whole.  Columns of the input other than `keep` and the
@@ -113,43 +113,61 @@ class PrefixTable:
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        """Extends the table; entries made before stay as they are.
+        """Extends the table; entries made before stay as they are, and only the last of them are read."""
+        old = len(self.last)
+        self.data += data
+        self.last += [-1] * len(data)
+        self._fill(old, len(self.last))
+
+    def _fill(self, lo: int, hi: int) -> None:
+        """The entries from lo to hi, which are -1 until then; those before are final.
 
-        Tokens are walked forward from each start whose own last token is final by then, so a token that ends behind
-        the old table is tried exactly once for each place it can begin.
+        Tokens are walked forward from each start whose own last token is final by then, so a token that ends in the
+        range is tried exactly once for each place it can begin.
         """
-        v, last, old = self.vocabulary, self.last, len(self.last)
-        self.data += data
-        text = bytes(self.data)
-        n = len(text)
-        last += [-1] * (n - old)
+        v, last = self.vocabulary, self.last
+        base = lo - v.longest if lo > v.longest else 0
+        text, n, new = bytes(self.data[base:hi]), hi - base, lo - base
         kept, keeps, root = v.kept, v.keeps, v.trie
-        for start in range(old - v.longest if old > v.longest else 0, n):
-            if start:
-                before = last[start - 1] << 32
+        for start in range(n):
+            if base + start:
+                before = last[base + start - 1] << 32
             node, at = root, start
             while at < n:
                 node = node.get(text[at])
                 if node is None:
                     break
-                if at >= old and last[at] < 0 and -1 in node:
+                if at >= new and -1 in node and last[base + at] < 0:
                     token = node[-1]
-                    if not start:
+                    if not base + start:
                         if v.reachable(token):
                             last[at] = token
                     else:
                         pair = before | token
                         if kept[pair] if pair in kept else keeps(pair):
-                            last[at] = token
+                            last[base + at] = token
                 at += 1
-        if n > old and min(last[old:]) < 0:
+        if hi > lo and min(last[lo:hi]) < 0:
             raise ValueError("a byte is no token of this vocabulary")
 
-    def edit(self, start: int, end: int, data: bytes) -> None:
-        """Replaces bytes start to end; only prefixes that reach past `start` are computed again."""
-        tail = bytes(self.data[end:])
-        del self.data[start:], self.last[start:]
-        self.append(data + tail)
+    def edit(self, start: int, end: int, data: bytes) -> int:
+        """Replaces bytes start to end; returns how many entries were computed again.
+
+        An entry depends on the bytes and entries no further back than the longest token.  So once that many entries
+        behind the edit are what they were before, all that follow are too, and are taken over.
+        """
+        longest, tail = self.vocabulary.longest, self.last[end:]
+        self.data[start:end] = data
+        self.last[start:] = [-1] * (len(data) + len(tail))
+        done, cut, n = start, start + len(data), len(self.last)
+        while done < n:
+            to = min(n, max(done, cut) + longest)
+            self._fill(done, to)
+            done = to
+            if to - longest >= cut and self.last[to - longest : to] == tail[to - longest - cut : to - cut]:
+                self.last[to:] = tail[to - cut :]
+                break
+        return done - start
 
     def tokens(self) -> list[int]:
         out, at = [], len(self.last)

@@ -72,6 +72,11 @@ def test_prefix_table_appends_and_edits():
         at = rnd.randrange(len(whole))
         t.edit(at, at + 2, more)
         assert t.tokens() == v.merge(whole[:at] + more + (whole + more)[at + 2 :])
+    for _ in range(60):  # edits within long texts stay near
+        whole, at, more = text(1500), rnd.randrange(1400), text(rnd.randrange(4))
+        t = bpe.PrefixTable(v, whole)
+        assert t.edit(at, at + rnd.randrange(4), more) < 40 * v.longest
+        assert t.tokens() == v.merge(bytes(t.data))
 
 
 def test_wav_round_trip(spark):
