@@ -1,7 +1,8 @@
 """Empirical-Bayes host reputation, on DataFrame functions only.
 
 Labelled outcomes (good or not) are counted by host.  Beta-binomial priors shrink the counts from the whole table to the
-public suffix (last label), to the registered domain (last two labels), to the host: each level's prior mean is its
+public suffix (last label, or two of SECOND_LEVEL), to the registered domain (one label more), to the host; ports are left
+out of both, and numeric or bracketed addresses are each their own domain under one suffix.  Each level's prior mean is its
 parent's posterior mean, and its prior strength comes from the over-dispersion of the level's own counts (moments), lowered for
 what is uncertain in the parent's mean.
 Given rules decide first, the longest that fits; else a host is blocked if the upper bound of its posterior good rate is
@@ -20,6 +21,13 @@ from pyspark.sql import functions as F
 
 from corvane.llm.shared import shuffle_or_broadcast, stored
 
+# Suffixes of two labels under which anybody can register a domain.
+SECOND_LEVEL = (
+    "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.bd", "com.br", "com.cn", "com.co", "com.eg",
+    "com.hk", "com.mx", "com.my", "com.ng", "com.pe", "com.ph", "com.pk", "com.pl", "com.sa", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.cn",
+    "gov.in", "gov.uk", "me.uk", "ne.jp", "net.au", "net.br", "net.cn", "net.in", "net.nz", "net.uk", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.in", "org.nz", "org.uk", "org.za",
+)
+PORT, ADDRESS = r":[0-9]*$", r"^([0-9.]+|\[.*\])$"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: verdict, host, path
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -40,6 +48,14 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def domain_columns(name: str) -> tuple[Column, Column]:
+    """domain and suffix of a host without port."""
+    address, last = F.col(name).rlike(ADDRESS), lambda k: F.substring_index(name, ".", -k)
+    second = last(2).isin(*SECOND_LEVEL)
+    domain = F.when(address, F.col(name)).when(second, last(3)).otherwise(last(2))
+    return domain.alias("domain"), F.when(address, "(address)").when(second, last(2)).otherwise(last(1)).alias("suffix")
+
+
 def _shrunk(level: DataFrame, key: str) -> DataFrame:
     """Posterior mean m and strength g of each group of a level with n, k and its parent's m and g.
 
@@ -62,7 +78,7 @@ def reputation(pages: DataFrame, labels: DataFrame, *, z: float = 1.645) -> Data
     known = pages.join(labels.where(F.col("good").isNotNull()), "page_id", "left")
     hosts = stored(
         known.groupBy("host").agg(F.count("good").alias("n"), F.count_if("good").alias("k"))
-        .withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1)), "hosts")
+        .withColumn("name", F.regexp_replace("host", PORT, "")).select("host", "n", "k", *domain_columns("name")), "hosts")
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()[0]
     n, k = float(total.n or 0), float(total.k or 0)
     level = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumns({"m": F.lit((k + 1) / (n + 2)), "g": F.lit(n + 2)})
@@ -97,7 +113,10 @@ def oracle_sql(threshold: float = 0.7, z: float = 1.645) -> str:
 WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{URL}', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
                   regexp_extract(coalesce(url, ''), '{URL}', 2) AS path FROM pages),
 h0 AS (SELECT host, count(good) AS n, count(*) FILTER (good) AS k FROM p LEFT JOIN (SELECT doc_id AS page_id, quality = 1 AND toxic = 0 AS good FROM labels) l USING (page_id) GROUP BY host),
-h AS (SELECT *, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix FROM h0),
+h1 AS (SELECT *, regexp_replace(host, '{PORT}', '') AS name FROM h0),
+h2 AS (SELECT *, string_split(name, '.') AS l, array_to_string(string_split(name, '.')[-2:], '.') AS two FROM h1),
+h AS (SELECT host, n, k, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN two IN {SECOND_LEVEL} THEN array_to_string(l[-3:], '.') ELSE two END AS domain,
+  CASE WHEN regexp_matches(name, '{ADDRESS}') THEN '(address)' WHEN two IN {SECOND_LEVEL} THEN two ELSE l[-1] END AS suffix FROM h2),
 s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) FROM h) AS m, (SELECT coalesce(sum(n), 0) + 2 FROM h)::DOUBLE AS g FROM h GROUP BY suffix),
 s AS ({shrunk("s0", "suffix")}),
 d0 AS (SELECT domain, suffix, sum(h.n)::DOUBLE AS n, sum(h.k)::DOUBLE AS k, any_value(s.m) AS m, any_value(s.g) AS g FROM h JOIN s USING (suffix) GROUP BY domain, suffix),

@@ -330,6 +330,13 @@ def test_urls_rules_and_shrinkage(spark):
     assert {r.verdict for r in url_reputation.judge(spark.createDataFrame(pages, "page_id long, url string"), empty.select("page_id", "good")).where("rule IS NULL").collect()} == {"allow"}
 
 
+def test_registered_domains(spark):
+    cases = {"a.b.example.com": ("example.com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "shop.com.au:8080": ("shop.com.au", "com.au"), "10.0.0.7:80": ("10.0.0.7", "(address)"), "[::1]:9": ("[::1]", "(address)"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    hosts = spark.createDataFrame([(h,) for h in cases], "host string").selectExpr("host", f"regexp_replace(host, r'{url_reputation.PORT}', '') AS name")
+    got = {r.host: (r.domain, r.suffix) for r in hosts.select("host", *url_reputation.domain_columns("name")).collect()}
+    assert got == cases
+
+
 MESSAGES = "conv_id bigint, turn bigint, kind string, call_id string, after string, tool string, arguments string, content string"
 
 
