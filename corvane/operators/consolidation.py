@@ -169,11 +169,14 @@ COMPLETED = r"(?i)\b(completed|done|submitted|shipped|implemented|merged|finishe
 def completed_plans(rows: DataFrame, row_id: str, session: str, time: str, tokens: str, planned: Column, done: Column) -> DataFrame:
     """Each planned row with the earliest later row of its session that says done and shares a significant token.
 
-    Plans and evidence meet on (session, token), evidence reduced to what is done at one time, so no pair of rows is listed twice.
+    Plans and evidence are sorted together within each (session, token), where a plan looks back at the last evidence in
+    falling time, so no pair of rows is listed.
     """
-    token = F.explode(F.array_distinct(tokens)).alias("_token")
-    plans = rows.where(planned).select(session, F.col(row_id).alias("planned_id"), F.col(time).alias("_at"), token)
-    evidence = rows.where(done).select(session, F.col(row_id).alias("evidence_id"), F.col(time).alias("_then"), token)
-    met = plans.join(evidence, [session, "_token"]).where(F.col("_then") > F.col("_at"))
-    first = met.groupBy(session, "planned_id").agg(F.min(F.struct("_then", "evidence_id")).alias("_first"))
-    return first.select(session, "planned_id", F.col("_first.evidence_id").alias("evidence_id"))
+    both = rows.where(planned | done).select(session, F.col(row_id).alias("_id"), F.col(time).alias("_at"), planned.alias("_plan"), done.alias("_done"), F.explode(F.array_distinct(tokens)).alias("_token"))
+    # at one time plans come first, then evidence by falling id: what lies behind a row is later, its last the least id
+    as_plan = both.where("_plan").select(session, "_token", "_at", F.lit(0).alias("_side"), "_id", F.lit(None).cast(both.schema["_id"].dataType).alias("_evidence"))
+    as_evidence = both.where("_done").select(session, "_token", "_at", F.lit(1).alias("_side"), "_id", F.col("_id").alias("_evidence"))
+    w = W.partitionBy(session, "_token").orderBy(F.col("_at").desc(), "_side", F.col("_id").desc()).rowsBetween(W.unboundedPreceding, -1)
+    found = as_plan.unionAll(as_evidence).withColumn("_first", F.last(F.when(F.col("_side") == 1, F.struct("_at", "_evidence")), ignorenulls=True).over(w)).where("_side = 0 AND _first IS NOT NULL")
+    first = found.groupBy(session, F.col("_id").alias("planned_id")).agg(F.min("_first").alias("_first"))
+    return first.select(session, "planned_id", F.col("_first._evidence").alias("evidence_id"))

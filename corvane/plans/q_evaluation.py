@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane import views
 from corvane.functions import text, vectors
 from corvane.operators import evaluation as ev
-from corvane.operators import maintenance
+from corvane.operators import consolidation, maintenance
 from corvane.plans.catalogue import register, register_whole
 from corvane.session import table
 
@@ -162,11 +162,10 @@ def m17(spark, d):
 @register("j22_range_token_join", f"""WITH t AS (SELECT conv_id, turn, role, unnest(list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')), ' '), lambda w: length(w) >= 6))) AS tok FROM conversations)
 SELECT a.conv_id, a.turn AS planned_turn, min(b.turn) AS evidence_turn FROM t a JOIN t b ON a.conv_id = b.conv_id AND a.tok = b.tok AND b.turn > a.turn WHERE a.role = 'user' AND b.role = 'assistant' GROUP BY 1, 2""")
 def j22(spark, d):
-    """Earliest later evidence that shares a long word: equality on the word, then the range."""
-    words = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z]+", " ")), " "), lambda w: F.length(w) >= 6))
-    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.explode(words).alias("tok"))
-    a, b = t.where("role = 'user'").select("conv_id", "tok", F.col("turn").alias("planned_turn")), t.where("role = 'assistant'").select("conv_id", "tok", F.col("turn").alias("later"))
-    return a.join(b, ["conv_id", "tok"]).where("later > planned_turn").groupBy("conv_id", "planned_turn").agg(F.min("later").alias("evidence_turn"))
+    """Earliest later evidence that shares a long word."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^a-z]+", " ")), " "), lambda w: F.length(w) >= 6)
+    met = consolidation.completed_plans(table(spark, d, "conversations"), "turn", "conv_id", "turn", words, F.col("role") == "user", F.col("role") == "assistant")
+    return met.select("conv_id", F.col("planned_id").alias("planned_turn"), F.col("evidence_id").alias("evidence_turn"))
 
 
 @register("j20_content_conflicts", "SELECT a.doc_id AS source_id, min(b.doc_id) AS target_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY 1")

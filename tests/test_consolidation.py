@@ -160,3 +160,18 @@ def test_headings_in_fences_open_nothing(spark):
     assert {u: files.url_allowed(u) for u in allowed} == allowed
     got = spark.createDataFrame([(u,) for u in allowed], "u string").select("u", text.url_allowed(F.col("u")).alias("a")).collect()
     assert {r.u: r.a for r in got} == allowed
+
+
+def test_provenance_of_payloads(spark):
+    import json
+
+    from corvane.functions import provenance
+
+    cases = [
+        ({"tool_name": "Write", "file_path": " a.tsx ", "model_id": "m"}, ("a.tsx", "create", "m", "typescript")), ({"tool_name": "Edit"}, None), ({"tool_name": "Bash", "command": "rm -f x/y.log"}, ("x/y.log", "delete", None, None)),
+        ({"tool_name": "Bash", "cmd": "echo a > out.md"}, ("out.md", "create", None, "markdown")), ({"tool_name": "Bash", "command": "head q.py"}, ("q.py", "read", None, "python")), ({"tool_name": "Bash", "command": "sed -i s/a/b/ m.rs"}, ("m.rs", "edit", None, "rust")),
+        ({"tool_name": "Bash", "command": "ls"}, None), ({"path": "b.go", "new_string": "x"}, ("b.go", "edit", None, "go")), ({"filename": "b"}, ("b", "read", None, None)), ({"k": 1}, None),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, (p, _) in enumerate(cases)], "i int, p string")
+    got = {r.i: r.c and tuple(r.c) for r in df.select("i", provenance.code_provenance(F.col("p")).alias("c")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}
