@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read back as the next
 stage's docs; all but the last return the columns of `documents`.  SQL can't express the stages on near duplicates,
 raking and BPE, so ORACLE_SQL is None; tests/llm compares the stages with brute force.
+
+Defined cases, over those of the operators: null and empty texts fail the word rules and go in the first stage; a null
+source or language is a group of its own; a null id is the least id for line dedup and is kept apart in near dedup;
+repeated rows are copies, of which near dedup keeps one; texts of any length are taken whole; extra columns of any name
+are carried to the mixing stage's result, and n_chars follows the text; an empty table gives an empty table.
 """
 
 from __future__ import annotations
