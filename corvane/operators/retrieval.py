@@ -53,7 +53,13 @@ def bm25_indexed(spark, folder: str, row_id: str, terms: list[str], k1: float =
     corpus = spark.read.parquet(f"{folder}/corpus")  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy(row_id).agg(F.sum(part).alias("raw"))
+    return tf.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus)).groupBy(row_id).agg(F.sum(part).alias("raw"), F.count("*").alias("n_terms"))
+
+
+def all_or_any(scored: DataFrame, terms: list[str]) -> DataFrame:
+    """R2: rows with all of the terms; only where there is none, rows with any of them.  scored: n_terms and what is kept."""
+    whole = scored.agg((F.max("n_terms") == len(set(terms))).alias("_all"))  # one row
+    return scored.crossJoin(F.broadcast(whole)).where(~F.col("_all") | (F.col("n_terms") == len(set(terms)))).drop("_all", "n_terms")
 
 
 def ranked(df: DataFrame, row_id: str, score: str, top: int, name: str) -> DataFrame:

@@ -271,6 +271,13 @@ def r2(spark, d):
     return _bm25(spark, d).orderBy(F.col("score").desc(), "doc_id").limit(50)
 
 
+@register("r2_bm25_all_or_any", f"""WITH {BM25}, c2 AS (SELECT doc_id, count(*) AS n FROM tf GROUP BY 1), w AS (SELECT coalesce(max(n) = 3, false) AS every FROM c2)
+SELECT doc_id, round(raw, 6) AS score FROM bm JOIN c2 USING (doc_id), w WHERE NOT every OR n = 3 ORDER BY round(raw, 6) DESC, doc_id LIMIT 50""")
+def r2_all_or_any(spark, d):
+    scored = retrieval.all_or_any(retrieval.bm25_indexed(spark, bm_index(spark, d), "doc_id", BM_TERMS), BM_TERMS)
+    return scored.select("doc_id", F.round("raw", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(50)
+
+
 @register("r2_bm25_scan", f"WITH {BM25} SELECT doc_id, round(raw, 6) AS score FROM bm ORDER BY round(raw, 6) DESC, doc_id LIMIT 50")
 def r2_scan(spark, d):
     """The same without an index."""
