@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, line_dedup, lm_trie, media, mixing, near_dup, pii, quality, tool_calls, url_reputation
+from corvane.llm import bpe, centroids, line_dedup, lm_trie, main_text, media, mixing, near_dup, phrases, pii, quality, tool_calls, url_reputation
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +79,24 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def op2_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_trie.score_documents(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op11_dual_tree_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op11_dual_tree_lloyd"] = centroids.oracle_sql()
+
+
+@_register
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@_register
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_phrase_collocations"] = phrases.oracle_sql()

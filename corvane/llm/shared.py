@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 import weakref
@@ -20,16 +21,19 @@ from corvane.llm import textkit
 BLOCK = 4 << 20
 
 
+#: By application, the temporary folder used in local mode.
+_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(df: DataFrame) -> str:
-    """The cluster's folder for intermediate tables (spark.checkpoint.dir); a temporary one only in local mode."""
+    """The cluster's folder for intermediate tables (spark.checkpoint.dir); a temporary one only in local mode, where it is unset."""
     spark = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    found, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not found and app not in _FOLDERS:
+        _FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
+    return found or _FOLDERS[app]
 
 
 #: Arrow batches between the JVM and Python are cut to so many bytes, so that workers and off-heap buffers stay small.
