@@ -64,6 +64,8 @@ def _all_squared(x: np.ndarray) -> np.ndarray:
 
 
 def _root(values: np.ndarray) -> np.ndarray:
+    if values.dtype == object:  # whole roots, as squares may pass the range of doubles; one more, so as not to be too small
+        return np.array([float(math.isqrt(int(y)) + (y > 0)) for y in values.ravel()]).reshape(values.shape)
     return np.sqrt(values.astype(np.float64))
 
 
@@ -117,7 +119,7 @@ def nearest(x: np.ndarray, tree: dict[str, np.ndarray], radius: np.ndarray, cent
         heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         size = np.diff(np.append(heads, len(v)))
         upper = np.repeat(np.minimum.reduceat(dist, heads), size) + radius[v]
-        keep = dist - radius[v] - cradius[c] <= upper * (1 + 1e-9) + 1e-6
+        keep = dist - radius[v] - cradius[c] <= upper * (1 + 1e-9) + 2
         v, c = v[keep], c[keep]
         heads = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
         size = np.diff(np.append(heads, len(v)))
@@ -161,7 +163,7 @@ def _whole(values: np.ndarray, scale: int) -> np.ndarray:
         scaled = np.floor(values * scale)
     if not scaled.size or np.abs(scaled).max() < 2.0**62:
         return scaled.astype(np.int64)
-    return np.array([[math.floor(scale * a / b) if b > 1 else scale * a for a, b in (float(y).as_integer_ratio() for y in row)] for row in values], object).reshape(values.shape)
+    return np.array([[scale * a // b for a, b in (float(y).as_integer_ratio() for y in row)] for row in values], object).reshape(values.shape)
 
 
 def _vectors(column: pa.Array, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
