@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,52 +71,6 @@ def contained_passages(docs: DataFrame, passages: DataFrame, head: int = 8, doc_
     return long.unionAll(brief).distinct()
 
 
-def merge_facts(facts: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """M4: in time order, a fact joins the earlier unmerged fact of its project and type with the best Jaccard similarity, if it reaches the threshold.
-
-    facts: fact_id, project, fact_type, created_at, tokens.  The rule depends on the order, so each group runs in one
-    Python call; within it an inverted index finds the facts that share a token, not all of them.
-    """
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, frozenset]] = []  # in time order, so that ties go to the earliest
-        index: dict[str, list[int]] = {}
-        out = []
-        for row in pdf.sort_values(["created_at", "fact_id"]).itertuples():
-            have, best, into = frozenset(row.tokens), 0.0, None
-            for i in sorted({i for t in have for i in index.get(t, ())}):
-                j = len(have & kept[i][1]) / len(have | kept[i][1])
-                if j >= threshold and j > best:
-                    best, into = j, kept[i][0]
-            if into is None:
-                for t in have:
-                    index.setdefault(t, []).append(len(kept))
-                kept.append((row.fact_id, have))
-            out.append((row.fact_id, into))
-        return pd.DataFrame({"fact_id": [a for a, _ in out], "merged_into": pd.array([b for _, b in out], "Int64")})
-
-    return facts.groupBy("project", "fact_type").applyInPandas(group, "fact_id bigint, merged_into bigint")
-
-
-def pack_budget(items: DataFrame, key: str, order: str, full: str, compact: str, budget: int) -> DataFrame:
-    """Items in order, whole while they fit, else the compact form while that fits, else passed over; per key.
-
-    items: token counts in `full` and `compact`.  The rule depends on the order, so a key's items run in one Python call.
-    """
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, forms, lefts = budget, [], []
-        for f, c in zip(pdf["f"], pdf["c"]):
-            forms.append("full" if f <= left else "compact" if c <= left else "skip")
-            left -= f if f <= left else c if c <= left else 0
-            lefts.append(left)
-        return pd.DataFrame({"k": pdf["k"], "o": pdf["o"], "form": forms, "left_tokens": lefts})
-
-    rows = items.select(F.col(key).alias("k"), F.col(order).cast("bigint").alias("o"), F.col(full).cast("bigint").alias("f"), F.col(compact).cast("bigint").alias("c"))
-    packed = rows.groupBy("k").applyInPandas(lambda pdf: group(pdf.sort_values(["o", "f", "c"])), f"k {rows.schema['k'].dataType.simpleString()}, o bigint, form string, left_tokens bigint")
-    return packed.select(F.col("k").alias(key), F.col("o").alias(order), "form", "left_tokens")
-
-
 def verified(rows: DataFrame, sources: DataFrame, key: str, conflict: Column, empty: Column) -> DataFrame:
     """Each row with what its source says of it: missing_event, time_conflict, empty or verified.
 

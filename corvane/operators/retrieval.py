@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 
 def lexical_scan(df: DataFrame, row_id: str, title: Column, content: Column, terms: list[str], newest: Column, window: int) -> DataFrame:
     """Over the newest rows, 2 for each term in the title and 1 in the content; rows without a hit go."""
@@ -33,21 +35,29 @@ def postings(docs: DataFrame, row_id: str, tokens: Column) -> DataFrame:
     return terms.groupBy(row_id, F.coalesce("term", F.lit("")).alias("term"), "len").agg(F.count("*").alias("tf"))
 
 
-#: Buckets that the terms of a stored index are dealt over, as folders.
-INDEX_BUCKETS = 16
+#: Postings of one file of a stored index; folders at most.
+FILE_ROWS, MOST_BUCKETS = 2_000_000, 4096
 
 
 def store_index(found: DataFrame, folder: str, row_id: str) -> None:
-    """Writes postings by bucket of the term, sorted by term, so that a query reads its terms' row groups only; and the corpus figures."""
-    bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(INDEX_BUCKETS)))
-    bucketed.repartition(INDEX_BUCKETS, "bucket").sortWithinPartitions("bucket", "term", row_id).write.partitionBy("bucket").parquet(f"{folder}/postings")
-    rows = found.groupBy(row_id).agg(F.any_value("len").alias("len"))
-    rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")).write.parquet(f"{folder}/corpus")
+    """Writes postings by bucket of the term, sorted by term, so that a query reads its terms' row groups only; and the corpus figures.
+
+    Buckets and files follow the number of postings; a frequent term goes over several files, each written by its own task.
+    """
+    held = cut(found, "postings")
+    buckets = min(MOST_BUCKETS, held.count() // FILE_ROWS + 1)
+    bucketed = held.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    sizes = bucketed.groupBy("bucket").agg(F.ceil(F.count("*") / FILE_ROWS).cast("int").alias("files"))  # a row a bucket
+    dealt = bucketed.join(F.broadcast(sizes), "bucket").withColumn("part", F.pmod(F.xxhash64(row_id), F.col("files")))
+    dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "term", row_id).drop("part", "files").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    rows = held.groupBy(row_id).agg(F.any_value("len").alias("len"))
+    rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.parquet(f"{folder}/corpus")
 
 
 def bm25_indexed(spark, folder: str, row_id: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """R2 on a stored index: only the buckets, row groups and columns of the query's terms are read."""
-    buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(INDEX_BUCKETS)) for t in terms]
+    dealt = spark.read.parquet(f"{folder}/corpus").head()["buckets"]  # one row
+    buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(dealt)) for t in terms]
     tf = spark.read.parquet(f"{folder}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(terms)).select(row_id, "term", "tf", "len")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     corpus = spark.read.parquet(f"{folder}/corpus")  # one row

@@ -30,4 +30,4 @@ def register_whole(name: str, fn, *cuts: str) -> None:
     register(f"{name}_all", sql)(partial(fn, whole=True))
 
 
-from corvane.plans import q_consolidation, q_core, q_evaluation, q_more, q_retrieval  # noqa: E402, F401  the modules register their queries
+from corvane.plans import q_consolidation, q_core, q_evaluation, q_index, q_more, q_retrieval  # noqa: E402, F401  the modules register their queries

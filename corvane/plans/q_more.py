@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corvane import predicates as P
 from corvane import views
 from corvane.functions import scores, text, vectors
-from corvane.operators import maintenance, tables
+from corvane.operators import maintenance, ordered, tables
 from corvane.plans.catalogue import register, register_whole
 from corvane.plans.q_retrieval import _VALUES, VEC, _cos, notes, query_vector, tok
 from corvane.session import table
@@ -187,7 +187,7 @@ def e17(spark, d):
 def w10(spark, d):
     """Order-dependent: each conversation's turns packed into 300 tokens, newest last."""
     turns = table(spark, d, "conversations").select("conv_id", "turn", text.token_estimate(F.col("text")).alias("full"), F.lit(12).alias("compact"))
-    return maintenance.pack_budget(turns, "conv_id", "turn", "full", "compact", 300)
+    return ordered.pack_budget(turns, "conv_id", "turn", "full", "compact", 300)
 
 
 @register("m4_fact_merge")
@@ -195,7 +195,7 @@ def m4(spark, d):
     """Order-dependent: user turns of each conversation as facts, merged in time order."""
     turns = table(spark, d, "conversations").where("role <> 'system'")
     facts = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("fact_id"), F.col("conv_id").cast("string").alias("project"), F.col("role").alias("fact_type"), F.col("turn").alias("created_at"), text.tokens(F.col("text")).alias("tokens"))
-    return maintenance.merge_facts(facts, 0.3)
+    return ordered.merge_facts(facts, 0.3)
 
 
 @register("f15_now_parameter", f"SELECT user_id, round(sum(exp(-greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts)) / 3.6e9) / 2160)), 4) AS heat FROM events GROUP BY 1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,8 +9,9 @@ from corvane import views
 from corvane.functions import scores, text, vectors
 from corvane.functions.text import ALLOWED_SCHEME, PRIVATE_HOST, URL_HOST
 from corvane.operators import graph, retrieval, similarity
+from corvane.operators.stored_index import stored_for
 from corvane.plans.catalogue import register, register_whole
-from corvane.session import scratch_folder, table
+from corvane.session import table
 from corvane.views import NOW, OBS
 
 COS = "list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b)))"
@@ -249,17 +248,10 @@ bm AS (SELECT doc_id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf +
 BM_TERMS = ["that", "thing", "onre"]
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
 def bm_index(spark, d: str) -> str:
-    """The folder of the stored index of `documents`, built once in a session, in the shared folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEXES:
-        folder = f"{scratch_folder(spark)}/index-{uuid.uuid4().hex}"
-        retrieval.store_index(retrieval.postings(table(spark, d, "documents"), "doc_id", _bm_tokens()), folder, "doc_id")
-        _INDEXES[key] = folder
-    return _INDEXES[key]
+    """The folder of the stored index of `documents` as they are now."""
+    docs = table(spark, d, "documents")
+    return stored_for(docs, "postings", lambda folder: retrieval.store_index(retrieval.postings(docs, "doc_id", _bm_tokens()), folder, "doc_id"))
 
 
 def _bm25(spark, d):

@@ -4,7 +4,7 @@ import re
 from pyspark.sql import functions as F
 
 from corvane.functions import cues, text
-from corvane.operators import consolidation, graph, maintenance, retrieval
+from corvane.operators import consolidation, graph, maintenance, ordered, retrieval
 
 
 def plain_nuggets(x):
@@ -112,13 +112,13 @@ def test_readiness_by_relation_and_next_work(spark):
 
 def test_fact_merges_go_to_the_earliest_of_equals(spark):
     rows = [(9, "p", "t", 1, ["a", "b"]), (3, "p", "t", 2, ["c", "d"]), (5, "p", "t", 3, ["a", "b", "c", "d"]), (6, "q", "t", 4, ["a", "b"]), (7, "p", "t", 5, ["z"])]
-    got = maintenance.merge_facts(spark.createDataFrame(rows, "fact_id long, project string, fact_type string, created_at long, tokens array<string>"), 0.3).collect()
+    got = ordered.merge_facts(spark.createDataFrame(rows, "fact_id long, project string, fact_type string, created_at long, tokens array<string>"), 0.3).collect()
     assert {r.fact_id: r.merged_into for r in got} == {9: None, 3: None, 5: 9, 6: None, 7: None}
 
 
 def test_budget_is_packed_in_order(spark):
     rows = [(1, 0, 50, 12), (1, 1, 80, 12), (1, 2, 30, 12), (1, 3, 60, 12), (2, 0, 500, 12)]
-    got = maintenance.pack_budget(spark.createDataFrame(rows, "k long, o long, f long, c long"), "k", "o", "f", "c", 100).collect()
+    got = ordered.pack_budget(spark.createDataFrame(rows, "k long, o long, f long, c long"), "k", "o", "f", "c", 100).collect()
     assert {(r.k, r.o): (r.form, r.left_tokens) for r in got} == {(1, 0): ("full", 50), (1, 1): ("compact", 38), (1, 2): ("full", 8), (1, 3): ("skip", 8), (2, 0): ("compact", 88)}
 
 

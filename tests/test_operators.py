@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane import predicates as P
 from corvane.functions import scores, text, vectors
-from corvane.operators import evaluation, graph, maintenance, retrieval, similarity, tables, temporal
+from corvane.operators import evaluation, graph, maintenance, ordered, retrieval, similarity, tables, temporal
 from corvane.plans import catalogue
 
 
@@ -113,13 +113,13 @@ def test_graph_hops_and_readiness(spark):
 
 def test_budget_skips_and_goes_on(spark):
     items = spark.createDataFrame([("k", 1, 50, 10), ("k", 2, 60, 20), ("k", 3, 25, 5), ("k", 4, 100, 40)], "k string, o int, f int, c int")
-    got = [(r.o, r.form, r.left_tokens) for r in maintenance.pack_budget(items, "k", "o", "f", "c", 100).orderBy("o").collect()]
+    got = [(r.o, r.form, r.left_tokens) for r in ordered.pack_budget(items, "k", "o", "f", "c", 100).orderBy("o").collect()]
     assert got == [(1, "full", 50), (2, "compact", 30), (3, "full", 5), (4, "skip", 5)]
 
 
 def test_facts_merge_in_time_order(spark):
     rows = [(1, "p", "t", 1, ["a", "b", "c"]), (2, "p", "t", 2, ["a", "b", "d"]), (3, "p", "t", 3, ["b", "d", "e"]), (4, "p", "u", 4, ["a", "b", "c"]), (5, "p", "t", 5, ["x"])]
-    got = {r.fact_id: r.merged_into for r in maintenance.merge_facts(spark.createDataFrame(rows, "fact_id bigint, project string, fact_type string, created_at int, tokens array<string>"), 0.3).collect()}
+    got = {r.fact_id: r.merged_into for r in ordered.merge_facts(spark.createDataFrame(rows, "fact_id bigint, project string, fact_type string, created_at int, tokens array<string>"), 0.3).collect()}
     assert got == {1: None, 2: 1, 3: None, 4: None, 5: None}  # 3 is like 2, but 2 is merged already
 
 
