@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from corvane.operators.tables import running_total
 
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, query: str, item: str, rank: str, k: int) -> DataFrame:
-    """recall@k, precision@k, reciprocal rank and binary nDCG@k of each query; ranks from 1, unique items."""
-    hits = ranked.join(relevant.select(query, item, F.lit(1).alias("_rel")), [query, item], "left").where(F.col(rank) <= k)
-    per = hits.groupBy(query).agg(
-        F.count("_rel").alias("_hits"), F.min(F.when(F.col("_rel") == 1, F.col(rank))).alias("_first"), F.sum(F.when(F.col("_rel") == 1, 1 / F.log2(F.col(rank) + 1)).otherwise(0.0)).alias("_dcg"))
-    total = relevant.groupBy(query).agg(F.count("*").alias("_n"))
+def ranking_metrics(ranked: DataFrame, sizes: DataFrame, query: str, hit: str, n_relevant: str, rank: str, k: int) -> DataFrame:
+    """recall@k, precision@k, reciprocal rank and binary nDCG@k of each query; ranks from 1, unique items.
+
+    ranked: query, rank and whether the item is relevant.  sizes: query and how many items are.
+    """
+    found = F.col(hit) & (F.col(rank) <= k)
+    per = ranked.groupBy(query).agg(F.count_if(found).alias("_hits"), F.min(F.when(found, F.col(rank))).alias("_first"), F.sum(F.when(found, 1 / F.log2(F.col(rank) + 1)).otherwise(0.0)).alias("_dcg"))
+    total = sizes.select(query, F.col(n_relevant).alias("_n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return total.join(per, query, "left").select(
         query, (F.coalesce("_hits", F.lit(0)) / F.col("_n")).alias("recall"), (F.coalesce("_hits", F.lit(0)) / k).alias("precision"), F.coalesce(1 / F.col("_first"), F.lit(0.0)).alias("mrr"), (F.coalesce("_dcg", F.lit(0.0)) / ideal).alias("ndcg"))

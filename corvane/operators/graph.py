@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.5, max_nodes: int = 40, checkpoint: bool = True) -> DataFrame:
     """G1: nodes reached from seeds (node, score), each with its best score: parent * weight * decay^(hop - 1).
@@ -24,6 +26,105 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int, decay: float = 0.5, ma
     return seen.where("hop > 0").orderBy(F.col("score").desc(), "node").limit(max_nodes)
 
 
+#: Relations that expansion follows, and the one that halves a score.
+FOLLOWED = ("shared_entity", "follows", "extends", "derives", "contradicts", "causes", "part_of", "updates", "superseded")
+HALVED = "contradicts"
+
+
+def bounded_expand(links: DataFrame, seeds: list, *, allowed: DataFrame | None = None, hops: int = 4, decay: float = 0.5, max_nodes: int = 40, hop_edges: int = 400) -> DataFrame:
+    """G1 in full: node, score (min-max over the nodes found) and the hop at which it was first found.
+
+    links: src, dst, relation, weight; followed both ways.  allowed: node, the rows that filters and tenants let through.
+    Of each hop only the `hop_edges` heaviest links of the frontier count (ties by node, src, dst, relation), and once
+    `max_nodes` are found no new one is; so a frontier is at most that many nodes, which go to the scan of the links as a list.
+    A node passes its best score of a hop on, times weight and decay, once; seeds may be scored but are not passed through again.
+    """
+    spark = links.sparkSession
+    scores: dict = {}
+    first: dict = {}
+    used = set(seeds)
+    frontier = dict.fromkeys(seeds, 1.0)
+    known = links.where(F.col("relation").isin(*FOLLOWED))
+    for depth in range(1, max(1, min(hops, 5)) + 1):
+        if not frontier:
+            break
+        ahead = known.where(F.col("src").isin(*frontier)).select(F.col("dst").alias("node"), F.col("src").alias("parent"), "src", "dst", "relation", "weight")
+        back = known.where(F.col("dst").isin(*frontier)).select(F.col("src").alias("node"), F.col("dst").alias("parent"), "src", "dst", "relation", "weight")
+        met = ahead.unionAll(back).groupBy("node", "parent", "src", "dst", "relation").agg(F.max("weight").alias("weight"))
+        if allowed is not None:
+            met = met.join(allowed.select("node"), "node", "left_semi")
+        rows = met.orderBy(F.col("weight").desc(), "node", "src", "dst", "relation").limit(hop_edges).collect()  # bounded
+        step: dict = {}
+        for r in rows:
+            if (len(scores) >= max_nodes and r.node not in scores) or r.src == r.dst or r.weight is None:
+                continue
+            score = frontier[r.parent] * r.weight * decay ** (depth - 1) * (0.5 if r.relation == HALVED else 1.0)
+            scores[r.node] = max(scores.get(r.node, 0.0), score)
+            first.setdefault(r.node, depth)
+            if r.node not in used:
+                step[r.node] = max(step.get(r.node, 0.0), score)
+        used.update(step)
+        frontier = step
+    low, high = min(scores.values(), default=0.0), max(scores.values(), default=0.0)
+    found = [(k, 1.0 if high == low else (v - low) / (high - low), first[k]) for k, v in scores.items()]
+    kind = dict(links.dtypes)["src"]
+    return spark.createDataFrame(found, f"node {kind}, score double, hop int")
+
+
+def links_of(links: DataFrame, start, depth: int = 1, *, relation: str | None = None, owned: DataFrame | None = None) -> DataFrame:
+    """The outgoing links within `depth` (1 to 5) of a node, with the hop at which each was met; owned: node, rows of the tenant.
+
+    Frontiers may be large, so they stay tables: each hop is a join, and its new nodes are stored once.  A link whose ends
+    are not both of the tenant's goes at the end, as it may lead to others.
+    """
+    spark = links.sparkSession
+    kept = links if relation is None else links.where(F.col("relation") == relation)
+    kind = dict(links.dtypes)["src"]
+    seen = frontier = spark.createDataFrame([(start,)], f"node {kind}")
+    out = None
+    for hop in range(1, max(1, min(depth, 5)) + 1):
+        met = cut(kept.join(frontier.withColumnRenamed("node", "src"), "src").select(*links.columns, F.lit(hop).alias("hop")), "links")
+        out = met if out is None else out.unionAll(met)
+        frontier = cut(met.select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti"), "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionAll(frontier)
+    if owned is not None:
+        for end in ("src", "dst"):
+            out = out.join(owned.select(F.col("node").alias(end)), end, "left_semi")
+    return out.select(*links.columns, "hop")
+
+
+def subgraph(links: DataFrame, entities: DataFrame, name: str, depth: int, *, owned: DataFrame | None = None, limit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, hop) and edges (src, dst, relation, weight) around the rows that carry an entity.
+
+    entities: name, node.  An exact name first; where no row has it, names that contain it.  At most `limit` (100) nodes,
+    half of them seeds, the smallest ids first; edges are those met from the frontiers, one for each (src, dst): the
+    one with the least relation and the highest weight.
+    """
+    limit = max(1, min(limit, 100))
+    spark = links.sparkSession
+    rows = entities if owned is None else entities.join(owned.select("node"), "node", "left_semi")
+    pick = lambda which: [r.node for r in rows.where(which).select("node").distinct().orderBy("node").limit(min(50, limit)).collect()]
+    seeds = pick(F.col("name") == name) or pick(F.contains("name", F.lit(name)))
+    hops, frontier, sources = dict.fromkeys(seeds, 0), seeds, set()
+    for hop in range(1, max(1, min(depth, 5)) + 1):
+        if not frontier or len(hops) >= limit:
+            break
+        sources.update(frontier)
+        near = links.where(F.col("src").isin(*frontier)).select(F.col("dst").alias("node")).unionAll(links.where(F.col("dst").isin(*frontier)).select(F.col("src").alias("node")))
+        fresh = [r.node for r in near.where(~F.col("node").isin(*hops)).distinct().orderBy("node").limit(limit - len(hops)).collect()]  # bounded
+        hops.update(dict.fromkeys(fresh, hop))
+        frontier = fresh
+    kind = dict(links.dtypes)["src"]
+    nodes = spark.createDataFrame(list(hops.items()), f"node {kind}, hop int")
+    met = links.where(F.col("src").isin(*sources) | F.col("dst").isin(*sources)) if sources else links.limit(0)
+    edges = met.groupBy("src", "dst").agg(F.min_by(F.struct("relation", "weight"), F.struct("relation", (-F.col("weight")).alias("w"))).alias("e")).select("src", "dst", "e.relation", "e.weight")
+    if owned is not None:
+        nodes = nodes.join(owned.select("node"), "node", "left_semi")
+    return nodes, edges
+
+
 def hops_from(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Each node within `hops` of the seeds with its least hop; edges: src, dst."""
     edges = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))

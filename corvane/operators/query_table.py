@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut
 
+#: Grows when the stored form changes.
+LAYOUT = 1
 #: Postings of one file, and folders at most.
 FILE_ROWS, MOST_BUCKETS = 2_000_000, 4096
 #: Share of a query's bound that its first terms hold at least.

@@ -26,15 +26,15 @@ def _path(spark: SparkSession, folder: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def stored_for(source: DataFrame, name: str, build: Callable[[str], None]) -> str:
+def stored_for(source: DataFrame, name: str, build: Callable[[str], None], layout: int = 1) -> str:
     """The folder of what `build(folder)` derives from the source as it is now.
 
-    Folders are named by the source's watermark, so a changed source gets a new one and readers of the old one are not
+    layout: a number that grows whenever what `build` writes changes.  Folders are named by it and by the source's watermark, so a changed source gets a new one and readers of the old one are not
     disturbed.  What is built becomes visible by one rename, when it is whole: a builder that dies leaves nothing that
     is ever read, and of two at a time one wins.
     """
     spark = source.sparkSession
-    final = f"{scratch_folder(spark)}/indexes/{name}/{watermark(source)}"
+    final = f"{scratch_folder(spark)}/indexes/{name}-{layout}/{watermark(source)}"
     path, fs = _path(spark, final)
     if not fs.exists(path):
         draft = f"{scratch_folder(spark)}/indexes/.drafts/{name}-{uuid.uuid4().hex}"

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from corvane.session import cut
 
+#: Grows when the stored form changes.
+LAYOUT = 2
 #: Rows that the cells are trained on, at most; cells at most; vectors of one file and queries of one block.
 SAMPLE_ROWS, MOST_CELLS, FILE_ROWS, QUERY_ROWS = 20_000, 4096, 65_536, 4096
 #: Rows whose exact answers set the number of probes, and the share of those answers that it has to reach.
@@ -110,7 +112,7 @@ def _probes(queries: DataFrame, cells: list) -> DataFrame:
     return queries.mapInArrow(run, f"qid {dict(queries.dtypes)['qid']}, unit array<double>, cell int, place int, bound double")
 
 
-def _scored(vectors: DataFrame, probes: DataFrame, cells: list, top: int, other: bool) -> DataFrame:
+def _scored(vectors: DataFrame, probes: DataFrame, cells: list, top: int, other: bool, digits: int) -> DataFrame:
     """qid, id, score: of each probed cell's files the best `top` for each query, by blocks of vectors and queries."""
     spark = vectors.sparkSession
     per_cell = {r.cell: r.n for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
@@ -127,7 +129,7 @@ def _scored(vectors: DataFrame, probes: DataFrame, cells: list, top: int, other:
         own = np.array(who.to_pylist())
         rows, cols, values = [], [], []
         for lo in range(0, len(q) if len(v) else 0, 256):
-            score = np.round((q[lo : lo + 256] @ v.T if v.shape[1] == q.shape[1] else np.zeros((len(q[lo : lo + 256]), len(v)))), DIGITS)[:, by_id]
+            score = np.round((q[lo : lo + 256] @ v.T if v.shape[1] == q.shape[1] else np.zeros((len(q[lo : lo + 256]), len(v)))), digits)[:, by_id]
             if other:
                 score[own[lo : lo + 256][:, None] == ids[by_id][None, :]] = -9.0
             take = np.argsort(-score, axis=1, kind="stable")[:, :top]
@@ -148,22 +150,23 @@ def _top(scored: DataFrame, top: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top)
 
 
-def search(spark: SparkSession, folder: str, queries: DataFrame, top: int = 10, probes: int | None = None, *, exact: bool = False, other: bool = False) -> DataFrame:
+def search(spark: SparkSession, folder: str, queries: DataFrame, top: int = 10, probes: int | None = None, *, exact: bool = False, other: bool = False, digits: int = DIGITS) -> DataFrame:
     """qid, id, cosine and rank of the best `top` rows of each query (qid, vector); other: rows with the query's own id don't count.
 
     probes: cells read for each query, as tuned when the index was built unless given.  exact: cells that could still hold a better row are read too.
+    digits: of the cosine that count; rows that agree in them tie, and the smaller id goes first.
     """
     cells = spark.read.parquet(f"{folder}/cells").collect()  # at most MOST_CELLS rows
     vectors = spark.read.parquet(f"{folder}/vectors")
     probes = probes or spark.read.parquet(f"{folder}/tuning").head()["probes"]
     asked = queries.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("qid", F.transform("vector", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("vector"))
     every = cut(_probes(asked, cells), "probes")
-    found = cut(_top(_scored(vectors, every.where(F.col("place") < probes), cells, top, other), top), "found")
+    found = cut(_top(_scored(vectors, every.where(F.col("place") < probes), cells, top, other, digits), top), "found")
     if not exact:
         return found
     kth = found.where(F.col("rank") == top).select("qid", F.col("cosine").alias("kth"))  # none where fewer were found: all cells count
-    more = cut(every.where(F.col("place") >= probes).join(kth, "qid", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 10.0**-DIGITS)).select("qid", "unit", "cell"), "more-probes")
-    return _top(found.select("qid", "id", "cosine").unionAll(_scored(vectors, more, cells, top, other)), top)
+    more = cut(every.where(F.col("place") >= probes).join(kth, "qid", "left").where(F.col("kth").isNull() | (F.col("bound") >= F.col("kth") - 10.0**-digits)).select("qid", "unit", "cell"), "more-probes")
+    return _top(found.select("qid", "id", "cosine").unionAll(_scored(vectors, more, cells, top, other, digits)), top)
 
 
 def similarity(cosine: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "r20_flagship_search"
@@ -21,13 +19,4 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def register_whole(name: str, fn, *cuts: str) -> None:
-    """Adds `name`_all, fn(..., whole=True): the query over all its rows.  cuts: what its SQL has instead of parts of the other's, in pairs."""
-    sql = ORACLES[name]
-    for old, new in zip(cuts[::2], cuts[1::2]):
-        assert old in sql, name
-        sql = sql.replace(old, new)
-    register(f"{name}_all", sql)(partial(fn, whole=True))
-
-
-from corvane.plans import q_consolidation, q_core, q_evaluation, q_index, q_more, q_retrieval  # noqa: E402, F401  the modules register their queries
+from corvane.plans import q_consolidation, q_core, q_evaluation, q_graph, q_index, q_more, q_retrieval  # noqa: E402, F401  the modules register their queries

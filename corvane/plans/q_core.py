@@ -9,7 +9,7 @@ from corvane import predicates as P
 from corvane import views
 from corvane.functions import scores
 from corvane.operators import evaluation, tables, temporal
-from corvane.plans.catalogue import register, register_whole
+from corvane.plans.catalogue import register
 from corvane.session import table
 from corvane.views import EV, FACTS, NOW, OBS
 
@@ -113,18 +113,15 @@ def j2(spark, d):
     return table(spark, d, "customer").select("c_custkey").join(per, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n_visible", F.lit(0)).alias("n_visible"), F.coalesce("n_f", F.lit(0)).alias("n_f"))
 
 
-@register("j7_shared_entity", """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 20 = 0)
+@register("j7_shared_entity", """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
 SELECT a.l_orderkey AS a_order, b.l_orderkey AS b_order, count(*) AS shared FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND a.l_orderkey < b.l_orderkey GROUP BY 1, 2 ORDER BY shared DESC, a_order, b_order LIMIT 100""")
-def j7(spark, d, whole=False):
+def j7(spark, d):
     """Pairs by a shared entity, over one in twenty of the entities or all: the pair count is quadratic in an entity's rows by definition."""
-    lines = table(spark, d, "lineitem").where("true" if whole else "l_partkey % 20 = 0").select("l_orderkey", "l_partkey").distinct()
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     a, b = lines.withColumnRenamed("l_orderkey", "a_order"), lines.withColumnRenamed("l_orderkey", "b_order")
     return a.join(b, "l_partkey").where("a_order < b_order").groupBy("a_order", "b_order").agg(F.count("*").alias("shared")).orderBy(F.col("shared").desc(), "a_order", "b_order").limit(100)
 
 
-register_whole("j7_shared_entity", j7, " WHERE l_partkey % 20 = 0", "")
-
-
 @register("j8_prev_event", f"WITH {EV} SELECT event_id, user_id, lag(event_id) OVER w AS prev_event_id, CASE WHEN lag(ts) OVER w IS NULL THEN NULL ELSE (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 END AS gap_s FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def j8(spark, d):
     ev = temporal.previous(views.events(spark, d), ["user_id"], "ts", "event_id", ["event_id", "ts"])
@@ -278,13 +275,10 @@ def a17(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(rows(), F.max("o_orderdate").alias("kept_date")).where("n > 1")
 
 
-@register("a18_hooks_health", f"SELECT event_type AS kind, max(ts) AS last_ts, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 86400) < 1 THEN 'alive' ELSE 'stale_' || CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 86400) AS BIGINT)::VARCHAR || 'd' END AS health FROM events WHERE user_id % 20 = 1 GROUP BY 1")
-def a18(spark, d, whole=False):
+@register("a18_hooks_health", f"SELECT event_type AS kind, max(ts) AS last_ts, CASE WHEN floor((epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 86400) < 1 THEN 'alive' ELSE 'stale_' || CAST(floor((epoch(TIMESTAMP '{NOW}') - epoch(max(ts))) / 86400) AS BIGINT)::VARCHAR || 'd' END AS health FROM events GROUP BY 1")
+def a18(spark, d):
     days = F.floor(scores.hours_before(NOW, "last_ts") / 24)
-    return table(spark, d, "events").where("true" if whole else "user_id % 20 = 1").groupBy(F.col("event_type").alias("kind")).agg(F.max("ts").alias("last_ts")).withColumn("health", F.when(days < 1, "alive").otherwise(F.concat(F.lit("stale_"), days.cast("string"), F.lit("d"))))
-
-
-register_whole("a18_hooks_health", a18, " WHERE user_id % 20 = 1", "")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.max("ts").alias("last_ts")).withColumn("health", F.when(days < 1, "alive").otherwise(F.concat(F.lit("stale_"), days.cast("string"), F.lit("d"))))
 
 
 @register("a19_consumption_rate", "SELECT event_type AS kind, count(*) AS delivered, count(*) FILTER (value > 50) AS consumed, round(count(*) FILTER (value > 50) / nullif(count(*), 0), 6) AS rate FROM events GROUP BY 1")
@@ -395,16 +389,13 @@ def r26(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(w).cast("bigint").alias("step"), F.length("text").cast("bigint").alias("n_chars"))
 
 
-@register("r29_fact_history", f"WITH {FACTS} SELECT fact_id, project, fact_key, fact_value, valid_from, valid_to, superseded_by IS NULL AND valid_to IS NULL AS is_active FROM facts WHERE project % 3 = 0")
-def r29(spark, d, whole=False):
+@register("r29_fact_history", f"WITH {FACTS} SELECT fact_id, project, fact_key, fact_value, valid_from, valid_to, superseded_by IS NULL AND valid_to IS NULL AS is_active FROM facts")
+def r29(spark, d):
     """The filter on the key is pushed below the window."""
-    facts = views.facts(spark, d).where("true" if whole else "project % 3 = 0").withColumn("merged_into", F.lit(None).cast("bigint"))
+    facts = views.facts(spark, d).withColumn("merged_into", F.lit(None).cast("bigint"))
     return facts.select("fact_id", "project", "fact_key", "fact_value", "valid_from", "valid_to", P.active_fact().alias("is_active"))
 
 
-register_whole("r29_fact_history", r29, " WHERE project % 3 = 0", "")
-
-
 @register("m2_retry_backoff", "SELECT event_id, least(300, pow(2, least(CAST(floor(value) AS BIGINT) % 12, 8)))::DOUBLE AS wait_s FROM events WHERE event_type = 'error'")
 def m2(spark, d):
     return table(spark, d, "events").where("event_type = 'error'").select("event_id", scores.retry_wait(F.floor("value") % 12).alias("wait_s"))

@@ -8,67 +8,61 @@ from pyspark.sql import functions as F
 from corvane import views
 from corvane.functions import text, vectors
 from corvane.operators import evaluation as ev
-from corvane.operators import consolidation, maintenance
-from corvane.plans.catalogue import register, register_whole
+from corvane.operators import consolidation, maintenance, vector_index
+from corvane.plans.catalogue import register
+from corvane.plans.q_index import embedding_index
 from corvane.session import table
 
 _COS = "(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))))"
 RANKED = f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), rk AS (SELECT a.vec_id AS query, a.label AS ql, b.vec_id AS item, b.label AS il, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 6) DESC, b.vec_id) AS rank
-FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id < 20 AND b.vec_id < 300 QUALIFY rank <= 10), rel AS (SELECT a.vec_id AS query, b.vec_id AS item FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 20 AND b.vec_id < 300)"""
+FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rank <= 10), rel AS (SELECT a.vec_id AS query, b.vec_id AS item FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"""
 
 
-RANKED_ALL = RANKED.replace("a.vec_id < 20 AND b.vec_id < 300", "a.vec_id % 50 = 0")
+def ranked(spark, d):
+    """The ten nearest vectors to each id divisible by 50, by the stored index; vectors of equal labels are relevant."""
+    v = table(spark, d, "embeddings")
+    queries = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    found = vector_index.search(spark, embedding_index(spark, d), queries, 10, exact=True, other=True, digits=6)
+    label = lambda i, c: v.select(F.col("vec_id").alias(i), F.col("label").alias(c))
+    return found.select(F.col("qid").alias("query"), F.col("id").alias("item"), "rank").join(label("query", "ql"), "query").join(label("item", "il"), "item")
 
 
-def ranked(spark, d, whole=False):
-    """The ten nearest vectors to each of the stated queries; equal labels are relevant.
-
-    The whole job has every vector, and each id divisible by 50 as a query; else the first 300 vectors, and the first 20 as queries.
-    """
-    v = table(spark, d, "embeddings") if whole else table(spark, d, "embeddings").where("vec_id < 300")
-    q = v.where("vec_id % 50 = 0" if whole else "vec_id < 20").select(F.col("vec_id").alias("query"), F.col("label").alias("ql"), F.col("embedding").alias("qv"))
-    # The queries grow with the table, so they are no broadcast of unknown size: a large product goes block by block.
-    q = q if whole else F.broadcast(q)  # 20 queries
-    pairs = v.join(q, F.col("vec_id") != F.col("query"))
-    w = W.partitionBy("query").orderBy(F.round(vectors.cosine(F.col("embedding"), F.col("qv")), 6).desc(), "vec_id")
-    top = pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where("rank <= 10").select("query", F.col("vec_id").alias("item"), "rank", "ql", F.col("label").alias("il"))
-    relevant = v.join(q, (F.col("label") == F.col("ql")) & (F.col("vec_id") != F.col("query"))).select("query", F.col("vec_id").alias("item"))
-    return top, relevant
+def relevant(spark, d):
+    """How many other vectors have the label of each query."""
+    v = table(spark, d, "embeddings")
+    sizes = v.groupBy("label").agg((F.count("*") - 1).alias("n_relevant"))
+    return v.where("vec_id % 50 = 0").join(sizes, "label").where("n_relevant > 0").select(F.col("vec_id").alias("query"), "n_relevant")
 
 
 @register("e1_recall_mrr_ndcg", f"""WITH {RANKED}, t AS (SELECT query, count(*) AS n FROM rel GROUP BY 1), h AS (SELECT query, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM rk WHERE ql = il GROUP BY 1)
 SELECT query, round(coalesce(hits, 0) / n, 6)::DOUBLE AS recall, round(coalesce(hits, 0) / 10, 6)::DOUBLE AS precision, round(coalesce(1 / first, 0), 6)::DOUBLE AS mrr, round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10)::BIGINT + 1), lambda i: 1 / log2(i + 1))), 6)::DOUBLE AS ndcg FROM t LEFT JOIN h USING (query)""")
-def e1(spark, d, whole=False):
-    got = ev.ranking_metrics(*ranked(spark, d, whole), "query", "item", "rank", 10)
+def e1(spark, d):
+    got = ev.ranking_metrics(ranked(spark, d).withColumn("hit", F.col("ql") == F.col("il")), relevant(spark, d), "query", "hit", "n_relevant", "rank", 10)
     return got.select("query", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg")))
 
 
 @register("e3_order_gain_ndcg", f"""WITH {RANKED}, p AS (SELECT query, rank - 1 AS r, row_number() OVER (PARTITION BY query ORDER BY item) - 1 AS e FROM rk)
 SELECT query, round(sum(1 / (1 + abs(r - e)) / log2(r + 2)) / list_sum(list_transform(range(0, count(*)), lambda i: 1 / log2(i + 2))), 6)::DOUBLE AS ndcg FROM p GROUP BY 1""")
-def e3(spark, d, whole=False):
-    top = ranked(spark, d, whole)[0].select("query", (F.col("rank") - 1).alias("r"), (F.row_number().over(W.partitionBy("query").orderBy("item")) - 1).alias("e"))
+def e3(spark, d):
+    top = ranked(spark, d).select("query", (F.col("rank") - 1).alias("r"), (F.row_number().over(W.partitionBy("query").orderBy("item")) - 1).alias("e"))
     return ev.order_gain_ndcg(top, "query", "r", "e", 10).select("query", F.round("ndcg", 6).alias("ndcg"))
 
 
 @register("e4_temporal_order", f"""WITH {RANKED}, p AS (SELECT query, rank - 1 AS i, item AS e FROM rk WHERE ql = il OR rank <= 5), r AS (SELECT query, row_number() OVER (PARTITION BY query ORDER BY i) - 1 AS i, e FROM p),
 s AS (SELECT a.query, sum(sign(b.e - a.e)) AS s, count(*) AS c, sum(sign(b.e - a.e) * (exp(-0.1 * a.i) + exp(-0.1 * b.i))) AS ws, sum(exp(-0.1 * a.i) + exp(-0.1 * b.i)) AS w FROM r a JOIN r b ON a.query = b.query AND a.i < b.i GROUP BY 1)
 SELECT query, round((s / c + 1) / 2, 6)::DOUBLE AS order_score, round((ws / w + 1) / 2, 6)::DOUBLE AS weighted_score FROM s""")
-def e4(spark, d, whole=False):
-    top = ranked(spark, d, whole)[0].where("ql = il OR rank <= 5")
+def e4(spark, d):
+    top = ranked(spark, d).where("ql = il OR rank <= 5")
     return ev.rank_agreement(top, "query", "rank", "item").select("query", F.round("order_score", 6).alias("order_score"), F.round("weighted_score", 6).alias("weighted_score"))
 
 
 @register("e6_freshness", f"""WITH {RANKED}, n AS (SELECT query, min(rank) FILTER (il = ql) AS new_rank FROM rk GROUP BY 1), o AS (SELECT query, count(*) AS n_old, count(*) FILTER (rank > new_rank) AS below FROM rk JOIN n USING (query) WHERE il = (ql + 1) % 10 GROUP BY 1)
 SELECT query, round(CASE WHEN new_rank IS NULL THEN 0 WHEN n_old IS NULL THEN 1 ELSE below / n_old END, 6)::DOUBLE AS freshness FROM n LEFT JOIN o USING (query)""")
-def e6(spark, d, whole=False):
-    got = ev.freshness_at_k(ranked(spark, d, whole)[0], "query", "rank", F.col("il") == F.col("ql"), F.col("il") == (F.col("ql") + 1) % 10, 10)
+def e6(spark, d):
+    got = ev.freshness_at_k(ranked(spark, d), "query", "rank", F.col("il") == F.col("ql"), F.col("il") == (F.col("ql") + 1) % 10, 10)
     return got.select("query", F.round("freshness", 6).alias("freshness"))
 
 
-for _name, _fn in {"e1_recall_mrr_ndcg": e1, "e3_order_gain_ndcg": e3, "e4_temporal_order": e4, "e6_freshness": e6}.items():
-    register_whole(_name, _fn, RANKED, RANKED_ALL)
-
-
 _WN = "count(*) FILTER (o_orderstatus = 'F')::DOUBLE / count(*)"
 
 

@@ -19,7 +19,7 @@ from corvane.views import OBS
 def embedding_index(spark, d: str) -> str:
     """The folder of the index of `embeddings` as they are now."""
     rows = table(spark, d, "embeddings")
-    return stored_for(rows, "vectors", lambda folder: vector_index.build(rows, folder, row_id="vec_id", vector="embedding"))
+    return stored_for(rows, "vectors", lambda folder: vector_index.build(rows, folder, row_id="vec_id", vector="embedding"), vector_index.LAYOUT)
 
 
 @register("s4_vector_index", f"""WITH {VEC} SELECT q.vec_id AS query, e.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_cos('q.v', 'e.v')}, 9) DESC, e.vec_id) AS rank, round(({_cos('q.v', 'e.v')} + 1) / 2, 6) AS score
@@ -52,7 +52,7 @@ def _title(x):
 def weighted_index(spark, d: str) -> str:
     """The folder of the weighted postings of `documents` as they are now; the first line is the title, whose hits count three times."""
     docs = table(spark, d, "documents")
-    return stored_for(docs, "weighted", lambda folder: query_table.build(docs, folder, row_id="doc_id", content=_words(F.col("text")), title=_words(_title(F.col("text")))))
+    return stored_for(docs, "weighted", lambda folder: query_table.build(docs, folder, row_id="doc_id", content=_words(F.col("text")), title=_words(_title(F.col("text")))), query_table.LAYOUT)
 
 
 def _lexical(spark, d, top: int):

@@ -11,7 +11,7 @@ from corvane import predicates as P
 from corvane import views
 from corvane.functions import scores, text, vectors
 from corvane.operators import maintenance, ordered, tables
-from corvane.plans.catalogue import register, register_whole
+from corvane.plans.catalogue import register
 from corvane.plans.q_retrieval import _VALUES, VEC, _cos, notes, query_vector, tok
 from corvane.session import table
 from corvane.views import EV, FACTS, NOW, OBS
@@ -73,16 +73,13 @@ def f22(spark, d):
     return table(spark, d, "pages").select("page_id", F.inline(text.entities(F.concat_ws(" ", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))))).select("page_id", "type", "name")
 
 
-@register("f26_private_blocks", "SELECT doc_id, sha256(regexp_replace(regexp_replace('a<private>' || left(text, 40) || '</private>' || right(text, 10), '(?is)<private>.*?</private>', '', 'g'), '(?is)<private>.*$', '')) AS h FROM documents")
-def f26(spark, d, whole=False):
-    head, tail = (F.col("text"), F.col("text")) if whole else (F.left("text", F.lit(40)), F.right("text", F.lit(10)))
+@register("f26_private_blocks", "SELECT doc_id, sha256(regexp_replace(regexp_replace('a<private>' || text || '</private>' || text, '(?is)<private>.*?</private>', '', 'g'), '(?is)<private>.*$', '')) AS h FROM documents")
+def f26(spark, d):
+    head, tail = (F.col("text"), F.col("text"))
     raw = F.concat(F.lit("a<private>"), head, F.lit("</private>"), tail)
     return table(spark, d, "documents").select("doc_id", F.sha2(text.without_private_blocks(raw), 256).alias("h"))
 
 
-register_whole("f26_private_blocks", f26, "left(text, 40)", "text", "right(text, 10)", "text")
-
-
 @register("f30_normal_tags", f"WITH {OBS} SELECT doc_id, array_to_string(list_sort(list_distinct([lower(trim(' ' || upper(project) || ' ')), lower(trim(lang)), lower(trim(project))])), ',') AS tags FROM obs")
 def f30(spark, d):
     tags = F.array(F.concat(F.lit(" "), F.upper("project"), F.lit(" ")), F.col("lang"), F.col("project"))

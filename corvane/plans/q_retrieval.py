@@ -10,7 +10,7 @@ from corvane.functions import scores, text, vectors
 from corvane.functions.text import ALLOWED_SCHEME, PRIVATE_HOST, URL_HOST
 from corvane.operators import graph, retrieval, similarity
 from corvane.operators.stored_index import stored_for
-from corvane.plans.catalogue import register, register_whole
+from corvane.plans.catalogue import register
 from corvane.session import table
 from corvane.views import NOW, OBS
 
@@ -153,15 +153,12 @@ def _redact_sql(x: str) -> str:
     return x
 
 
-@register("f25_redaction", f"SELECT doc_id, sha256({_redact_sql('text')}) AS redacted_sha256, contains({_redact_sql('text')}, '[REDACTED_EMAIL]') AS had_email, contains({_redact_sql('text')}, '[REDACTED_SECRET]') AS had_secret FROM documents WHERE lang = 'en'")
-def f25(spark, d, whole=False):
-    got = table(spark, d, "documents").where("true" if whole else "lang = 'en'").select("doc_id", text.redacted(F.col("text")).alias("r"))
+@register("f25_redaction", f"SELECT doc_id, sha256({_redact_sql('text')}) AS redacted_sha256, contains({_redact_sql('text')}, '[REDACTED_EMAIL]') AS had_email, contains({_redact_sql('text')}, '[REDACTED_SECRET]') AS had_secret FROM documents")
+def f25(spark, d):
+    got = table(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).alias("r"))
     return got.select("doc_id", F.sha2("r", 256).alias("redacted_sha256"), F.contains("r", F.lit("[REDACTED_EMAIL]")).alias("had_email"), F.contains("r", F.lit("[REDACTED_SECRET]")).alias("had_secret"))
 
 
-register_whole("f25_redaction", f25, " WHERE lang = 'en'", "")
-
-
 @register("f28_dedupe_hash", "SELECT event_id, sha256(concat_ws('|', user_id, event_type, epoch_us(ts), coalesce(props, ''))) AS dedupe_hash FROM events")
 def f28(spark, d):
     return table(spark, d, "events").select("event_id", F.sha2(F.concat_ws("|", F.col("user_id").cast("string"), "event_type", scores.micros(F.col("ts")).cast("string"), F.coalesce("props", F.lit(""))), 256).alias("dedupe_hash"))
@@ -349,32 +346,26 @@ def r22(spark, d):
     return views.observations(spark, d).select("doc_id", "created_at", score.alias("score")).orderBy(F.col("score").desc(), F.col("created_at").desc(), "doc_id").limit(40).select("doc_id", "score")
 
 
-@register("g1_two_hop_decay", """WITH ed AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_partkey < 400), seeds AS (SELECT DISTINCT src AS node FROM ed ORDER BY 1 LIMIT 10),
+@register("g1_two_hop_decay", """WITH ed AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem), seeds AS (SELECT DISTINCT src AS node FROM ed ORDER BY 1 LIMIT 10),
 h1 AS (SELECT dst AS part, max(1.0 * 0.8) AS score FROM ed JOIN seeds ON src = node GROUP BY 1), h2 AS (SELECT ed.src AS ord, max(h1.score * 0.8 * 0.5) AS score FROM ed JOIN h1 ON ed.dst = h1.part WHERE ed.src NOT IN (SELECT node FROM seeds) GROUP BY 1)
 SELECT node, round(score, 6)::DOUBLE AS score, hop FROM (SELECT 'p' || part AS node, score, 1 AS hop FROM h1 UNION ALL SELECT 'o' || ord, score, 2 FROM h2) ORDER BY score DESC, node LIMIT 40""")
-def g1(spark, d, whole=False):
-    pairs = table(spark, d, "lineitem").where("true" if whole else "l_partkey < 400").select("l_orderkey", "l_partkey").distinct()
+def g1(spark, d):
+    pairs = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     o, p = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     edges = pairs.select(F.inline(F.array(F.struct(o.alias("src"), p.alias("dst")), F.struct(p.alias("src"), o.alias("dst"))))).select("src", "dst", F.lit(0.8).alias("weight"), F.lit(1.0).alias("penalty"))
     seeds = pairs.select("l_orderkey").distinct().orderBy("l_orderkey").limit(10).select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("node"), F.lit(1.0).alias("score"))
     return graph.expand(edges, seeds, 2).select("node", F.round("score", 6).alias("score"), "hop")
 
 
-register_whole("g1_two_hop_decay", g1, " WHERE l_partkey < 400", "")
-
-
-@register("g3_proximity", """WITH ed AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem WHERE l_partkey < 200), h1 AS (SELECT DISTINCT src AS ord FROM ed WHERE dst = 7), h2 AS (SELECT DISTINCT dst AS part FROM ed JOIN h1 ON src = ord WHERE dst <> 7)
+@register("g3_proximity", """WITH ed AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem), h1 AS (SELECT DISTINCT src AS ord FROM ed WHERE dst = 7), h2 AS (SELECT DISTINCT dst AS part FROM ed JOIN h1 ON src = ord WHERE dst <> 7)
 SELECT 'p7' AS node, 0 AS hop, 1.0::DOUBLE AS proximity UNION ALL SELECT 'o' || ord, 1, 0.5 FROM h1 UNION ALL SELECT 'p' || part, 2, round(1 / 3, 6) FROM h2""")
-def g3(spark, d, whole=False):
-    pairs = table(spark, d, "lineitem").where("true" if whole else "l_partkey < 200").select("l_orderkey", "l_partkey").distinct()
+def g3(spark, d):
+    pairs = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
     o, p = F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
     edges = pairs.select(F.inline(F.array(F.struct(o.alias("src"), p.alias("dst")), F.struct(p.alias("src"), o.alias("dst")))))
     return graph.hops_from(edges, spark.range(1).select(F.lit("p7").alias("node")), 2).select("node", "hop", F.round(graph.proximity(F.col("hop")), 6).alias("proximity"))
 
 
-register_whole("g3_proximity", g3, " WHERE l_partkey < 200", "")
-
-
 _KIND = "CASE o_orderstatus WHEN 'F' THEN 'updates' WHEN 'O' THEN 'contradicts' ELSE 'other' END"
 
 

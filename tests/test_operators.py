@@ -153,7 +153,7 @@ def test_rank_queries_search_all_embeddings(spark, tmp_path):
     v[350:360] = v[50] + np.float32(1e-3) * rng.normal(size=(10, 8)).astype(np.float32)  # the nearest of 50 are beyond id 300
     labels = [i % 10 for i in range(350)] + [0] * 50
     spark.createDataFrame([(i, v[i].tolist(), labels[i]) for i in range(400)], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r.query: r for r in catalogue.QUERIES["e1_recall_mrr_ndcg_all"](spark, str(tmp_path)).collect()}
+    got = {r.query: r for r in catalogue.QUERIES["e1_recall_mrr_ndcg"](spark, str(tmp_path)).collect()}
     x = v.astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     assert sorted(got) == list(range(0, 400, 50))
@@ -171,7 +171,7 @@ def test_shared_entity_counts_all_parts(spark, tmp_path):
     parts = {o: {p for x, p in rows if x == o} for o, _ in rows}
     pairs = [(a, b, len(parts[a] & parts[b])) for a in parts for b in parts if a < b and parts[a] & parts[b]]
     want = sorted(pairs, key=lambda x: (-x[2], x[0], x[1]))[:100]
-    assert [tuple(r) for r in catalogue.QUERIES["j7_shared_entity_all"](spark, str(tmp_path)).collect()] == want
+    assert [tuple(r) for r in catalogue.QUERIES["j7_shared_entity"](spark, str(tmp_path)).collect()] == want
 
 
 def test_whole_queries_pass_over_no_rows(spark, tmp_path):
@@ -181,11 +181,11 @@ def test_whole_queries_pass_over_no_rows(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     spark.createDataFrame([(1, f"k{u}", at) for u in range(1)] + [(u, f"k{u}", at) for u in range(1, 5)], "user_id long, event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in run("f25_redaction_all") if r.had_email} == {0, 1, 2, 3}
-    assert {r.h for r in run("f26_private_blocks_all")} == {hashlib.sha256(f"a{x}".encode()).hexdigest() for *_, x in docs}
-    assert {r.kind for r in run("a18_hooks_health_all")} == {f"k{u}" for u in range(5)}
-    assert {r.node for r in run("g3_proximity_all") if r.hop == 2} == {f"p{p + o}" for p in (150, 450) for o in range(12)}
-    assert {r.node for r in run("g1_two_hop_decay_all") if r.hop == 1} == {"p7"} | {f"p{p + o}" for p in (150, 450) for o in range(10)}
+    assert {r.doc_id for r in run("f25_redaction") if r.had_email} == {0, 1, 2, 3}
+    assert {r.h for r in run("f26_private_blocks")} == {hashlib.sha256(f"a{x}".encode()).hexdigest() for *_, x in docs}
+    assert {r.kind for r in run("a18_hooks_health")} == {f"k{u}" for u in range(5)}
+    assert {r.node for r in run("g3_proximity") if r.hop == 2} == {f"p{p + o}" for p in (150, 450) for o in range(12)}
+    assert {r.node for r in run("g1_two_hop_decay") if r.hop == 1} == {"p7"} | {f"p{p + o}" for p in (150, 450) for o in range(10)}
 
 
 def test_all_short_passages_are_looked_for(spark):
