@@ -1,10 +1,9 @@
-"""Streaming ingest: events are read as files arrive, cleaned, deduplicated and upserted; leases live in keyed state."""
+"""Streaming ingest: events are read as files arrive, cleaned, deduplicated and appended."""
 
 from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,42 +53,3 @@ def run_ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -
 def windowed_counts(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Event-time windows by type, with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide or size), "event_type").agg(F.count("*").alias("n"))
-
-
-_LEASE_OUT = "target string, agent string, action string, granted boolean, expires_ms bigint"
-_LEASE_STATE = "agent string, expires_ms bigint"
-
-
-def lease_requests(requests: DataFrame, ttl_ms: int) -> DataFrame:
-    """M17 as a stream: requests (target, agent, action, ts) are granted or refused by the target's lease in keyed state.
-
-    An acquisition is granted if the target is free, run out, or held by the same agent; a release frees the holder's
-    lease.  Event time decides, so replays give the same answers.
-    """
-
-    def handle(key, batches, state):
-        held = state.get if state.exists else (None, 0)
-        agent, expires = held
-        rows = pd.concat(list(batches)).sort_values(["ts", "agent", "action"])
-        out = []
-        for r in rows.itertuples():
-            now = int(r.ts.value // 1_000_000)
-            if agent is not None and expires <= now:
-                agent = None
-            if r.action in ("acquire", "renew"):
-                ok = agent == r.agent or (agent is None and r.action == "acquire")
-                if ok:
-                    agent, expires = r.agent, now + ttl_ms
-            else:
-                ok = agent == r.agent
-                if ok:
-                    agent = None
-            out.append((key[0], r.agent, r.action, ok, expires if ok and agent is not None else None))
-        if agent is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((agent, expires))
-        yield pd.DataFrame(out, columns=["target", "agent", "action", "granted", "expires_ms"]).astype({"expires_ms": "Int64"})
-
-    return requests.groupBy("target").applyInPandasWithState(handle, _LEASE_OUT, _LEASE_STATE, "append", "NoTimeout")

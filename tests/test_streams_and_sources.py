@@ -24,18 +24,6 @@ def test_ingest_deduplicates_across_runs(spark, tmp_path):
     assert spark.read.parquet(str(out)).count() == 4
 
 
-def test_leases_in_keyed_state(spark, tmp_path):
-    schema = "target string, agent string, action string, ts timestamp"
-    rows = [("t", "a", "acquire", 0), ("t", "b", "acquire", 5), ("t", "b", "release", 6), ("t", "a", "release", 7), ("t", "b", "acquire", 8), ("u", "a", "renew", 1), ("t", "c", "acquire", 60)]
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in/a.json").write_text("\n".join(json.dumps({"target": t, "agent": a, "action": k, "ts": f"2024-01-01T00:00:{s:02d}Z" if s < 60 else "2024-01-01T00:01:00Z"}) for t, a, k, s in rows))
-    stream = spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    q = ingest.lease_requests(stream, 20_000).writeStream.format("memory").queryName("leases").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = [(r.target, r.agent, r.action, r.granted) for r in spark.sql("SELECT * FROM leases").collect()]
-    assert sorted(got) == sorted([("t", "a", "acquire", True), ("t", "b", "acquire", False), ("t", "b", "release", False), ("t", "a", "release", True), ("t", "b", "acquire", True), ("u", "a", "renew", False), ("t", "c", "acquire", True)])
-
-
 def test_markdown_code_and_tables(spark):
     md = "intro\n# One\nbody 1\n## Two\n\n| 1 | a \\| b | done |\n|---|---|---|\n| 2 | c | todo |\n"
     df = spark.createDataFrame([("f.md", md)], "path string, content string")
