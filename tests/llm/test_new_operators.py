@@ -254,3 +254,41 @@ def test_temporary_folder_needs_no_setting(spark, monkeypatch):
             sparkContext = spark.sparkContext
 
     assert shared.shared_folder(Frame) == shared.shared_folder(Frame)
+
+
+def test_raking_meets_reachable_targets_and_says_what_it_missed(spark):
+    """Run to convergence, weights and draws are those of plain loops run much longer; targets out of reach are reported."""
+    from collections import Counter as C
+
+    from corvane.llm import mixing
+    from tests.llm.test_table_operators import brute_rake
+
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choice(["ab", "cd", "ef", "gh"]) + str(i % 5) for _ in range(rnd.randrange(1, 80))), rnd.choice(["en", "en", "en", "de", "fr"]), f"s{min(9, int(rnd.expovariate(0.4)))}", 0, 0, "") for i in range(300)]
+    out = mixing.mix(fixtures.frame(spark, rows), budget_share=0.6, n_topics=4).collect()
+    cells = C()
+    for r in out:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    shares = []
+    for d, power in enumerate((0.7, 0.8, 0.5)):
+        totals = C()
+        for k, t in cells.items():
+            totals[k[d]] += t
+        shares.append({k: t**power / sum(u**power for u in totals.values()) for k, t in totals.items()})
+    weight, prob = brute_rake(cells, shares, 0.6, 3000)
+    features = {r.doc_id: r for r in out}
+    for r in features.values():
+        k = (r.source, r.lang, r.topic)
+        assert abs(r.weight - weight[k]) < 2e-3 * weight[k] and abs(r.prob - prob[k]) < 2e-3
+    raked = mixing.rake(spark.createDataFrame([(*k, float(t)) for k, t in cells.items()], "source string, lang string, topic string, tokens double"), {"source": 0.7, "lang": 0.8, "topic": 0.5}, {}, 200, 1e-4).collect()
+    whole = sum(cells.values())
+    for d, share in enumerate(shares):
+        have = C()
+        for r in raked:
+            have[r[d]] += r.tokens * r.weight
+        assert all(abs(have[k] / (share[k] * whole) - 1) < 1.1e-4 for k in share)
+    assert max(r.missed for r in raked) < 1.1e-4
+    apart = spark.createDataFrame([("s0", "en", "t0", 10.0), ("s1", "de", "t0", 10.0)], "source string, lang string, topic string, tokens double")
+    with pytest.warns(UserWarning, match="off their targets"):
+        stuck = mixing.rake(apart, {"source": 1.0, "lang": 1.0, "topic": 1.0}, {"source": {"s0": 3.0, "s1": 1.0}, "lang": {"en": 1.0, "de": 1.0}}, 30, 1e-4)
+    assert max(r.missed for r in stuck.collect()) > 0.1
