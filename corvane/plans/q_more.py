@@ -42,7 +42,7 @@ def a21(spark, d):
 @register("a23_classification_stats", f"WITH {_VALUES} SELECT CASE WHEN event_type = 'note' THEN 'text' ELSE 'event' END AS kind, count(*) AS n, round(avg(CASE WHEN event_type = 'session_start' THEN 1.0 ELSE 0 END), 6) AS context_ratio FROM notes GROUP BY 1")
 def a23(spark, d):
     kind = F.when(F.col("event_type") == "note", "text").otherwise("event")
-    return notes(spark).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") == "session_start").cast("double")), 6).alias("context_ratio"))
+    return notes(spark, d).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("event_type") == "session_start").cast("double")), 6).alias("context_ratio"))
 
 
 @register("f2_word_sets", "SELECT item_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[\\s,.;:!?()\\[\\]{}\"''`<>=/\\\\+*\\-]+'), lambda w: length(w) >= 2)))::BIGINT AS n_words FROM benchmark")

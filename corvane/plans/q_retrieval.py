@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane import views
-from corvane.functions import scores, text, vectors
+from corvane.functions import scores, search_tokens, text, vectors
 from corvane.functions.text import ALLOWED_SCHEME, PRIVATE_HOST, URL_HOST
 from corvane.operators import graph, retrieval, similarity
 from corvane.operators.stored_index import stored_for
@@ -102,16 +102,14 @@ def f15(spark, d):
     return table(spark, d, "events").select("event_id", F.round(scores.recency(NOW, "ts"), 6).alias("recency"), tier.alias("tier"), scores.decay_factor(tier).alias("factor"))
 
 
-#: A small corpus of our own, as the input tables have none of the classifiers' words.
-NOTES = (
-    (1, "note", "We decided to adopt the new parser."), (2, "note", "Retries usually fail on Mondays."), (3, "note", "I prefer tabs, avoid spaces."), (4, "note", "Root cause was a stale cache; fixed the bug."),
-    (5, "note", "Next step: write the docs."), (6, "session_end", "All done."), (7, "tool_use", "ls -la"), (8, "note", "Plain words only."), (9, "note", "Yesterday the deploy happened."), (10, "note", "How to install the tool: run setup."), (11, "note", "Remember the architecture <environment_context>"), (12, "session_start", "hello"),
-)
-_VALUES = "notes AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{k}', '{x}')" for i, k, x in NOTES) + ") v(id, event_type, content))"
+#: Turns of `conversations` as rows with the event types that the classifiers know.
+_VALUES = "notes AS (SELECT conv_id * 1000 + turn AS id, CASE WHEN role = 'system' OR turn = 0 THEN 'session_start' WHEN turn % 9 = 8 THEN 'tool_use' WHEN turn % 11 = 10 THEN 'session_end' ELSE 'note' END AS event_type, text AS content FROM conversations)"
 
 
-def notes(spark):
-    return spark.createDataFrame(list(NOTES), "id bigint, event_type string, content string")
+def notes(spark, d):
+    turn = F.col("turn")
+    kind = F.when((F.col("role") == "system") | (turn == 0), "session_start").when(turn % 9 == 8, "tool_use").when(turn % 11 == 10, "session_end").otherwise("note")
+    return table(spark, d, "conversations").select((F.col("conv_id") * 1000 + turn).alias("id"), kind.alias("event_type"), F.col("text").alias("content"))
 
 
 def _case(column: str, cases, default: str) -> str:
@@ -120,31 +118,34 @@ def _case(column: str, cases, default: str) -> str:
 
 @register("f19_classify_type", f"WITH {_VALUES} SELECT id, CASE event_type WHEN 'session_end' THEN 'summary' WHEN 'session_start' THEN 'context' WHEN 'tool_use' THEN 'action' ELSE {_case('lower(content)', text.OBSERVATION_TYPES, 'context')} END AS observation_type FROM notes")
 def f19(spark, d):
-    return notes(spark).select("id", text.observation_type(F.col("content"), F.col("event_type")).alias("observation_type"))
+    return notes(spark, d).select("id", text.observation_type(F.col("content"), F.col("event_type")).alias("observation_type"))
 
 
 @register("f20_memory_type", f"WITH {_VALUES} SELECT id, CASE WHEN event_type IN ('session_start', 'session_end') OR regexp_matches(lower(content), '{text.EPISODIC}') THEN 'episodic' WHEN event_type = 'tool_use' OR regexp_matches(lower(content), '{text.PROCEDURAL}') OR regexp_matches(content, '(?s)```.*```') THEN 'procedural' ELSE 'semantic' END AS memory_type FROM notes")
 def f20(spark, d):
-    return notes(spark).select("id", text.memory_type(F.col("content"), F.col("event_type")).alias("memory_type"))
+    return notes(spark, d).select("id", text.memory_type(F.col("content"), F.col("event_type")).alias("memory_type"))
 
 
 def _sector_sql(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({x}), '{'|'.join(patterns)}') THEN '{name}'" for name, patterns in text.SECTORS) + " ELSE 'meta' END"
 
 
+@register("f3_search_tokens")
+def f3(spark, d):
+    """Tokens of every document, with the words of CJK text that the documents teach."""
+    docs = table(spark, d, "documents")
+    tokens = search_tokens.search_tokens(F.col("text"), search_tokens.learn_words(docs))
+    return docs.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").cast("bigint").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha256"))
+
+
 @register("f21_sector_documents", f"SELECT doc_id, {_sector_sql('text')} AS sector FROM documents")
 def f21_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", text.sector(F.col("text")).alias("sector"))
 
 
-@register("f21_sector", f"WITH {_VALUES} SELECT id, {_sector_sql('content')} AS sector FROM notes")
-def f21(spark, d):
-    return notes(spark).select("id", text.sector(F.col("content")).alias("sector"))
-
-
 @register("f18_signal", f"WITH {_VALUES} SELECT id, round(CASE WHEN regexp_matches(content, '{text.BOOST}') THEN 0.3 ELSE 0 END - CASE WHEN regexp_matches(content, '{text.DAMPEN}') THEN 0.2 ELSE 0 END, 6)::DOUBLE AS signal FROM notes")
 def f18(spark, d):
-    return notes(spark).select("id", F.round(text.signal(F.col("content")), 6).alias("signal"))
+    return notes(spark, d).select("id", F.round(text.signal(F.col("content")), 6).alias("signal"))
 
 
 def _redact_sql(x: str) -> str:
