@@ -247,11 +247,16 @@ def _met(xs: DataFrame, ys: DataFrame, key: list[str], feasible: Column) -> Data
 def _prefix_pairs(texts: DataFrame, rest: DataFrame, threshold: float) -> DataFrame:
     """node, leader: all pairs of different labels in `rest` (stored: node, label) that may be alike by their prefixes."""
     tokens = stored(texts.join(shuffle_or_broadcast(rest.select("node")), "node", "left_semi").mapInArrow(_tokens, "node bigint, token bigint, mass double, size bigint"), "tokens")
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles of the same texts (neighbours in a shared passage) come in the same order in all of them, so that the first one
+    # bounds a pair least: it alone has to be met.  Texts are told apart by 128 bits of their hashes.
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "node")).alias(f"m{k}") for k in (1, 2)]
+    common = stored(tokens.groupBy("token").agg(F.count("*").alias("df"), *marks).where("df > 1"), "common")
+    heads = common.groupBy("df", "m1", "m2").agg(F.min("token").alias("token")).select("token", F.lit(True).alias("head"))
+    common = common.select("token", "df").join(heads, "token", "left")
     by_node, spread = W.partitionBy("node"), 1 / threshold - 1
     before = F.coalesce(F.sum("mass").over(by_node.orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     # `left`: the weight from this shingle on; before it are the shingles of no other text, then the common ones in order
-    placed = tokens.join(common, "token").select("node", "token", "size", (F.sum("mass").over(by_node) - before).alias("left")).where(F.col("left") >= threshold - _EPS)
+    placed = tokens.join(common, "token").select("node", "token", "size", "head", (F.sum("mass").over(by_node) - before).alias("left")).where(F.col("head") & (F.col("left") >= threshold - _EPS))
     entries = stored(placed.join(rest, "node").select("token", "node", "label", "size", (1 - F.col("left")).alias("a")), "prefixes")
     discard(tokens)
     other = lambda df: df.withColumnsRenamed({"node": "other", "label": "l_label", "a": "b", "size": "l_size"})
