@@ -114,6 +114,50 @@ def unsupported(schema) -> str | None:
     return None
 
 
+#: Keywords by the form that their values have to have.
+_SIZES, _NUMBERS = ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties"), ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf")
+
+
+def malformed(schema, at: str = "$") -> str | None:
+    """What is wrong with a schema itself, so that it is said before anything runs: names of types, patterns, numbers, and forms."""
+    if isinstance(schema, bool):
+        return None
+    if not isinstance(schema, dict):
+        return f"{at} is no schema"
+    number = lambda x: isinstance(x, (int, float)) and not isinstance(x, bool)
+    for k, inner in schema.items():
+        here = f"{at}.{k}"
+        if k == "type":
+            kinds = inner if isinstance(inner, list) else [inner]
+            if not kinds or not all(isinstance(x, str) and (x in _TYPES or x == "integer" or x == "number") for x in kinds):
+                return f"{here} names an unknown type"
+        elif k == "pattern":
+            try:
+                re.compile(inner)
+            except (re.error, TypeError):
+                return f"{here} is no pattern"
+        elif k in _SIZES and not (isinstance(inner, int) and not isinstance(inner, bool) and inner >= 0):
+            return f"{here} is no size"
+        elif k in _NUMBERS and not (number(inner) and (k != "multipleOf" or inner > 0)):
+            return f"{here} is no number"
+        elif k == "required" and not (isinstance(inner, list) and all(isinstance(x, str) for x in inner)):
+            return f"{here} is no list of names"
+        elif k == "enum" and not isinstance(inner, list):
+            return f"{here} is no list"
+        elif k == "uniqueItems" and not isinstance(inner, bool):
+            return f"{here} is not true or false"
+        elif k == "properties":
+            if not isinstance(inner, dict):
+                return f"{here} is no object"
+        elif k in ("anyOf", "oneOf", "allOf") and not (isinstance(inner, list) and inner):
+            return f"{here} is no list of schemas"
+        parts = inner.items() if k == "properties" else enumerate(inner) if k in ("anyOf", "oneOf", "allOf") else [("", inner)] if k in ("items", "additionalProperties") else []
+        for name, part in parts:
+            if found := malformed(part, f"{here}.{name}" if name != "" else here):
+                return found
+    return None
+
+
 def violation(value, schema, at: str = "$") -> str | None:
     """The first violation of a JSON schema; see KEYWORDS for what is checked."""
     if isinstance(schema, bool):
@@ -171,11 +215,13 @@ def checked(tool: str | None, arguments: str | None, schemas: dict[str, dict]) -
     return value, violation(value, schemas[tool])
 
 
-_SERIALISE = "conv_id bigint, turn bigint, kind string, call_id string, status string, at_turn bigint, depth bigint, valid boolean, error string, json string"
+_SERIALISE = "conv_id {conv}, turn bigint, kind string, call_id string, status string, at_turn bigint, depth bigint, valid boolean, error string, json string"
 
 
 def _serialise(schemas: dict[str, dict]):
     for name, schema in schemas.items():
+        if found := malformed(schema):
+            raise ValueError(f"the schema of {name} can not be used: {found}")
         if found := unsupported(schema):
             raise ValueError(f"the schema of {name} has the keyword {found}, which is not supported")
 
@@ -243,7 +289,7 @@ def _layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each message: link status, place (order_key sorts a conversation), validity and canonical JSON.
 
-    messages: conv_id, turn, kind ('call', 'result' or a role), call_id, after (an identifier or an array of them), tool,
+    messages: conv_id (of any type), turn, kind ('call', 'result' or a role), call_id, after (an identifier or an array of them), tool,
     arguments, content.
     """
     serialise = _serialise(schemas)
@@ -251,7 +297,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     if not messages.schema["after"].dataType.typeName() == "array":
         rows = rows.withColumn("after", F.when(F.col("after").isNotNull(), F.array("after")))
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "messages")
-    linked = rows.where(F.col("call_id").isNotNull()).withColumn("id", F.struct(F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
+    linked = rows.where(F.col("call_id").isNotNull()).withColumn("id", F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
     first = F.min(F.struct("turn", "row")).alias("first")
     calls = linked.where("kind = 'call'").groupBy("id").agg(first).select("id", F.col("first.turn").alias("turn"), F.col("first.row").alias("call_row"))
     results = linked.where("kind = 'result'").groupBy("id").agg(first).select("id", F.col("first.row").alias("result_row"))
@@ -263,7 +309,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     branches = edges.groupBy("id").count().where("count > 1").limit(1).count()
     places = (_layers if branches else _chains)(calls.select("id", "turn"), edges)
     nodes = calls.drop("turn").join(places, "id").select(F.col("id").alias("n_id"), "call_row", "result_row", F.col("depth").alias("n_depth"), F.col("at_turn").alias("n_turn"), "cycle")
-    mine = F.when(F.col("kind").isin("call", "result") & F.col("call_id").isNotNull(), F.struct(F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
+    mine = F.when(F.col("kind").isin("call", "result") & F.col("call_id").isNotNull(), F.struct(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("conv_id").isNull().alias("none"), "call_id"))
     keyed = rows.withColumn("m_id", mine)
     both = keyed.where(F.col("m_id").isNotNull()).join(nodes, F.col("m_id") == F.col("n_id"), "left")
     plain = keyed.where(F.col("m_id").isNull())  # these meet nothing, and would all come to one task
@@ -276,7 +322,7 @@ def link(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     )
     placed = both.select("conv_id", "turn", "kind", "call_id", F.coalesce(status, F.lit("message")).alias("status"),
         F.greatest("turn", F.coalesce("n_turn", "turn")).alias("at_turn"), (2 * F.coalesce("n_depth", F.lit(0)) + F.when(is_result, 1).otherwise(0)).cast("bigint").alias("depth"), "tool", "arguments", "content")
-    return placed.mapInArrow(serialise, _SERIALISE).withColumn("order_key", F.struct("at_turn", "depth", "turn"))
+    return placed.mapInArrow(serialise, _SERIALISE.format(conv=dict(rows.dtypes)["conv_id"])).withColumn("order_key", F.struct("at_turn", "depth", "turn"))
 
 
 #: The tool of the query over `conversations`: a user turn asks, the next assistant turn answers.

@@ -292,3 +292,20 @@ def test_raking_meets_reachable_targets_and_says_what_it_missed(spark):
     with pytest.warns(UserWarning, match="off their targets"):
         stuck = mixing.rake(apart, {"source": 1.0, "lang": 1.0, "topic": 1.0}, {"source": {"s0": 3.0, "s1": 1.0}, "lang": {"en": 1.0, "de": 1.0}}, 30, 1e-4)
     assert max(r.missed for r in stuck.collect()) > 0.1
+
+
+def test_broken_schemas_are_named_before_anything_runs(spark):
+    from corvane.llm import tool_calls
+
+    messages = spark.createDataFrame([("a-1", 0, "call", "c1", None, "t", '{"x": 1}', None), ("a-1", 1, "result", "c1", None, None, None, "ok"), (None, 0, "call", "c1", None, "t", "{}", None)],
+                                     "conv_id string, turn bigint, kind string, call_id string, after string, tool string, arguments string, content string")
+    bad = [{"type": "integr"}, {"pattern": "("}, {"pattern": 3}, {"minLength": None}, {"minItems": True}, {"maximum": "9"}, {"required": "x"}, {"enum": "abc"}, {"properties": []}, {"anyOf": []}, {"properties": {"x": {"items": {"type": ["object", 7]}}}}, "no"]
+    for schema in bad:
+        assert tool_calls.malformed(schema)
+        with pytest.raises(ValueError, match="can not be used"):
+            tool_calls.link(messages, {"t": schema})
+    good = {"type": "object", "properties": {"x": {"type": ["integer", "null"], "minimum": 0}}, "required": ["x"], "additionalProperties": False}
+    assert tool_calls.malformed(good) is None
+    rows = {(r.conv_id, r.turn): (r.status, r.valid) for r in tool_calls.link(messages, {"t": good}).collect()}
+    assert rows["a-1", 0][1] is True and rows[None, 0][1] is False and len(rows) == 3  # identifiers of conversations may be strings
+    assert rows["a-1", 1][0] == "linked"
