@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corvane.session import cut
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key by the order.
@@ -75,7 +77,11 @@ def running_total(df: DataFrame, order: list[str], amount: str, out: str) -> Dat
     sums of those before it (one row a range).  The bounds are literals, so both readings of the rows cut them alike.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(*order).orderBy(F.xxhash64(*order)).limit(32 * n).collect()
+    df = cut(df, "to-sum")  # read three times
+    # of many rows only those with small hashes are sent on, so that the sample does not grow with the partitions
+    share = min(1.0, 64 * n / max(df.count(), 1))
+    h = F.xxhash64(*order)
+    rows = df.select(*order).where(F.pmod(h, F.lit(1 << 30)) <= share * (1 << 30)).orderBy(h).limit(32 * n).collect()
     sample = sorted({tuple(r) for r in rows if None not in r})
     bounds = [sample[len(sample) * k // n] for k in range(1, n)] if len(sample) >= n else sample
     kinds = [df.schema[c].dataType for c in order]

@@ -10,7 +10,7 @@ from corvane import views
 from corvane.functions import scores
 from corvane.operators import evaluation, tables, temporal
 from corvane.plans.catalogue import register
-from corvane.session import table
+from corvane.session import cut, table
 from corvane.views import EV, FACTS, NOW, OBS
 
 
@@ -350,7 +350,8 @@ def w1(spark, d):
 def w2(spark, d):
     """Row numbers behind a base: partitions are numbered on their own and shifted by the rows before them (one number a partition)."""
     keys = table(spark, d, "supplier").select("s_suppkey")
-    ranged = keys.repartitionByRange("s_suppkey").withColumn("part", F.spark_partition_id())
+    # stored, as both readings have to see the rows cut alike
+    ranged = cut(keys.repartitionByRange("s_suppkey").withColumn("part", F.spark_partition_id()), "ranged")
     local = ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("s_suppkey")))
     w = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = ranged.groupBy("part").agg(rows()).select("part", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
