@@ -14,7 +14,9 @@ the rarest shingle they share.  Two texts without repeated shingles, of m <= n s
 linked at t only if m - i and n - j are both t / (1 + t) * (m + n) at least.  For any two texts, with P and Q the shares
 of their weights that lie on common shingles, 1 / J_P >= 1 / P + 1 / Q - 1, so that the weights a and b of what is rarer
 hold 1 / (1 - a) + 1 / (1 - b) <= 1 / t + 1.  Only such pairs of different classes are compared; a text that has over
-1 - t of its weight to itself is in none.  No link between members of a bucket is lost.  Classes are the connected
+1 - t of its weight to itself is in none.  Variants of one text share their rarest common shingles and yet differ in too
+many others; for texts without repeated shingles a bitmap tells: its bits are the parities of the shingles that hash to
+them, so two bitmaps differ in no more bits than the texts do in shingles, of which links allow (1 - t) / (1 + t) * (m + n).  No link between members of a bucket is lost.  Classes are the connected
 components of the links, by hooking and pointer jumping on joins.
 
 Defined cases: null text is empty; texts with fewer than five words are one shingle of all their words; texts without a
@@ -27,6 +29,8 @@ an output of `near_duplicates` gives way to it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -231,6 +235,15 @@ def _star_pairs(active: DataFrame) -> DataFrame:
 #: Steps of the logarithm of sizes, and steps that the admissible weights before a shared shingle are divided into.
 SIZE_STEP, LEVELS, _EPS = 0.02, 8, 1e-6
 
+#: Longs of the bitmap of a text's shingles.
+WORDS = 16
+
+
+def _bitmaps(tokens: DataFrame) -> DataFrame:
+    """node, s0, s1, ...: the parity of the tokens that hash to each bit.  tokens: node, token (distinct)."""
+    bit, word = F.expr("shiftleft(1L, cast(pmod(token, 64) AS int))"), F.pmod(F.shiftrightunsigned("token", 6), F.lit(WORDS))
+    return tokens.groupBy("node").agg(*(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{k}") for k in range(WORDS)))
+
 
 def _met(xs: DataFrame, ys: DataFrame, key: list[str], feasible: Column) -> DataFrame:
     """node, other: pairs of different labels with one key.  xs: key, node, label, a, size; ys: key, other, l_label, b, l_size."""
@@ -257,9 +270,11 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, threshold: float) -> DataFr
     before = F.coalesce(F.sum("mass").over(by_node.orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     # `left`: the weight from this shingle on; before it are the shingles of no other text, then the common ones in order
     placed = tokens.join(common, "token").select("node", "token", "size", "head", (F.sum("mass").over(by_node) - before).alias("left")).where(F.col("head") & (F.col("left") >= threshold - _EPS))
-    entries = stored(placed.join(rest, "node").select("token", "node", "label", "size", (1 - F.col("left")).alias("a")), "prefixes")
+    bits = [f"s{k}" for k in range(WORDS)]
+    placed = placed.join(rest, "node").join(_bitmaps(tokens), "node")
+    table = entries = stored(placed.select("token", "node", "label", "size", (1 - F.col("left")).alias("a"), *bits), "prefixes")
     discard(tokens)
-    other = lambda df: df.withColumnsRenamed({"node": "other", "label": "l_label", "a": "b", "size": "l_size"})
+    other = lambda df: df.withColumnsRenamed({"node": "other", "label": "l_label", "a": "b", "size": "l_size", **{c: f"l_{c}" for c in bits}})
     # Both without repeated shingles: the smaller one (on the left) and the larger one bound each other's sizes
     plain, need = entries.where("size > 0"), threshold / (1 + threshold)
     log_size = lambda c: F.floor(F.log(c) / SIZE_STEP).cast("int")
@@ -267,10 +282,12 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, threshold: float) -> DataFr
     most = F.least(F.lit(1.0), (1 - F.col("a")) / need - 1 + _EPS) * F.col("size")
     larger = plain.withColumn("cell", F.explode(F.sequence(log_size(F.col("size") * (threshold - _EPS)), F.greatest(log_size(most), log_size(F.col("size") * (threshold - _EPS))))))
     shared = F.least(F.col("size") * (1 - F.col("a")), F.col("l_size") * (1 - F.col("b")))
-    sets = _met(smaller, other(larger), ["token", "cell"], (F.col("size") <= F.col("l_size")) & (shared >= need * (F.col("size") + F.col("l_size")) - 1e-3))
+    both = F.col("size") + F.col("l_size")
+    differ = reduce(add, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"l_{c}"))) for c in bits))
+    sets = _met(smaller, other(larger), ["token", "cell"], (F.col("size") <= F.col("l_size")) & (shared >= need * both - 1e-3) & (differ <= (1 - 2 * need) * both + 1e-3))
     # Else: `u` = 1 / (1 - a) - 1, of which one is at most half of the spread, goes by levels
     step, u = spread / 2 / LEVELS, 1 / (1 - F.col("a")) - 1
-    heavy = F.col("size") < 0
+    heavy, entries = F.col("size") < 0, entries.drop(*bits)
     xs = entries.where(u <= spread / 2 + _EPS).withColumns({"cell": F.greatest(F.floor(u / step - _EPS), F.lit(0)).cast("int"), "kind": heavy})
     upto = F.greatest(F.least(F.floor((spread - u) / step + _EPS), F.lit(LEVELS)), F.lit(0)).cast("int")
     kinds = F.when(heavy, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
@@ -278,7 +295,7 @@ def _prefix_pairs(texts: DataFrame, rest: DataFrame, threshold: float) -> DataFr
     some = _met(xs, other(ys), ["token", "cell", "kind"], 1 / (1 - F.col("a")) + 1 / (1 - F.col("b")) <= spread + 2 + _EPS)
     met = sets.unionAll(some) if entries.where("size < 0").limit(1).count() else sets
     pairs = stored(met.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("leader")).distinct(), "pairs")
-    discard(entries)
+    discard(table)
     return pairs
 
 

@@ -111,6 +111,22 @@ def test_prefix_pairs_lose_no_link(spark):
     assert len(linked) > 30 and linked <= got
 
 
+def test_bitmaps_bound_the_difference(spark):
+    """Bitmaps of two sets differ in no more bits than the sets do in members, also at negative and repeated bits; an equal set has an equal bitmap."""
+    rnd = random.Random(9)
+    base = [rnd.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    sets = [set(rnd.sample(base, n)) for n in (0, 1, 2, 40, 500, 2500, 3000)]
+    sets += [sets[4] ^ set(rnd.sample(base, 30)), set(sets[4]), {-1, 0, 1, 63, 64, -(1 << 63)}]
+    rows = spark.createDataFrame([(i, x) for i, s in enumerate(sets) for x in s], "node long, token long")
+    got = {r.node: [r[f"s{k}"] & (1 << 64) - 1 for k in range(near_dup.WORDS)] for r in near_dup._bitmaps(rows).collect()}
+    want = lambda s: [sum(1 << b for b in range(64) if sum(x % (64 * near_dup.WORDS) == 64 * k + b for x in s) % 2) for k in range(near_dup.WORDS)]
+    assert got[3] == want(sets[3]) and got[9] == want(sets[9]) and 0 not in got
+    for i in got:
+        for j in got:
+            assert sum((x ^ y).bit_count() for x, y in zip(got[i], got[j])) <= len(sets[i] ^ sets[j])
+    assert got[4] == got[8] != got[7]
+
+
 def test_one_text_with_very_many_variants(spark):
     """Comparisons grow with the number of variants, not with its square."""
     rnd = random.Random(5)
