@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
+from corvane.session import cut
 
 
 def markdown_chunks(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -100,10 +103,73 @@ def url_allowed(url: str) -> bool:
     return bool(host and re.match(T.ALLOWED_SCHEME, url)) and not re.match(T.PRIVATE_HOST, host[1].lower())
 
 
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow right after a scan: each line's number and byte offset within its block of the file."""
+    now, number, offset = None, 0, 0
+    for batch in batches:
+        paths, blocks, sizes = (batch.column(k).to_pylist() for k in (0, 1, 2))
+        numbers, offsets = [], []
+        for path, block, size in zip(paths, blocks, sizes):
+            if now != (path, block):
+                now, number, offset = (path, block), 0, 0
+            numbers.append(number)
+            offsets.append(offset)
+            number, offset = number + 1, offset + size
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "number", "at"])
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their file and place in it (by block offset order within a file)."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", r"\r?\n")).alias("position", "value"))
+    """Lines of text files: path, position (line number from 0), offset (of its first byte in the file) and value.
+
+    Files are split between tasks as Spark splits text, so a file of any size is read by many tasks.  A task numbers the lines of its
+    blocks as they come; the lines are stored, and what the earlier blocks of a file hold (a row a block) is added.  Lines end with \\n;
+    a \\r before it is not part of the value.  The last line may lack its end; an empty file has no line.  Offsets in compressed files are
+    those of the text; a byte order mark is not counted.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), (F.octet_length("value") + 1).cast("bigint").alias("size"), "value")
+    lines = cut(raw.mapInArrow(_places, "path string, block bigint, size bigint, value string, number bigint, at bigint"), "lines")
+    earlier = W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = blocks.select("path", "block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0).cast("bigint")).alias(c) for c in ("n", "bytes")))
+    placed = lines.join(blocks, ["path", "block"])
+    return placed.select("path", (F.col("n") + F.col("number")).alias("position"), (F.col("bytes") + F.col("at")).alias("offset"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def prompt_history(lines: DataFrame, path: str = "path", position: str = "position", value: str = "value") -> DataFrame:
+    """One row for each JSON object of a prompt history; what a tool or the assistant wrote is tool use, all else a prompt."""
+    j = lambda k: F.nullif(F.get_json_object(value, f"$.{k}"), F.lit(""))
+    objects = lines.where(F.col(value).rlike(r"^\s*\{") & F.try_parse_json(value).isNotNull())
+    kind = F.when(j("role").isin("assistant", "tool"), "tool_use").otherwise("user_prompt")
+    when = F.try_to_timestamp(F.coalesce(j("ts"), j("timestamp")))
+    mark = F.sha2(F.concat_ws(":", path, F.col(position).cast("string"), F.trim(value)), 256)
+    return objects.select(path, position, kind.alias("event_type"), F.coalesce(j("session_id"), j("thread_id"), F.lit("history")).alias("session_id"), when.alias("ts"), F.coalesce(j("text"), j("content")).alias("content"), mark.alias("dedupe_hash"))
+
+
+#: How a planner's log says that it was asked, and where the two kinds of agent files lie.
+PLANNER_LINE = r"(?i)^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(?:\.\d{3})?).*Requesting planner with (\d+) chat messages\b"
+AGENT_FILES = (("checkpoint", r"/docs/checkpoints/"), ("agent_response", r"/logs/codex-responses/"))
+RESPONSE_TOOLS = (("design", r"(?i)^(?:design|analyze)-"), ("debug", r"(?i)^debug-"))
+
+
+def planner_log(lines: DataFrame, path: str = "path", position: str = "position", value: str = "value") -> DataFrame:
+    """A checkpoint for each request to the planner, with the number of chat messages; the prompts are not in the log."""
+    line = F.trim(value)
+    hits = lines.where(line.rlike(PLANNER_LINE))
+    messages = F.regexp_extract(line, PLANNER_LINE, 2).try_cast("bigint")
+    return hits.select(path, position, F.try_to_timestamp(F.regexp_extract(line, PLANNER_LINE, 1)).alias("ts"), messages.alias("messages"), F.sha2(F.concat_ws(":", path, F.col(position).cast("string"), value), 256).alias("dedupe_hash"))
+
+
+def agent_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Checkpoints and responses by their folder: title (first heading, else by the name), whole content, and the tool of a response.
+
+    Rows of other folders and blank files go; equal contents of a file have equal marks.
+    """
+    body, name = F.regexp_replace(content, r"^\s+|\s+$", ""), F.regexp_replace(F.element_at(F.split(path, r"[/\\]"), -1), r"(?<=.)\.[^.]*$", "")
+    rows = files.select(path, T.first_match(F.replace(path, F.lit("\\"), F.lit("/")), AGENT_FILES, None).alias("kind"), body.alias("content"), name.alias("stem")).where("kind IS NOT NULL AND content <> ''")
+    tool = F.when(F.col("kind") == "agent_response", T.first_match(F.col("stem"), RESPONSE_TOOLS, "review"))
+    heading = F.nullif(F.trim(F.regexp_extract("content", r"(?m)^[ \t]*#+[ \t]*([^#\s][^\n]*)$", 1)), F.lit(""))
+    title = F.coalesce(F.left(heading, F.lit(200)), F.concat_ws(": ", F.coalesce(tool, F.col("kind")), "stem"))
+    return rows.select(path, "kind", title.alias("title"), "content", tool.alias("tool"), "stem", F.sha2(F.concat_ws(":", path, F.sha2("content", 256)), 256).alias("dedupe_hash"))
 
 
 def jdbc_incremental(spark: SparkSession, url: str, relation: str, column: str, above: int, partitions: int = 8, upper: int | None = None, **options) -> DataFrame:
