@@ -5,9 +5,11 @@ source, language and topic have their target shares: marginals that the caller g
 exponent.  Documents are then sampled with probability min(1, c * weight) of their cell, where c spends the token budget;
 weight / probability of a sampled document is its calibration weight.
 
-Topics are learned: words are hashed into DIMS buckets, weighted by tf-idf, and clustered by spherical k-means.  It is
-fitted on the whole texts of `sample_rows` documents at most, those with the least hashes of id and text in the whole
-table, of which only the bucket weights reach the driver; every document is then given the topic of its nearest centre.
+Topics are learned from every document: words are hashed into DIMS buckets, weighted by tf-idf, and clustered by spherical
+k-means.  Document frequencies, the draws of the first centres and the sums of every round are taken over the whole table,
+one pass each over the stored unit vectors; of these a task returns DIMS numbers a topic, and the driver holds the centres.
+Vectors and centres are whole numbers (see UNIT, CENTRE), so that products and sums are exact and the model does not depend
+on how rows are dealt out.  A document weighs as much as its copies; drawn as a first centre it counts once.
 
 A weight is the product of a factor of its source, one of its language and one of its topic.  Cells are stored with a row
 for each source; its factor is worked out where its cells are, and a sweep returns one sum for each pair of a language and a
@@ -33,65 +35,187 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.llm import textkit
-from corvane.llm.shared import CALLER, bounded_sample, shuffle_or_broadcast, small_batches, stored, text_blocks, unwrapped, wrapped
+from corvane.llm.shared import CALLER, discard, shuffle_or_broadcast, small_batches, stored, text_blocks, unwrapped, wrapped
 
 DIMENSIONS = ("source", "lang", "topic")
-SAMPLE_ROWS, DIMS = 2000, 512
+DIMS = 512
+#: Length of a document's vector and of a centre, before each component is rounded to a whole number.
+UNIT, CENTRE = (1 << 15) - 1, 1 << 20
+#: Draws for each first centre, of which the best is taken.
+TRIES = 8
 #: Pairs of groups of the two dimensions with fewer groups, at most; sweeps before the first extrapolation, and sweeps that one looks back on.
 MOST_PAIRS, PLAIN_SWEEPS, LOOK_BACK = 1_000_000, 8, 6
 
 
-def word_buckets(rows: np.ndarray, hashes: np.ndarray, n_rows: int, dims: int = DIMS) -> np.ndarray:
-    """1 + log of the count of each bucket's words in each row; 0 where there are none."""
-    counts = np.bincount(rows * dims + (hashes % np.uint64(dims)).astype(np.int64), minlength=n_rows * dims).reshape(n_rows, dims)
-    return np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0)
-
-
-def fit_topics(vectors: np.ndarray, n_topics: int, rounds: int = 25, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """idf of the buckets and unit centres, by spherical k-means; at most one centre for each distinct vector."""
-    df = (vectors > 0).sum(0)
-    idf = np.log((1 + len(vectors)) / (1 + df)) + 1e-3
-    x = vectors * idf
-    x = np.unique(np.round(x[x.any(1)], 9), axis=0)
-    if not len(x):
-        return idf, np.zeros((0, vectors.shape[1]))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(x)))]
-    for _ in range(1, min(n_topics, len(x))):  # each next start is drawn by its distance to the nearest one
-        far = np.maximum(1 - (x @ x[chosen].T).max(1), 0)
-        if far.sum() <= 1e-12:
-            break
-        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
-    centres = x[chosen]
-    for _ in range(rounds):
-        at = (x @ centres.T).argmax(1)
-        sums = np.stack([x[at == k].sum(0) if (at == k).any() else centres[k] for k in range(len(centres))])
-        moved = sums / np.linalg.norm(sums, axis=1, keepdims=True)
-        if np.abs(moved - centres).max() < 1e-9:
-            break
-        centres = moved
-    return idf, centres
+def bucket_counts(rows: np.ndarray, hashes: np.ndarray, n_rows: int, dims: int = DIMS) -> np.ndarray:
+    """Each bucket's words in each row."""
+    return np.bincount(rows * dims + (hashes % np.uint64(dims)).astype(np.int64), minlength=n_rows * dims).reshape(n_rows, dims)
+
+
+def unit_vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """(1 + log count) * idf, at length UNIT and rounded; rows without words stay 0."""
+    x = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0.0) * idf
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.rint(x * (UNIT / np.where(norm > 0, norm, 1)))
+
+
+def _centres(vectors: np.ndarray) -> np.ndarray:
+    return np.rint(vectors * (CENTRE / np.linalg.norm(vectors, axis=1, keepdims=True)))
+
 
+def _dense(batch: pa.RecordBatch, kind: type) -> np.ndarray:
+    """The vectors of a batch's first column."""
+    buf, _ = textkit.flatten(batch.column(0))
+    return buf.view(kind).reshape(batch.num_rows, DIMS)
 
-def topic_model(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_topics: int = 8, seed: int = 1, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Topics of a table, from its bounded sample of whole texts."""
-    known = docs.where(F.col(text).isNotNull())
-    sample = bounded_sample(known, sample_rows, F.col(doc_id), F.col(text)).select(F.col(text).alias("_text"))
+
+def _binary(vectors: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(vectors)
+    offs = np.arange(len(data) + 1, dtype=np.int32) * (DIMS * data.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offs), pa.py_buffer(data)])
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """The counts of every text's buckets, stored."""
 
     def block(rows: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray) -> pa.RecordBatch:
         n = len(offs) - 1
         _, _, at, hashes = textkit.words(buf, offs, lower=True)
-        vectors = np.zeros((n, DIMS))
+        counts = np.zeros((n, DIMS), np.int32)
         cuts = np.searchsorted(at, np.arange(n + 1))
         for lo in range(0, n, 256):
             hi = min(n, lo + 256)
-            vectors[lo:hi] = word_buckets(at[cuts[lo] : cuts[hi]] - lo, hashes[cuts[lo] : cuts[hi]], hi - lo)
-        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * DIMS), pa.array(vectors.ravel()))], ["v"])
+            counts[lo:hi] = bucket_counts(at[cuts[lo] : cuts[hi]] - lo, hashes[cuts[lo] : cuts[hi]], hi - lo)
+        return pa.RecordBatch.from_arrays([_binary(counts)], ["counts"])
+
+    return stored(small_batches(docs).mapInArrow(text_blocks(block, "_text"), "counts binary"), "counts")
+
+
+def _weighted(counted: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Unit vectors of all texts with words, and a hash of each, stored."""
+    odd = textkit.mix64(np.arange(1, DIMS + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            counts = _dense(batch, np.int32)
+            for lo in range(0, len(counts), 1024):
+                x = unit_vectors(counts[lo : lo + 1024], idf)
+                x = x[x.any(1)].astype(np.int16)
+                h = textkit.mix64((x.astype(np.uint64) * odd).sum(1, dtype=np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([_binary(x), pa.array(h)], ["unit", "h"])
+
+    return stored(counted.mapInArrow(run, "unit binary, h bigint"), "units")
+
+
+def _summed(rows: DataFrame, run, size: int) -> np.ndarray:
+    """Sums over the table of the `size` whole numbers that each task returns."""
+    parts = rows.mapInArrow(run, "total array<bigint>").select(F.posexplode("total").alias("place", "total"))
+    out = np.zeros(size, np.int64)
+    for r in parts.groupBy("place").agg(F.sum("total").alias("total")).collect():
+        out[r["place"]] = r["total"]
+    return out
 
-    found = small_batches(sample).mapInArrow(text_blocks(block, "_text"), "v array<double>").toArrow().column("v")
-    vectors = np.array(sorted(map(tuple, found.to_pylist()))).reshape(-1, DIMS)  # k-means sees them in one order
-    return fit_topics(vectors, n_topics, seed=seed)
+
+def _totals(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([total.ravel().astype(np.int64).tolist()], pa.list_(pa.int64()))], ["total"])
+
+
+def document_frequencies(counted: DataFrame) -> tuple[int, np.ndarray]:
+    """Number of texts, and of those with a word in each bucket."""
+
+    def run(batches):
+        total = np.zeros(DIMS + 1, np.int64)
+        for batch in batches:
+            total[:DIMS] += (_dense(batch, np.int32) > 0).sum(0)
+            total[DIMS] += batch.num_rows
+        yield _totals(total)
+
+    found = _summed(counted, run, DIMS + 1)
+    return int(found[DIMS]), found[:DIMS]
+
+
+def _candidates(units: DataFrame, chosen: list[np.ndarray], tried: list[np.ndarray], seed: int) -> tuple[int, list[np.ndarray]]:
+    """Which tried vector leaves the least sum of distances if it is chosen too, and TRIES vectors drawn by their distances then.
+
+    The least of -log(u) / distance over all vectors is such a draw (a race of exponential clocks); u comes from the
+    vector's hash, so copies are one.  Vectors that equal a chosen one are never drawn.
+    """
+    salts = textkit.mix64(np.array([seed << 32 | len(chosen) << 16 | r for r in range(TRIES)], np.uint64))
+    n_tried = max(1, len(tried))
+    against = np.array([*chosen, *tried], float).reshape(-1, DIMS)
+    lengths = np.linalg.norm(against, axis=1)
+
+    def run(batches):
+        left, keys, found = np.zeros(n_tried, np.int64), np.full((n_tried, TRIES), math.inf), np.zeros((n_tried, TRIES, DIMS), np.int16)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, h = _dense(batch, np.int16), batch.column(1).to_numpy().view(np.uint64)
+            wide = x.astype(float)
+            far = 1 - (wide @ against.T) / (np.linalg.norm(wide, axis=1)[:, None] * lengths)
+            near = far[:, : len(chosen)].min(1, initial=1.0)
+            clocks = [-np.log(((textkit.mix64(h ^ salt) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)) for salt in salts]
+            for t in range(n_tried):
+                now = np.minimum(near, far[:, len(chosen) + t]) if tried else near
+                now = np.where(now > 1e-9, now, 0.0)
+                left[t] += np.rint(now * CENTRE).astype(np.int64).sum()
+                for r, clock in enumerate(clocks):
+                    key = np.where(now > 0, clock / np.where(now > 0, now, 1), math.inf)
+                    i = int(key.argmin())
+                    if key[i] < keys[t, r]:
+                        keys[t, r], found[t, r] = key[i], x[i]
+        t, r = np.divmod(np.arange(n_tried * TRIES), TRIES)
+        columns = [pa.array(t), pa.array(r), pa.array(np.where(r == 0, left[t], 0)), pa.array(keys.ravel()), _binary(found.reshape(-1, DIMS))]
+        yield pa.RecordBatch.from_arrays(columns, ["tried", "race", "left", "key", "unit"])
+
+    rows = units.mapInArrow(run, "tried bigint, race bigint, left bigint, key double, unit binary")
+    found = rows.groupBy("tried", "race").agg(F.sum("left").alias("left"), F.min(F.struct("key", "unit")).alias("least")).collect()
+    if not found:
+        return 0, []
+    _, best = min((r["left"], r["tried"]) for r in found if r["race"] == 0)
+    drawn = [r["least"]["unit"] for r in sorted(found, key=lambda r: r["race"]) if r["tried"] == best and r["least"]["key"] < math.inf]
+    return best, [np.frombuffer(v, np.int16).astype(float) for v in dict.fromkeys(map(bytes, drawn))]
+
+
+def fit_topics(units: DataFrame, n_topics: int, rounds: int = 25, seed: int = 1) -> np.ndarray:
+    """Centres of stored unit vectors, by spherical k-means over all of them; at most one for each distinct vector."""
+    chosen: list[np.ndarray] = []
+    _, tried = _candidates(units, [], [], seed)
+    while tried and len(chosen) < n_topics:
+        best, after = _candidates(units, chosen, tried, seed)
+        chosen.append(tried[best])
+        tried = after
+    if not chosen:
+        return np.zeros((0, DIMS))
+    centres = _centres(np.array(chosen))
+    for _ in range(rounds):
+
+        def run(batches, centres=centres):
+            total = np.zeros((len(centres), DIMS))
+            for batch in batches:
+                x = _dense(batch, np.int16).astype(float)
+                at = (x @ centres.T).argmax(1)
+                total += (at == np.arange(len(centres))[:, None]).astype(float) @ x
+            yield _totals(total)
+
+        sums = _summed(units, run, centres.size).reshape(centres.shape).astype(float)
+        moved = _centres(np.where(sums.any(1, keepdims=True), sums, centres))
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
+def topic_model(docs: DataFrame, *, text: str = "text", n_topics: int = 8, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """idf of the buckets and centres of the topics, from all texts of a table."""
+    counted = _counted(docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")))
+    n, df = document_frequencies(counted)
+    idf = np.log((1 + n) / (1 + df)) + 1e-3
+    units = _weighted(counted, idf)
+    discard(counted)
+    centres = fit_topics(units, n_topics, seed=seed)
+    discard(units)
+    return idf, centres
 
 
 def with_features(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", seed: int = 1) -> DataFrame:
@@ -109,7 +233,7 @@ def with_features(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], *, doc_
             hi = min(n, lo + 256)
             some = slice(cuts[lo], cuts[hi])
             if len(centres):
-                best = ((word_buckets(at[some] - lo, hashes[some], hi - lo) * idf) @ centres.T).argmax(1)
+                best = (unit_vectors(bucket_counts(at[some] - lo, hashes[some], hi - lo), idf) @ centres.T).argmax(1)
                 topic[lo:hi] = np.where(tokens[lo:hi] > 0, np.char.add("t", best.astype(str)), "none")
         return pa.RecordBatch.from_arrays([*rows.columns, pa.array(tokens), pa.array(topic, pa.string())], [*names, "tokens", "topic"])
 
@@ -302,14 +426,14 @@ def mixing_cells(features: DataFrame, *, powers: dict[str, float] | None = None,
 
 def _featured(docs: DataFrame, n_topics: int, columns: dict[str, str]) -> DataFrame:
     """Features of every row, made once and stored."""
-    model = topic_model(docs, n_topics=n_topics, **{k: v for k, v in columns.items() if k in ("doc_id", "text")})
+    model = topic_model(docs, text=columns["text"], n_topics=n_topics)
     return stored(with_features(docs, model, **columns), "featured")
 
 
 def mix(docs: DataFrame, *, n_topics: int = 8, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", **options) -> DataFrame:
     """Every row's cell, weight, probability, whether it is sampled, and the calibration weight if so."""
     columns = {"doc_id": doc_id, "source": source, "lang": lang, "text": text}
-    model = topic_model(docs, doc_id=doc_id, text=text, n_topics=n_topics)
+    model = topic_model(docs, text=text, n_topics=n_topics)
     features = with_features(docs.select(*dict.fromkeys(columns.values())), model, **columns).select(F.col(CALLER).getField(doc_id).alias("doc_id"), *DIMENSIONS, "tokens", "u")
     features = stored(features, "features")
     cells = shuffle_or_broadcast(stored(mixing_cells(features, **options).drop("tokens"), "cells"))

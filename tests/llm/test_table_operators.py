@@ -4,8 +4,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from corvane.llm import mixing, near_dup, pii, tool_calls, url_reputation
+from corvane.llm import mixing, near_dup, pii, textkit, tool_calls, url_reputation
 from tests.llm.fixtures import SCHEMA, documents, frame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -240,6 +241,27 @@ def test_learned_topics_separate_vocabularies(spark):
     assert all(len(c) == 1 for c in found.values()) and len({next(iter(c)) for c in found.values()}) == 4
 
 
+def test_topics_are_fitted_on_every_document(spark):
+    """Against one pass of numpy over all rows, of which there are more than any bounded sample would take."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"{'abcd'[i % 4]}{rnd.randrange(40)}" for _ in range(12)) for i in range(2600)] + ["only here"] * 3 + [None, "", " "]
+    rows = [(i, x, "en", "s", 0, 0, "") for i, x in enumerate(texts)]
+    idf, centres = mixing.topic_model(frame(spark, rows), n_topics=5)
+    again = mixing.topic_model(frame(spark, rows).repartition(11), n_topics=5)
+    assert np.array_equal(idf, again[0]) and np.array_equal(centres, again[1])
+    known = [x for x in texts if x is not None]
+    counts = np.zeros((len(known), mixing.DIMS), np.int64)
+    _, _, at, hashes = textkit.words(*textkit.flatten(pa.array(known)), lower=True)
+    np.add.at(counts, (at, (hashes % np.uint64(mixing.DIMS)).astype(int)), 1)
+    assert np.allclose(idf, np.log((1 + len(known)) / (1 + (counts > 0).sum(0))) + 1e-3, atol=1e-12)
+    x = mixing.unit_vectors(counts, idf)
+    topic = (x @ centres.T).argmax(1)
+    if len({tuple(c) for c in centres}) == 5:
+        for k in range(5):  # a round more moves a centre by little or not at all
+            mean = x[(topic == k) & x.any(1)].sum(0)
+            assert centres[k] @ mean / np.linalg.norm(mean) / mixing.CENTRE > 0.999
+
+
 def plain_base(x):
     """The contract's patterns, read literally."""
     out = []
