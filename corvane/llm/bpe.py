@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import gc
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,10 @@ from pyspark.sql import types as T
 from corvane.llm.shared import keeps_memory, small_batches, text_blocks
 
 
+#: In place of a token where a text begins.
+START = 1 << 31
+
+
 class Vocabulary:
     """Ranks of byte strings, and which token pairs BPE leaves unmerged."""
 
@@ -33,14 +38,17 @@ class Vocabulary:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.token = [b""] * (max(ranks.values()) + 1)
-        #: Nested by byte; -1 leads to the token that ends there.
-        self.trie: dict = {}
-        for piece, rank in ranks.items():
+        #: Nested by byte: the token that ends there (-1: none) and what follows.
+        self.trie: dict[int, tuple[int, dict]] = {}
+        for piece, rank in sorted(ranks.items()):  # shorter pieces come before those that go on
             self.token[rank] = piece
             node = self.trie
-            for byte in piece:
-                node = node.setdefault(byte, {})
-            node[-1] = rank
+            for byte in piece[:-1]:
+                if byte not in node:
+                    node[byte] = (-1, {})
+                node = node[byte][1]
+            node[piece[-1]] = (rank, {})
+        self.size, self.packed = [len(x) for x in self.token], [struct.pack("<I", k) for k in range(len(self.token))]
         #: The two tokens whose merge makes a token; None for tokens that BPE never makes (and so cannot emit inside a piece).
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.kept: dict[int, bool] = {}
@@ -77,15 +85,15 @@ class Vocabulary:
         return len(self.token[token]) == 1 or self.made_of(token) is not None
 
     def keeps(self, pair: int) -> bool:
-        """Whether BPE of two tokens' bytes is just these two tokens; pair is left << 32 | right.
+        """Whether BPE of two tokens' bytes is just these two tokens; pair is left << 32 | right, left START for none.
 
         The last merges of both sides are undone, latest first.  A merge across the border would have happened
         before every merge of a higher rank that is still standing; equal ranks merge from the left.
         """
-        if len(self.kept) > 250_000:
+        if len(self.kept) > 600_000:
             self.kept.clear()
         left, right = pair >> 32, pair & 0xFFFFFFFF
-        self.kept[pair] = out = self.reachable(right) and self._keeps(left, right)
+        self.kept[pair] = out = self.reachable(right) and (left == START or self._keeps(left, right))
         return out
 
     def _keeps(self, left: int, right: int) -> bool:
@@ -104,6 +112,40 @@ class Vocabulary:
             else:
                 return True
 
+    def fill(self, text: bytes, last: list[int], left: int = START) -> None:
+        """The last tokens of the prefixes of text where they are -1; those given are final.  left: the token before the text.
+
+        Tokens are walked forward from each start, whose own last token is final by then, so a token is tried exactly
+        once for each place it can begin.
+        """
+        kept, keeps, root, n = self.kept, self.keeps, self.trie, len(text)
+        for start in range(n):
+            before, node = left << 32, root
+            for at in range(start, n):
+                found = node.get(text[at])
+                if found is None:
+                    break
+                token, node = found
+                if token >= 0 and last[at] < 0:
+                    pair = before | token
+                    if kept[pair] if pair in kept else keeps(pair):
+                        last[at] = token
+            left = last[start]
+            if left < 0:
+                raise ValueError("a byte is no token of this vocabulary")
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian ids of a text, by a prefix table that is not kept."""
+        last, out, at = [-1] * len(text), [], len(text)
+        self.fill(text, last)
+        size, packed = self.size, self.packed
+        while at:
+            token = last[at - 1]
+            out.append(packed[token])
+            at -= size[token]
+        out.reverse()
+        return b"".join(out)
+
 
 class PrefixTable:
     """The last token of every prefix of a growing byte string."""
@@ -120,35 +162,12 @@ class PrefixTable:
         self._fill(old, len(self.last))
 
     def _fill(self, lo: int, hi: int) -> None:
-        """The entries from lo to hi, which are -1 until then; those before are final.
-
-        Tokens are walked forward from each start whose own last token is final by then, so a token that ends in the
-        range is tried exactly once for each place it can begin.
-        """
-        v, last = self.vocabulary, self.last
-        base = lo - v.longest if lo > v.longest else 0
-        text, n, new = bytes(self.data[base:hi]), hi - base, lo - base
-        kept, keeps, root = v.kept, v.keeps, v.trie
-        for start in range(n):
-            if base + start:
-                before = last[base + start - 1] << 32
-            node, at = root, start
-            while at < n:
-                node = node.get(text[at])
-                if node is None:
-                    break
-                if at >= new and -1 in node and last[base + at] < 0:
-                    token = node[-1]
-                    if not base + start:
-                        if v.reachable(token):
-                            last[at] = token
-                    else:
-                        pair = before | token
-                        if kept[pair] if pair in kept else keeps(pair):
-                            last[base + at] = token
-                at += 1
-        if hi > lo and min(last[lo:hi]) < 0:
-            raise ValueError("a byte is no token of this vocabulary")
+        """The entries from lo to hi, which are -1 until then; those before are final."""
+        last, longest = self.last, self.vocabulary.longest
+        base = lo - longest if lo > longest else 0
+        part = last[base:hi]
+        self.vocabulary.fill(bytes(self.data[base:hi]), part, last[base - 1] if base else START)
+        last[lo:hi] = part[lo - base :]
 
     def edit(self, start: int, end: int, data: bytes) -> int:
         """Replaces bytes start to end; returns how many entries were computed again.
@@ -173,24 +192,26 @@ class PrefixTable:
         out, at = [], len(self.last)
         while at:
             out.append(self.last[at - 1])
-            at -= len(self.vocabulary.token[out[-1]])
+            at -= self.vocabulary.size[out[-1]]
         return out[::-1]
 
 
 class _Pieces(dict):
     """Little-endian ids of each match of the pattern; computed by the prefix table when a match is new."""
 
-    LIMIT = 150_000
+    LIMIT = 600_000
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, piece: str) -> bytes:
+    def encode(self, piece: str) -> bytes:
         data = piece.encode()
         rank = self.vocabulary.ranks.get(data)
-        ids = [rank] if rank is not None else PrefixTable(self.vocabulary, data).tokens()
-        out = np.array(ids, "<u4").tobytes()
+        return self.vocabulary.encode(data) if rank is None else self.vocabulary.packed[rank]
+
+    def __missing__(self, piece: str) -> bytes:
+        out = self.encode(piece)
         if len(piece) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()
@@ -205,15 +226,17 @@ class _Chunks(dict):
     can belong to a longer run of white space; it is None here, and the text then goes through the pattern whole.
     """
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def __init__(self, encoder: Encoder, lead: str):
         super().__init__()
         self.encoder, self.lead = encoder, lead
 
     def __missing__(self, chunk: str) -> bytes | None:
-        e = self.encoder
-        out = b"".join(map(e.pieces.__getitem__, e.findall(self.lead + chunk))) if chunk and not chunk[-1].isspace() else None
+        e, out = self.encoder, None
+        if chunk and not chunk[-1].isspace():
+            found = e.findall(self.lead + chunk)
+            out = e.pieces[found[0]] if len(found) == 1 else b"".join(map(e.pieces.__getitem__, found))
         if len(chunk) <= 64:
             if len(self) >= self.LIMIT:
                 self.clear()

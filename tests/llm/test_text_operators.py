@@ -54,6 +54,21 @@ def test_bpe_equals_plain_merging_and_decodes(spark):
     assert bpe.digests(spark.createDataFrame([], SCHEMA), path, P.PATTERN).count() == 0
 
 
+def test_words_are_encoded_once(monkeypatch):
+    """Words that come again behind some 350,000 others are still known; a vocabulary encodes as merging does."""
+    P = pytest.importorskip("public_tokenizers")
+    e, rnd, missed = bpe.Encoder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), random.Random(8), []
+    plain = bpe._Chunks.__missing__
+    monkeypatch.setattr(bpe._Chunks, "__missing__", lambda self, chunk: missed.append(chunk) or plain(self, chunk))
+    text = " ".join("".join(rnd.choice("etaoinsr") for _ in range(7)) for _ in range(450_000))
+    first = e.encode(text)
+    assert len(missed) > 300_000
+    missed.clear()
+    assert e.encode(text) == first and not missed
+    for word in text[:8000].split(" ") + ["x", "é中 \U0001f600"]:
+        assert np.frombuffer(e.vocabulary.encode(word.encode()), "<u4").tolist() == e.vocabulary.merge(word.encode())
+
+
 def test_prefix_table_appends_and_edits():
     """Over a tiny vocabulary, against merging from scratch."""
     rnd = random.Random(2)
