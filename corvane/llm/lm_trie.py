@@ -250,14 +250,22 @@ class Block:
         # frequent words have small numbers, so most bytes of the higher planes are 0
         planes = [zstandard.compress(np.ascontiguousarray(p)) for p in self.tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T]
         ids = pa.array(self.ids, pa.int64()).fill_null(0).to_numpy()
-        return join_parts([ids.tobytes(), bytes(i is None for i in self.ids), self.sizes.astype("<i8").tobytes(), self.words.tobytes(), *planes])
+        head = zstandard.compress(ids.astype("<i8").tobytes() + self.sizes.astype("<i8").tobytes() + bytes(i is None for i in self.ids))
+        # in the order of hashes; counts give the other order back, in which words of the same count are sorted too
+        by = np.argsort(self.words)
+        return join_parts([head, ef_encode(self.words[by]), pack_counts(np.bincount(self.tokens, minlength=len(by))[by]), *planes])
 
     @classmethod
     def unpack(cls, blob) -> Block:
-        ids, nulls, sizes, words, *planes = split_parts(blob)
-        known = [None if none else i for i, none in zip(np.frombuffer(ids.tobytes(), np.int64).tolist(), nulls.tolist())]
+        head, words, counts, *planes = split_parts(blob)
+        head = zstandard.decompress(head)
+        n = len(head) // 17
+        ids, sizes, nulls = np.frombuffer(head, "<i8", n), np.frombuffer(head, "<i8", n, 8 * n), head[16 * n :]
+        known = [None if none else i for i, none in zip(ids.tolist(), nulls)]
+        words = EliasFano(words).all()
+        words = words[np.argsort(-unpack_counts(counts, len(words)), kind="stable")]
         tokens = np.stack([np.frombuffer(zstandard.decompress(p), np.uint8) for p in planes], axis=1).view("<u4").ravel()
-        return cls(known, np.frombuffer(sizes.tobytes(), "<i8"), np.frombuffer(words.tobytes(), np.uint64), tokens)
+        return cls(known, sizes, words, tokens)
 
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.tokens[self.trains], minlength=len(self.words))
@@ -543,8 +551,11 @@ def _pairs(answers: pa.Table, kind: int) -> list[tuple[int, bytes]]:
     return [(s, a.as_buffer()) for k, s, a in zip(answers.column("kind").to_pylist(), answers.column("shard").to_pylist(), answers.column("answer")) if k == kind]
 
 
-def _build(bits: int):
-    """For applyInArrow on a shard of pairs: sums the counts of all blocks, builds the trie, and answers every block."""
+def _build(bits: int, keep: bool):
+    """For applyInArrow on a shard of pairs: sums the counts of all blocks, builds the trie, and answers every block.
+
+    keep: whether the trie is returned as well, for those who score other documents by it.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         asks = [Ask(x.as_buffer(), bits) for x in table.column("ask")]
@@ -562,7 +573,7 @@ def _build(bits: int):
         spread = _sums(np.concatenate([a.spread for a in asks]), np.concatenate([c[2] for c in counts]))
         part = Trie.build(pairs, parent[first], words[first], n, spread, bits)
         trie = Trie(part)
-        return _answer(table.column("shard")[0].as_py(), table.column("block").to_pylist(), [zlib.compress(trie.look_up(a).tobytes(), 1) for a in asks], part, 2)
+        return _answer(table.column("shard")[0].as_py(), table.column("block").to_pylist(), [zlib.compress(trie.look_up(a).tobytes(), 1) for a in asks], part if keep else None, 2)
 
     return run
 
@@ -637,7 +648,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> tuple[
     return docs, stored(packed.select("block", "docs"), "blocks")
 
 
-def _fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", strength: dict[int, float] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS):
+def _fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", strength: dict[int, float] | None = None, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, min_shards: int = MIN_SHARDS, keep: bool = True):
     """blocks, answers to their words, answers to their n-grams (all stored), and Meta."""
     docs, blocks = _blocks(docs, doc_id, text, block_bytes)
     size = docs.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
@@ -647,7 +658,7 @@ def _fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", strengt
     tokens, types, most, texts = (int(v or 0) for v in totals)
     meta = Meta(word_shards, shards, max(1, (most * word_shards + 2).bit_length()), _hot_pairs(docs, shards), tokens, types, texts, STRENGTH | (strength or {}))
     asked = blocks.groupBy("block").cogroup(words.where("block >= 0").groupBy("block")).applyInArrow(_ask_grams(meta), _ASKS)
-    grams = stored(asked.groupBy("shard").applyInArrow(_build(meta.bits), _ANSWERS), "grams")
+    grams = stored(asked.groupBy("shard").applyInArrow(_build(meta.bits, keep), _ANSWERS), "grams")
     return blocks, words, grams, meta
 
 
@@ -669,7 +680,7 @@ def fit(docs: DataFrame, **options) -> Model:
 
 def score_documents(docs: DataFrame, **options) -> DataFrame:
     """log10 probability of every text under the model learned from the training documents, and under single words."""
-    blocks, words, grams, meta = _fit(docs, **options)
+    blocks, words, grams, meta = _fit(docs, keep=False, **options)
     answers = words.where("block >= 0").unionAll(grams.where("block >= 0"))
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(meta), _SCORES)
 

@@ -5,10 +5,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import lm_trie
+from corvane.llm import lm_trie, textkit
 from tests.llm.fixtures import SCHEMA, documents, frame
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,6 +114,23 @@ def test_scores_against_brute_force(spark):
     assert lm_trie.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_blocks_are_small_and_scoring_stores_no_trie(spark, monkeypatch):
+    rnd = random.Random(4)
+    texts = [" ".join(f"w{rnd.randrange(10**9)}" for _ in range(500)) + " the" * 300 for _ in range(60)]
+    block = lm_trie.Block.of([*range(59), None], *textkit.flatten(pa.array(texts)))
+    blob = block.pack()
+    again = lm_trie.Block.unpack(np.frombuffer(blob, np.uint8))
+    assert again.ids == block.ids and all(np.array_equal(getattr(again, k), getattr(block, k)) for k in ("sizes", "words", "tokens", "held"))
+    assert len(blob) < 9.5 * len(block.words)
+    tables, plain = {}, lm_trie.stored
+    monkeypatch.setattr(lm_trie, "stored", lambda df, name: tables.setdefault(name, plain(df, name)))
+    docs = frame(spark, documents())
+    lm_trie.score_documents(docs)
+    assert tables["grams"].where("block < 0").count() == 0 < tables["grams"].count()
+    tables.clear()
+    assert lm_trie.fit(docs).trie.count() > 0
+
+
 def test_words_in_context_are_a_distribution():
     """The probabilities of all known words and the unknown one add up to about 1 in any context of two words."""
     rnd = random.Random(5)
