@@ -208,3 +208,13 @@ def test_pipeline_stages_chain(spark, tmp_path):
     assert collections.Counter(results[4]) == collections.Counter(map(tuple, bpe.digests(spark.createDataFrame(results[3], docs.schema), *tokenizer()).collect()))
     again = pipeline.run(spark, str(tmp_path))
     assert collections.Counter(map(tuple, again.collect())) == collections.Counter(results[4])
+
+
+def test_mixing_stage_fits_topics_on_every_document(spark, monkeypatch):
+    import corpus_pipeline as pipeline
+    from corvane.llm import mixing
+
+    seen, plain = [], mixing.fit_topics
+    monkeypatch.setattr(mixing, "fit_topics", lambda units, *a, **k: seen.append(units.count()) or plain(units, *a, **k))
+    docs = frame(spark, [(i, f"a{i % 7} b{i % 11} c{i}", "en", "s", 0, 0, "") for i in range(2300)])
+    assert 0 < pipeline.mix_sources(spark, docs, "").count() < 2300 == seen[0]
