@@ -218,3 +218,26 @@ def test_mixing_stage_fits_topics_on_every_document(spark, monkeypatch):
     monkeypatch.setattr(mixing, "fit_topics", lambda units, *a, **k: seen.append(units.count()) or plain(units, *a, **k))
     docs = frame(spark, [(i, f"a{i % 7} b{i % 11} c{i}", "en", "s", 0, 0, "") for i in range(2300)])
     assert 0 < pipeline.mix_sources(spark, docs, "").count() < 2300 == seen[0]
+
+
+def test_mixing_stage_has_the_topic_model_of_the_whole_table(spark, monkeypatch):
+    """Against numpy over all texts, some of them long."""
+    import corpus_pipeline as pipeline
+    from corvane.llm import mixing
+
+    rnd = random.Random(12)
+    texts = [" ".join(f"{'abcdef'[i % 6 if rnd.random() < 0.75 else 0]}{rnd.randrange(60)}" for _ in range(3000 if i % 500 == 7 else 15)) for i in range(3000)]
+    docs = frame(spark, [(i, x, "en", "s", 0, 0, "") for i, x in enumerate(texts)])
+    models, plain = [], mixing.with_features
+    monkeypatch.setattr(mixing, "with_features", lambda docs, model, **k: models.append(model) or plain(docs, model, **k))
+    assert 0 < pipeline.mix_sources(spark, docs, "").count() < len(texts)
+    counts = np.zeros((len(texts), mixing.DIMS), np.int64)
+    _, _, at, hashes = textkit.words(*textkit.flatten(pa.array(texts)), lower=True)
+    np.add.at(counts, (at, (hashes % np.uint64(mixing.DIMS)).astype(int)), 1)
+    (idf, centres), = models
+    assert np.allclose(idf, np.log((1 + len(texts)) / (1 + (counts > 0).sum(0))) + 1e-3, atol=1e-12)
+    x = mixing.unit_vectors(counts, idf)
+    topic = (x @ centres.T).argmax(1)
+    for k, centre in enumerate(centres):
+        mean = x[topic == k].sum(0)
+        assert centre @ mean > 0.99 * np.linalg.norm(centre) * np.linalg.norm(mean)
